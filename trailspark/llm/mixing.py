@@ -183,9 +183,10 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
 
 def taken(mixed: Mix) -> DataFrame:
     """doc_id, size, source_size, target and the words that the mix takes of each document."""
+    # the planner takes the slots for as few as the shards they come from, and would broadcast them
     used = mixed.slots.groupBy("source_ix", "block").agg(F.count("*").alias("times"))
     key = ["source_ix", "bucket", "rn"]
-    words = mixed.pieces.select(*key, "block", "n_words").join(used, ["source_ix", "block"])
+    words = mixed.pieces.select(*key, "block", "n_words").join(used.hint("merge"), ["source_ix", "block"])
     sums = words.groupBy(*key).agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
     rows = mixed.rows.select(*key, "doc_id", "size").join(sums, key, "left")
     whole = rows.join(F.broadcast(mixed.sources.drop("source")), "source_ix")
@@ -212,6 +213,6 @@ def packed(mixed: Mix) -> DataFrame:
     parts = mixed.rows.where("size > 0").select("source_ix", "start", "doc_id", parts).select("source_ix", "start", "doc_id", "p.*")
     in_order = F.array_sort(F.collect_list(F.struct("start", "doc_id", "part"))).alias("parts")  # at most a block's words
     blocks = parts.groupBy("source_ix", "block").agg(in_order)
-    return mixed.slots.join(blocks, ["source_ix", "block"]).select(
+    return mixed.slots.hint("merge").join(blocks, ["source_ix", "block"]).select(
         "shard", "slot", "source_ix", "block", F.col("parts.doc_id").alias("doc_ids"), F.array_join(F.col("parts.part"), " ").alias("text")
     )
