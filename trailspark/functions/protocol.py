@@ -122,6 +122,12 @@ def parse_prediction(text: Column) -> Column:
 def turn_shape_error(text: Column, n_calls: Column, arm: Column, pending: Column) -> Column:
     """Why a turn has the wrong shape; null if it is right."""
     lines = F.filter(F.transform(T.splitlines(text), T.strip), lambda x: x != "")
+    bound = F.array(F.struct(lines.alias("lines"), n_calls.alias("n"), arm.alias("arm"), pending.alias("pending")))
+    return F.get(F.transform(bound, _shape_error), F.lit(0))
+
+
+def _shape_error(turn: Column) -> Column:
+    lines, n_calls = turn["lines"], turn["n"]
     call_lines = F.size(F.filter(lines, lambda x: F.startswith(x, F.lit("CALL "))))
     line = lambda i: F.get(lines, F.lit(i))
     whole = lambda c, p: F.rlike(c, F.lit(rf"(?s)\A{p}\z"))
@@ -131,7 +137,7 @@ def turn_shape_error(text: Column, n_calls: Column, arm: Column, pending: Column
     return (
         F.when(n_calls == 0, F.when(~yes(final), "assistant turn must contain exactly one CALL or one FINAL"))
         .when(n_calls != 1, "assistant turn requires exactly one CALL")
-        .when((arm == "b") & pending, F.when(~yes(decided), "Arm B prediction turn requires PREDICTION, DECISION, and one CALL"))
+        .when((turn["arm"] == "b") & turn["pending"], F.when(~yes(decided), "Arm B prediction turn requires PREDICTION, DECISION, and one CALL"))
         .when(~((F.size(lines) == 1) & (call_lines == 1)), "CALL turn cannot contain additional text")
     )
 
