@@ -20,7 +20,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     trace files of one evaluation.  Larger inputs carry a key and use Spark's
     JSON reader.
     """
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     parts = rows.select(F.posexplode(F.split("value", "\r\n|\n")).alias("at", "value"))
     return parts.where(F.trim("value") != "").select((F.col("at") + 1).cast("long").alias("line"), "value")
 
@@ -161,4 +161,4 @@ def read_document(spark: SparkSession, path: str, schema: T.StructType | str | N
 
 def read_workspace(spark: SparkSession, path: str, placeholder: str) -> DataFrame:
     """Files whose whole text is not the placeholder."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("path"), "value").where(F.col("value") != placeholder)
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.input_file_name().alias("path"), "value").where(F.col("value") != placeholder)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def outcome_counts(attempts: DataFrame, *, at: str = "ts", every: str = "1 day", late: str = "1 day") -> DataFrame:
     """Outcomes by event-time window; rows later than ``late`` are dropped by the watermark."""
     return (
-        attempts.withWatermark(at, late).groupBy(F.window(at, every), "outcome")
+        attempts.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, every), "outcome")
         .agg(F.count("*").alias("n"), F.sum((F.col("outcome") == "PASS").cast("long")).alias("passes"))
         .select(F.col("window.start").alias("start"), "outcome", "n", "passes")
     )
