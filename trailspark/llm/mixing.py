@@ -85,7 +85,7 @@ def draw_shards(slots: np.ndarray, shard_slots: int, seed: int) -> np.ndarray:
             want -= int(take.sum())
         left -= drawn
         out.append(drawn)
-    return np.array(out, np.int64).reshape(-1, len(slots))
+    return np.array(out, np.int64).reshape(len(out), len(slots))
 
 
 def _hash(x: np.ndarray, key: int) -> np.ndarray:
