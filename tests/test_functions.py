@@ -97,7 +97,7 @@ def test_mcnemar_and_bootstrap(spark):
 def test_trace_files(spark, tmp_path):
     record = {"calls": [{"tool": "python_test", "id": "c1"}, {"tool": "apply_patch", "id": "c2"}, {"tool": "python_test", "id": "c3"}], "results": {"c1": {"success": False, "outcome": "RUNTIME_ERROR"}, "c3": {"success": True, "outcome": "PASS"}}, "prediction_targets": [{"sampled_prediction": "PASS", "actual": "RUNTIME_ERROR", "decision": "REVISE"}]}
     traces = [
-        {"task": {"data": {"case_id": "a"}}, "metrics": {"passed": 1}, "info": {"glyph": record}, "num_total_tokens": 9}, {"task": {"data": {"idx": 4}}, "reward": None, "rewards": {"mbpp_reward": 1}},
+        {"task": {"data": {"case_id": "a"}}, "metrics": {"passed": 1}, "info": {"other": 1, "record": record}, "num_total_tokens": 9}, {"task": {"data": {"idx": 4}}, "reward": None, "rewards": {"mbpp_reward": 1}},
         {"task_id": 7, "rewards": {"mbpp_reward": 1}, "nodes": [{"token_ids": [1, 2]}, {"token_ids": [3]}]}, {"metrics": {"passed": True}, "usage": {"prompt_tokens": 2, "completion_tokens": 3}},
     ]
     path = tmp_path / "traces.jsonl"

@@ -82,13 +82,18 @@ def task_id(row: Column, line: Column) -> Column:
     )
 
 
-STATE = "struct<calls:array<struct<tool:string,id:string>>,results:map<string,struct<success:boolean,outcome:string>>,prediction_targets:array<struct<sampled_prediction:string,actual:string,decision:string>>>"
+STATE = (
+    "calls array<struct<tool:string,id:string>>, results map<string,struct<success:boolean,outcome:string>>, "
+    "prediction_targets array<struct<sampled_prediction:string,actual:string,decision:string>>"
+)
 
 
 def state(row: Column) -> Column:
-    """The runtime record under info, else at the top."""
-    text = F.coalesce(*(F.to_json(F.try_variant_get(row, p, "variant")) for p in ("$.info.glyph", "$.glyph")))
-    return F.from_json(text, STATE.removeprefix("struct<").removesuffix(">").replace("calls:", "calls ", 1).replace(",results:", ", results ", 1).replace(",prediction_targets:", ", prediction_targets ", 1))
+    """The runtime record: the first object with calls under info, else at the top, whatever its name."""
+    inside = lambda part: F.map_values(F.from_json(F.to_json(part), "map<string,variant>"))
+    holds = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)) & F.try_variant_get(v, "$.calls", "variant").isNotNull()
+    first = lambda part: F.to_json(F.get(F.filter(inside(part), holds), F.lit(0)))
+    return F.from_json(F.coalesce(first(F.try_variant_get(row, "$.info", "variant")), first(row)), STATE)
 
 
 def token_count(row: Column) -> Column:
