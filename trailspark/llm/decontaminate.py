@@ -13,9 +13,11 @@ share a set of tables:
   words.
 
 The tables are built from the benchmark, never from the documents, so the
-search is one narrow pass over the documents without a shuffle.  Benchmarks
-over ``block_bytes`` are cut into blocks of items; each gets its own tables and
-pass, and the spans of all passes are merged.
+search is one narrow pass over the documents without a shuffle.  The tables
+take some 150 bytes per byte of benchmark text, so benchmarks over
+``block_bytes`` are cut into blocks of items.  Each block gets its own tables
+and its own pass, in tasks of their own over written documents, and the spans of
+all passes are merged by row: only hits are shuffled, never texts.
 
 Defined cases: a null or wordless text has no words and no hits; a null or
 wordless item, or one with a null id, has no pattern; equal patterns of several
@@ -27,15 +29,17 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import short_batches
+from trailspark.llm.common import short_batches, written
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+#: Benchmark text, in bytes, whose tables one Python worker holds.
+BLOCK_BYTES = 2 << 20
 
 #: Byte map: A-Z to a-z, digits, letters and non-ASCII bytes to themselves, all other ASCII to a blank.
 _WORD_BYTES = bytes(
@@ -140,22 +144,27 @@ def find_overlaps(
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).dropna()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    found = []
-    for block in range(blocks):
+
+    def searcher(block: int):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block)
-        held = spark.sparkContext.broadcast([(r.i, r.t) for r in part.collect()])
-        found.append(f"__found_{block}")
-        docs = docs.withColumn(found[-1], _searcher(held, window)(F.col(text)))
-    spans, names = F.col(f"{found[0]}.spans"), F.col(f"{found[0]}.items")
-    if blocks > 1:
-        spans = F.pandas_udf(_merged, _SPANS)(F.flatten(F.array(*(F.col(f"{f}.spans") for f in found))))
-        names = F.array_distinct(F.flatten(F.array(*(F.col(f"{f}.items") for f in found))))
-        docs = docs.withColumn("__spans", spans)
-        spans, found = F.col("__spans"), [*found, "__spans"]
+        return _searcher(spark.sparkContext.broadcast([(r.i, r.t) for r in part.collect()]), window)
+
+    if blocks == 1:
+        docs = docs.withColumn("__found", searcher(0)(F.col(text)))
+    else:
+        docs, _ = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+        passes = [docs.select("__row", searcher(b)(F.col(text)).alias("f")).select("__row", "f.*") for b in range(blocks)]
+        # the first pass gives every row's words, the others only what they hit
+        hits = reduce(DataFrame.unionByName, [passes[0], *(p.where(F.size("spans") > 0) for p in passes[1:])])
+        gathered = lambda c: F.flatten(F.collect_list(c))
+        by_row = hits.groupBy("__row").agg(F.max("n_words").alias("n_words"), gathered("spans").alias("spans"), F.array_distinct(gathered("items")).alias("items"))
+        merged = F.pandas_udf(_merged, _SPANS)("spans")
+        docs = docs.join(by_row.select("__row", F.struct("n_words", merged.alias("spans"), "items").alias("__found")), "__row").drop("__row")
+    spans = F.col("__found.spans")
     n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return docs.withColumn(
-        into, F.struct(F.col(f"{found[0]}.n_words").alias("n_words"), spans.alias("spans"), names.alias("items"), n_hit.alias("n_hit"))
-    ).drop(*found)
+        into, F.struct(F.col("__found.n_words").alias("n_words"), spans.alias("spans"), F.col("__found.items").alias("items"), n_hit.alias("n_hit"))
+    ).drop("__found")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
