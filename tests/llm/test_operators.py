@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -109,6 +109,15 @@ def test_language_cases(spark):
     assert langid.keep_identified(documents(spark, texts), model).count() == 4
 
 
+def test_counts_in_chunks_add_up(monkeypatch):
+    monkeypatch.setattr(langid, "SLICE_CHARS", 7)
+    points = langid.codes(prose(random.Random(5), 40))
+    total = Counter()
+    for h, n in langid._counted(langid._all_grams(points, (2, 3))):
+        total.update(dict(zip(h.tolist(), n.tolist(), strict=True)))
+    assert total == Counter(langid.grams(points, (2, 3)).tolist())
+
+
 def test_bloom_masks_match_members():
     rng = np.random.default_rng(0)
     members = {x: rng.integers(0, 1 << 63, 500).astype(np.uint64) for x in ("a", "b")}
@@ -418,6 +427,13 @@ def test_mixing_totals_limits_and_text(spark):
     assert mixing.taken(mixing.mix(df.limit(0))).count() == 0
 
 
+def test_mixing_of_a_source_below_one_block(spark):
+    df = spark.createDataFrame([(1, "w " * 50, "a"), (2, "w " * 3000, "b")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.taken(mixing.mix(df)).collect()}
+    assert (got[1].target, got[1].taken) == (150, 150)
+    assert abs(got[2].taken - got[2].target) <= 2 * mixing.BLOCK_WORDS
+
+
 # --- preferences
 
 

@@ -136,7 +136,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     sizes, n_rows = [r["size"] for r in found], sum(r.n for r in found)
     goals = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], most)
     blocks = np.array([-(-s // block_words) for s in sizes], np.int64)
-    wanted = np.minimum([round(g / block_words) for g in goals], blocks * most).astype(np.int64)
+    # by the mean words of the source's blocks, as the last one may be short
+    wanted = np.array([min(round(g * int(b) / s), int(b) * most) if s else 0 for g, b, s in zip(goals, blocks, sizes, strict=True)], np.int64)
     shards = draw_shards(wanted, shard_slots, seed)
     planned = [(i, r.source, sizes[i], float(goals[i])) for i, r in enumerate(found)]
     sources = spark.createDataFrame(planned, "source_ix int, source string, source_size long, target double")
