@@ -427,6 +427,13 @@ def test_mixing_totals_limits_and_text(spark):
     assert mixing.taken(mixing.mix(df.limit(0))).count() == 0
 
 
+def test_word_counts_are_brute_force(spark):
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("a\u00e9\u4e2d \t\n\v\f\r\0\1\2\x1c\x85\u00a0") for _ in range(rng.randint(0, 40))) for _ in range(400)] + ["", " \n ", "\1\2 \2\1", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").withColumn("n", mixing.size_of(F.col("t")))
+    assert rows(df, "i", "n") == sorted(((i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t in enumerate(texts)), key=repr)
+
+
 def test_mixing_of_a_source_below_one_block(spark):
     df = spark.createDataFrame([(1, "w " * 50, "a"), (2, "w " * 3000, "b")], "doc_id long, text string, source string")
     got = {r.doc_id: r for r in mixing.taken(mixing.mix(df)).collect()}

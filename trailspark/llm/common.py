@@ -14,9 +14,6 @@ BATCH_BYTES = 4 << 20
 #: Largest table, in bytes as estimated by its builder, that is sent to all executors.
 BROADCAST_BYTES = 32 << 20
 
-#: White space of the word definitions that split on ASCII blanks only.
-BLANK = r"\x20\x09-\x0D"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
