@@ -89,6 +89,20 @@ def _all_grams(points: np.ndarray, sizes) -> Iterator[np.ndarray]:
             yield grams(points[at : at + SLICE_CHARS + n - 1], (n,))
 
 
+def _counted(parts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(n-grams, counts) of about ``SLICE_CHARS`` n-grams at a time; sums over all are exact."""
+    held: list[np.ndarray] = []
+    size = 0
+    for h in parts:
+        held.append(h)
+        size += len(h)
+        if size >= SLICE_CHARS:
+            yield np.unique(np.concatenate(held), return_counts=True)
+            held, size = [], 0
+    if size:
+        yield np.unique(np.concatenate(held), return_counts=True)
+
+
 class BitSlicedBloom:
     """One Bloom filter a language, held as a mask of languages in each slot."""
 
@@ -158,9 +172,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for name, part in rows.groupby("l"):
-                seen = [h for t in part["t"] for h in _all_grams(codes(t), GRAMS)]
-                if seen:
-                    h, n = np.unique(np.concatenate(seen), return_counts=True)
+                for h, n in _counted(h for t in part["t"] for h in _all_grams(codes(t), GRAMS)):
                     yield pd.DataFrame({"l": name, "h": h.view(np.int64), "n": n})
 
     counts = sample.select("l", "t").mapInPandas(count, "l string, h long, n long").groupBy("h", "l").agg(F.sum("n").alias("n"))
