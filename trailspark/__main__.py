@@ -1,28 +1,49 @@
-"""Command line: passk TRACES -k N, report TRACES, compare BEFORE AFTER -k N, stats A B."""
+"""Command line: passk TRACES -k N, report TRACES, compare BEFORE AFTER -k N, stats A B,
+prepare TASKS OUTPUT with sizes and seed, validate OUTPUT."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
+import sys
 
 from pyspark.sql import functions as F
 
 from trailspark.operators import metrics, stats
+from trailspark.plans import dataset
 from trailspark.session import build
 from trailspark.sources.lines import load_outcomes, load_traces
 
 
+#: Options of prepare: tasks of each part, supervised tasks that recover from two or one failures, and the seed.
+SIZES = {"n-sft": 212, "n-rl": 212, "n-deep": 20, "n-shallow": 50, "seed": 42}
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="trailspark")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, files in (("passk", ["traces"]), ("report", ["traces"]), ("compare", ["before", "after"]), ("stats", ["a", "b"])):
+    for name, files in (("passk", ["traces"]), ("report", ["traces"]), ("compare", ["before", "after"]), ("stats", ["a", "b"]), ("prepare", ["tasks", "output"]), ("validate", ["output"])):
         sub = commands.add_parser(name)
         for f in files:
             sub.add_argument(f)
         if name in ("passk", "compare"):
             sub.add_argument("-k", type=int, default=1)
+        if name == "prepare":
+            for option, default in SIZES.items():
+                sub.add_argument(f"--{option}", type=int, default=default)
+            sub.add_argument("--timeout", type=float, default=5)
     args = parser.parse_args(argv)
     spark = build()
+    if args.command == "prepare":
+        os.makedirs(args.output, exist_ok=True)
+        sizes = {k.replace("-", "_"): getattr(args, k.replace("-", "_")) for k in SIZES}
+        dataset.prepare(spark, args.tasks, args.output, timeout=args.timeout, **sizes)
+        return
+    if args.command == "validate":
+        found = dataset.violations(spark, args.output).orderBy("name", "key").limit(100).collect()
+        print(json.dumps([r.asDict() for r in found], indent=2, sort_keys=True))
+        sys.exit(1 if found else 0)
     attempts = lambda p: load_traces(spark, p).select("task", F.col("solved").alias("passed"))
     if args.command == "passk":
         out = metrics.summarise(attempts(args.traces), args.k)
