@@ -127,13 +127,18 @@ def size_of(text):
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", block_words: int = BLOCK_WORDS, most: int = MOST, weights=WEIGHTS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, with_text: bool = False) -> Mix:
     spark = docs.sparkSession
     columns = [F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size")]
-    measured, _ = written(docs.select(*columns, *([F.col(text).alias("text")] if with_text else [])), "sizes")
-    by_source = measured.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    found = by_source.limit(MAX_SOURCES + 1).collect()
+    n_rows = docs.count()  # reads no column
+    buckets = max(1, int(np.sqrt(n_rows)))
+    dealt = docs.select(*columns, *([F.col(text).alias("text")] if with_text else []))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)).cast("int"))
+    within = Window.partitionBy("source", "bucket").orderBy("doc_id", "size")
+    before = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1))
+    placed, _ = written(dealt.withColumn("rn", F.row_number().over(within)).withColumn("start", F.coalesce(before, F.lit(0))), "places")
+    found = placed.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     found.sort(key=lambda r: (r.source is None, r.source or ""))
-    sizes, n_rows = [r["size"] for r in found], sum(r.n for r in found)
+    sizes = [r["size"] for r in found]
     goals = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], most)
     blocks = np.array([-(-s // block_words) for s in sizes], np.int64)
     # by the mean words of the source's blocks, as the last one may be short
@@ -142,14 +147,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     planned = [(i, r.source, sizes[i], float(goals[i])) for i, r in enumerate(found)]
     sources = spark.createDataFrame(planned, "source_ix int, source string, source_size long, target double")
 
-    buckets = max(1, int(np.sqrt(n_rows)))
     named = sources.select("source_ix", F.col("source").alias("s"))
-    placed = measured.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)).cast("int"))
-    within = Window.partitionBy("source_ix", "bucket").orderBy("doc_id", "size")
-    before = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1))
-    placed = placed.withColumn("rn", F.row_number().over(within)).withColumn("start", F.coalesce(before, F.lit(0)))
-    placed, _ = written(placed, "places")
+    placed = placed.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
     ends = placed.groupBy("source_ix", "bucket").agg(F.sum("size").alias("n"))
     base = F.sum("n").over(Window.partitionBy("source_ix").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     bases = ends.select("source_ix", "bucket", F.coalesce(base, F.lit(0)).alias("base"))
