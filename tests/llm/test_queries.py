@@ -71,3 +71,43 @@ def test_pipeline_survives_nulls(spark, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{SMALL}/{t}.parquet").limit(0 if t == "labels" else 5).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+#: Names that stages use inside, as extra columns of strings.
+CLASHES = ("i", "x", "y", "t", "f", "fp", "key", "table", "size", "bucket", "start", "overlap", "language", "keep", "component_id", "target", "taken", "item_id", "quality", "times", "block")
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and wordless texts, a very long one, repeated rows and ids, and clashing names."""
+    text = "The committee met on Tuesday and agreed to publish the minutes of the earlier meeting in full. " * 3
+    data = [(1, text, "en", "web", len(text)), (1, text, "en", "web", len(text)), (2, text, None, None, None), (None, text, "en", "web", 5), (None, None, None, None, None)]
+    data += [(3, "", "en", "web", 0), (4, " \n\t ", "en", "web", 4), (5, "...", "de", "", 3), (6, None, "fr", "web", 9), (7, "word " * 200_000, "en", "web", 1_000_000), (8, "\u00e9\u4e2d\U0001f600", "", "books", -1)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars int")
+    return df.select("*", *(F.lit("clash").alias(c) for c in CLASHES))
+
+
+@pytest.mark.parametrize("side_rows", [0, 40])
+def test_stages_take_odd_and_empty_tables(spark, tmp_path, side_rows):
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SMALL}/{t}.parquet").limit(side_rows).write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = odd_documents(spark)
+    before = sorted(map(repr, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        got = stage(spark, docs, str(tmp_path))
+        found = got.collect()
+        if name == "mixing sources to target weights":
+            assert len(found) == len(before)
+            continue
+        assert got.columns == docs.columns, name
+        left = list(before)
+        for r in found:
+            left.remove(repr(r))  # only rows of the input, each as often at most
+        if name == "quality classifier" and not side_rows:
+            assert not left
+        elif name == "SimHash near-dedup":
+            ids = [r.doc_id for r in found]
+            assert ids.count(1) == 1 and 2 not in ids and ids.count(None) == 2
+            assert len({3, 4, 6} & set(ids)) == 1 and {5, 7, 8} <= set(ids)
+        elif name == "benchmark decontamination":
+            assert not left or side_rows
