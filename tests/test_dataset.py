@@ -25,12 +25,35 @@ def test_prepare_and_validate(spark, tmp_path):
     assert [r["matched_key"] for r in a] == [r["matched_key"] for r in b]
     assert len(read("arm_a_rl")) == 1 and read("arm_a_test") == []
     assert {r["case_id"] for r in a} | {r["case_id"] for r in read("arm_b_rl")} == {"task_1", "task_2", "task_3"}
-    assert dataset.violations(spark, str(output)).collect() == []
+    assert dataset.violations(spark, str(output), timeout=10).collect() == []
     file = next((output / "arm_b_rl").glob("part-*"))
     row = json.loads(file.read_text())
     file.write_text(json.dumps(row | {"test_code": row["test_code"] + "\n"}) + "\n")
     (output / "arm_b_rl" / f".{file.name}.crc").unlink(missing_ok=True)
-    assert {r.name for r in dataset.violations(spark, str(output)).collect()} == {"artifact", "matched rl"}
+    assert {r.name for r in dataset.violations(spark, str(output), timeout=10).collect()} == {"artifact", "matched rl"}
+    changed = next((output / "arm_b_sft").glob("part-*"))
+    rows = [json.loads(x) for x in changed.read_text().splitlines()]
+    direct = next(r for r in rows if r["trace_type"] == "direct")
+    direct["messages"] = [m | {"content": m["content"].replace("PASS", "OTHER")} if m["role"] == "assistant" else m for m in direct["messages"]]
+    direct["messages"][0]["content"] = "something else"
+    rows[1 - rows.index(direct)]["messages"].pop()
+    changed.write_text("".join(json.dumps(r) + "\n" for r in rows))
+    (output / "arm_b_sft" / f".{changed.name}.crc").unlink(missing_ok=True)
+    found = {(r.name, r.key) for r in dataset.violations(spark, str(output), timeout=10).collect()}
+    assert {("system b sft", direct["case_id"]), ("replay", f"b/{direct['case_id']}")} <= found
+    assert any(name == "final b" for name, _ in found) and not any("tests in prompt" in name or "count" in name for name, _ in found)
+
+
+def test_long_traces_are_found(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    words = Tokenizer(models.WordLevel({"[UNK]": 0}, unk_token="[UNK]"))
+    words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    words.save(f"{tmp_path}/words.json")
+    say = lambda n: [("user", "w " * n)]
+    rows = spark.createDataFrame([("a", "x", say(5)), ("b", "x", say(50))], "arm string, case_id string, messages array<struct<role:string,content:string>>")
+    got = dataset.lengths(rows, f"{tmp_path}/words.json", 20).collect()
+    assert [(r.name, r.key) for r in got] == [("tokens", "b/x")]
 
 
 def test_prepare_refuses_bad_tasks(spark, tmp_path):

@@ -1,5 +1,5 @@
 """Command line: passk TRACES -k N, report TRACES, compare BEFORE AFTER -k N, stats A B,
-prepare TASKS OUTPUT with sizes and seed, validate OUTPUT."""
+prepare TASKS OUTPUT with sizes and seed, validate OUTPUT [--tokenizer FILE --max-tokens N]."""
 
 from __future__ import annotations
 
@@ -32,7 +32,11 @@ def main(argv: list[str] | None = None) -> None:
         if name == "prepare":
             for option, default in SIZES.items():
                 sub.add_argument(f"--{option}", type=int, default=default)
+        if name in ("prepare", "validate"):
             sub.add_argument("--timeout", type=float, default=5)
+        if name == "validate":
+            sub.add_argument("--tokenizer", help="tokenizer file; without it, lengths are not checked")
+            sub.add_argument("--max-tokens", type=int, default=1280)
     args = parser.parse_args(argv)
     spark = build()
     if args.command == "prepare":
@@ -41,7 +45,7 @@ def main(argv: list[str] | None = None) -> None:
         dataset.prepare(spark, args.tasks, args.output, timeout=args.timeout, **sizes)
         return
     if args.command == "validate":
-        found = dataset.violations(spark, args.output).orderBy("name", "key").limit(100).collect()
+        found = dataset.violations(spark, args.output, timeout=args.timeout, tokenizer_file=args.tokenizer, max_tokens=args.max_tokens).orderBy("name", "key").limit(100).collect()
         print(json.dumps([r.asDict() for r in found], indent=2, sort_keys=True))
         sys.exit(1 if found else 0)
     attempts = lambda p: load_traces(spark, p).select("task", F.col("solved").alias("passed"))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from trailspark.operators.split import field_audit
 
 
-def rows_where(df: DataFrame, name: str, bad: Column, key: str = "case_id", detail: Column | None = None) -> DataFrame:
+def rows_where(df: DataFrame, name: str, bad: Column, key: str | Column = "case_id", detail: Column | None = None) -> DataFrame:
     """Row-local constraints: metadata, system prompts, placeholders, lengths, FINAL, containment."""
-    return df.where(F.coalesce(bad, F.lit(True))).select(F.lit(name).alias("name"), F.col(key).cast("string").alias("key"), (detail if detail is not None else F.lit("")).cast("string").alias("detail"))
+    return df.where(F.coalesce(bad, F.lit(True))).select(F.lit(name).alias("name"), (F.col(key) if isinstance(key, str) else key).cast("string").alias("key"), (detail if detail is not None else F.lit("")).cast("string").alias("detail"))
 
 
 def counts(df: DataFrame, name: str, by: list[str], expected: dict[tuple, int]) -> DataFrame:

@@ -78,6 +78,10 @@ def node_offsets(nodes: DataFrame, branch: str, node: str, size: str) -> DataFra
     return nodes.withColumn("offset", F.coalesce(before, F.lit(0)).cast("long"))
 
 
+#: System prompts of the arms.
+SYSTEMS = {"a": "Work step by step.", "b": "Predict, decide, then act."}
+
+
 def task_prompt(prompt: Column, tests: Column, prefix: Column, arm: Column, system_a: str, system_b: str) -> Column:
     """System and user message of a task."""
     user = F.concat(
@@ -88,7 +92,7 @@ def task_prompt(prompt: Column, tests: Column, prefix: Column, arm: Column, syst
     return F.array(message("system", F.when(arm == "a", system_a).otherwise(system_b)), message("user", user))
 
 
-def task_rows(tasks: DataFrame, arms=("a", "b"), system_a: str = "Work step by step.", system_b: str = "Predict, decide, then act.") -> DataFrame:
+def task_rows(tasks: DataFrame, arms=("a", "b"), system_a: str = SYSTEMS["a"], system_b: str = SYSTEMS["b"]) -> DataFrame:
     """A row per task and arm; tasks have task_id, case_id, prompt, test_code, split.  Narrow: no shuffle."""
     rows = tasks.withColumn("arm", F.explode(F.array(*(F.lit(a) for a in arms))))
     root = F.concat(F.lit("blueprints/"), F.col("case_id"))

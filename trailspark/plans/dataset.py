@@ -7,8 +7,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.functions.text import newlines, strip
-from trailspark.operators import execution, quality, sft, split, transcript
+from trailspark.functions.text import newlines, rstrip, strip
+from trailspark.operators import execution, quality, replay, sft, split, transcript
 from trailspark.sources.lines import file_digests, write_jsonl, write_manifest
 
 ARMS = ("a", "b")
@@ -70,20 +70,53 @@ def digests(spark: SparkSession, output: str) -> DataFrame:
     return found.withColumn("path", F.regexp_extract("path", r"([^/]+/[^/]+)$", 1))
 
 
-def violations(spark: SparkSession, output: str) -> DataFrame:
-    """(name, key, detail) of every broken constraint of a prepared data set."""
-    listed = spark.read.option("multiLine", True).option("primitivesAsString", True).json(f"{output}/manifest.json").select(F.from_json(F.to_json("artifacts"), "map<string,struct<sha256:string,bytes:string>>").alias("m"))
+def replayed(rows: DataFrame, timeout: float) -> DataFrame:
+    """(name, key, detail) of supervised traces of both arms that break the protocol or differ from their mode when their calls are run again."""
+    rows = rows.withColumn("trace", F.concat_ws("/", "arm", "case_id"))
+    turns = rows.select("trace", "arm", "test_code", F.lit(sft.PLACEHOLDER).alias("workspace"), F.posexplode("messages").alias("turn", "m")).select("*", "m.role", "m.content").drop("m")
+    plan = rows.select("trace", "arm", F.col("recovery_mode").alias("mode"), F.col("candidate_outcome").alias("first_outcome"), F.col("second_candidate_outcome").alias("second_outcome"))
+    broken = replay.shape_violations(replay.replay(turns, timeout=timeout), plan)
+    return broken.select(F.lit("replay").alias("name"), F.col("trace").alias("key"), F.col("problem").alias("detail"))
+
+
+def lengths(rows: DataFrame, tokenizer_file: str, max_tokens: int) -> DataFrame:
+    """(name, key, detail) of supervised traces whose rendered text has more tokens than allowed."""
+    counted = rows.withColumn("n", transcript.count_tokens(transcript.render(F.col("messages")), tokenizer_file))
+    return quality.rows_where(counted, "tokens", F.col("n") > max_tokens, F.concat_ws("/", "arm", "case_id"), F.col("n"))
+
+
+def violations(spark: SparkSession, output: str, *, timeout: float = 5, tokenizer_file: str | None = None, max_tokens: int = 1280) -> DataFrame:
+    """(name, key, detail) of every broken constraint of a prepared data set; lengths are checked if there is a tokenizer."""
+    document = spark.read.option("multiLine", True).option("primitivesAsString", True).json(f"{output}/manifest.json")
+    listed = document.select(F.from_json(F.to_json("artifacts"), "map<string,struct<sha256:string,bytes:string>>").alias("m"))
     listed = listed.select(F.explode("m").alias("path", "v")).select("path", "v.sha256", F.col("v.bytes").cast("long").alias("bytes"))
+    sizes = {k: int(v) for k, v in document.select("split.*").first().asDict().items() if k in PARTS.values()}
     read = lambda arm, label: spark.read.json(f"{output}/arm_{arm}_{label}")
     labels = [x for x in PARTS.values() if all(any(Path(output, f"arm_{a}_{x}").glob("part-*.json")) and read(a, x).columns for a in ARMS)]
     ids = [read("a", x).select("case_id", F.lit(x).alias("split")) for x in labels]
     checks = [quality.artifacts(listed, digests(spark, output)), quality.disjoint(quality.all_of(ids), "disjoint")]
     for x in labels:
-        fields = ["task_id", "test_code"] + (["matched_key", "candidate_outcome", "recovery_mode"] if x == "sft" else [])
-        a, b = (df if not (lost := [f for f in fields if f not in df.columns]) else df.select("*", *(F.lit(None).cast("string").alias(f) for f in lost)) for df in (read(arm, x) for arm in ARMS))
-        checks.append(quality.matched(a, b, f"matched {x}", fields))
+        own = ["matched_key", "candidate_outcome", "second_candidate_outcome", "recovery_mode"] if x == "sft" else ["split"]
+        says = F.col("messages" if x == "sft" else "prompt")
+        arms = []
+        for arm in ARMS:
+            df = read(arm, x)
+            for lost in [f for f in own if f not in df.columns]:  # written rows leave out nulls
+                df = df.withColumn(lost, F.lit(None).cast("string"))
+            df = df.withColumn("user", F.get(says, F.lit(1))["content"])
+            arms.append(df)
+            checks.append(quality.rows_where(df, f"metadata {arm} {x}", (F.col("arm") != arm) | (F.col("split") != x if x != "sft" else F.lit(False))))
+            checks.append(quality.rows_where(df, f"system {arm} {x}", F.get(says, F.lit(0))["content"] != transcript.SYSTEMS[arm]))
+            checks.append(quality.rows_where(df, f"tests in prompt {arm} {x}", ~F.contains("user", rstrip("test_code"))))
+            if x in sizes:
+                checks.append(quality.counts(df, f"count {x}", ["arm"], {(arm,): sizes[x]}))
+            if x == "sft":
+                checks.append(quality.rows_where(df, f"final {arm}", ~transcript.ends_final(F.col("messages"))))
+        checks.append(quality.matched(*arms, f"matched {x}", ["task_id", "test_code", "user", *own]))
         if x == "sft":
-            last = F.element_at("messages", -1)
-            final = (last["role"] == "assistant") & strip(last["content"]).startswith("FINAL:")
-            checks += [quality.rows_where(df, f"final {arm}", ~final) for arm, df in zip(ARMS, (a, b), strict=True)]
+            needed = ["arm", "case_id", "test_code", "messages", "candidate_outcome", "second_candidate_outcome", "recovery_mode"]
+            both = quality.all_of([df.select(*needed) for df in arms])
+            checks.append(replayed(both, timeout))
+            if tokenizer_file:
+                checks.append(lengths(both, tokenizer_file, max_tokens))
     return quality.all_of(checks)
