@@ -327,6 +327,21 @@ def test_simhash_empty_and_null_ids(spark):
 # --- quality
 
 
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_keep_first_is_brute_force(spark, broadcast_bytes):
+    rng = random.Random(21)
+    texts = [prose(rng, 60) for _ in range(12)]
+    data = [(i, texts[i % 12]) for i in range(1, 40)] + [(100 + i, t) for i, t in enumerate(nasty(rng))] + [(5, texts[5]), (200, "once more"), (200, "once more"), (None, texts[1]), (None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("fp", F.lit("clash")).withColumn("component_id", F.lit("clash"))
+    out = simhash.keep_first(df, broadcast_bytes=broadcast_bytes)
+    known = [(i, t) for i, t in data if i is not None]
+    roots = brute_components([i for i, _ in known], [brute_fingerprint(t) for _, t in known])
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == df.columns
+    assert sorted(got, key=repr) == sorted({x for x, root in zip(known, roots, strict=True) if x[0] == root} | {(None, texts[1]), (None, None)}, key=repr)
+    assert simhash.keep_first(df.limit(0), broadcast_bytes=broadcast_bytes).count() == 0
+
+
 def test_quality_accuracy_and_cases(spark):
     sf = "/root/testdata/sf0.01"
     out = queries.op7_quality(spark, sf)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import delete, short_batches, written
+from trailspark.llm.common import BROADCAST_BYTES, delete, short_batches, written
 
 SHINGLE = 3
 RADIUS = 3
@@ -228,12 +228,25 @@ def hexadecimal(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, **options) -> DataFrame:
     """One document of each group: those whose id is their component's smallest.
 
     Documents with a null id are kept.  Of rows that repeat one id, one row stays.
+    Only ids that go or repeat are looked up: they are broadcast under
+    ``broadcast_bytes``, so that texts need no shuffle, and joined by a shuffle
+    beyond it.
     """
-    classes = near_duplicates(docs, doc_id=doc_id, text=text, **options)
-    first = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    keyed = docs.where(F.col(doc_id).isNotNull()).join(first.withColumnRenamed("doc_id", "__first"), F.col(doc_id) == F.col("__first"), "left_semi")
-    return keyed.dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
+    classes = near_duplicates(docs, doc_id=doc_id, text=text, **options).where(F.col("doc_id").isNotNull())
+    by_id = classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"))
+    decided, _ = written(by_id.where(~F.col("first") | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("first").alias("__first")), "decided")
+    size, repeated = decided.agg(F.sum(F.octet_length(F.col("__id").cast("string")) + 64), F.count_if("__first")).first()
+    small, same = (size or 0) <= broadcast_bytes, F.col(doc_id) == F.col("__id")
+    decided = F.broadcast(decided) if small else decided
+    if small:
+        out = docs.join(decided, same, "left_anti")
+    else:  # null ids would meet in one task
+        out = docs.where(F.col(doc_id).isNotNull()).join(decided, same, "left_anti").unionByName(docs.where(F.col(doc_id).isNull()))
+    if repeated:
+        again = docs.join(decided.where("__first"), same, "left_semi")
+        out = out.unionByName(again.dropDuplicates([doc_id]))
+    return out
