@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailspark.llm import decontaminate, langid, mixing, quality, simhash
+from trailspark.llm import decontaminate, langid, mixing, quality, shingles, simhash
 from trailspark.llm.common import delete, table, written
 
 
@@ -23,8 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.keep_first(docs)
+    """One document of each group of near copies stays: fingerprints within the radius, or 0.8 of the five-word shingles."""
+    return simhash.keep_first(docs, similarity=shingles.SIMILARITY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

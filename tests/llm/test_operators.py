@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from trailspark.llm import decontaminate, htmltext, langid, mixing, preference, quality, queries, simhash, topk, urlfilter, warc
 
 SMALL = "/root/testdata/sf0.001"
@@ -324,6 +325,34 @@ def test_simhash_empty_and_null_ids(spark):
     assert simhash.keep_first(df).count() == 3
 
 
+def brute_shingles(text):
+    words = text.encode().translate(simhash._LOWER).split() if text else []
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_duplicates_by_similarity_are_brute_force(spark):
+    """Copies with several changed words, most beyond three bits, in groups of one bucket and in large ones."""
+    rng = random.Random(61)
+    texts = nasty(rng)
+    for copies in (1, 3, 40):
+        base = prose(rng, 200, WORDS + [f"w{i}" for i in range(500)]).split()
+        for _ in range(copies + 1):
+            words = list(base)
+            for at in rng.sample(range(200), rng.randint(0, 7)):
+                words[at] = f"new{rng.random()}"
+            texts.append(" ".join(words))
+    fps, sets = [brute_fingerprint(t) for t in texts], [brute_shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            alike = sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+            if (fps[i] ^ fps[j]).bit_count() <= 3 or alike:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    got = simhash.near_duplicates(documents(spark, texts), similarity=0.8).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == label != brute_components(range(len(texts)), fps)
+    assert corpus_pipeline.drop_near_duplicates(spark, documents(spark, texts), SMALL).count() == len(set(label))
+
+
 # --- quality
 
 

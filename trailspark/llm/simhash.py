@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailspark.llm import shingles
 from trailspark.llm.common import BROADCAST_BYTES, delete, short_batches, written
 
 SHINGLE = 3
@@ -209,19 +210,58 @@ def components(edges: DataFrame, *, rounds: int = 40) -> tuple[DataFrame, str]:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")), path
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fp (signed long), component_id of every row of ``docs``."""
+def _with_alike(docs: DataFrame, marked: DataFrame, edges: DataFrame, similarity: float) -> tuple[DataFrame, list[str]]:
+    """(node, root) as of ``components``, where fingerprints of texts alike are linked too, and the paths of helper tables."""
+    edges, path = written(edges, "near")
+    paths = [path]
+    by_node = marked.select("node", "fp").dropDuplicates(["node"])
+
+    def add(pairs: DataFrame) -> None:
+        nonlocal edges
+        found, more = shingles.alike(pairs, docs, text="text", similarity=similarity)
+        end = lambda c: by_node.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}"))
+        linked = found.join(end("a"), "a").join(end("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+        linked, path = written(linked.where("a <> b").distinct(), "alike")
+        edges = edges.unionByName(linked)
+        paths.extend([*more, path])
+
+    rows = shingles.buckets(marked)
+    add(shingles.candidates(rows, similarity=similarity, first=True))
+    member, member_path = components(edges)
+    large, path = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > shingles.SMALL).select("bucket"), "large-buckets")
+    paths.append(path)
+    if not large.isEmpty():
+        held = rows.join(large, "bucket", "left_semi")
+        roots = member.select(F.col("node").alias("part"), "root")
+        held = held.join(roots, "part", "left").select("bucket", "node", F.coalesce("root", "part").alias("part"), "n")
+        add(shingles.candidates(held, similarity=similarity, first=False))
+        delete(member.sparkSession, member_path)
+        member, _ = components(edges)
+    return member, paths
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET, similarity: float | None = None) -> DataFrame:
+    """doc_id, fp (signed long), component_id of every row of ``docs``.
+
+    With ``similarity``, texts whose sets of shingles reach it (see ``shingles``) are linked as well.
+    """
     spark = docs.sparkSession
-    marked, _ = written(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), size=size).select("doc_id", "fp"), "fingerprints")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    marked = fingerprints(docs, size=size)
+    marked, _ = written((shingles.banded(marked) if similarity else marked).drop("text"), "fingerprints")
     nodes, nodes_path = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     edges, helpers = links(nodes.select("fp"), radius=radius, bucket=bucket)
-    member, _ = components(edges)
+    if similarity:
+        member, more = _with_alike(docs, marked, edges, similarity)
+        helpers += more
+    else:
+        member, _ = components(edges)
     for path in helpers:
         delete(spark, path)
     roots = nodes.join(member, nodes.fp == member.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = roots.join(least, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return marked.select("doc_id", "fp").join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: str = "fp"):
