@@ -161,6 +161,14 @@ def test_execution_and_mutations(spark):
         assert r.initial_code.count(r.middle_find) == 1 and middle.replace(r.final_find, r.final_replace) == gold[r.case_id]
 
 
+def test_two_step_recovery_on_one_line(spark):
+    task = ("net", "def net(a, b, c):\n    return a + b - c\n", "assert net(1, 2, 4) == -1\n")
+    (net,) = execution.two_step_recovery(spark.createDataFrame([task], "case_id string, code string, test_code string"), timeout=2).collect()
+    line = "    return a {} b {} c\n".format
+    assert net.initial_code == "def net(a, b, c):\n" + line("-", "-")
+    assert (net.middle_find, net.middle_replace, net.final_find, net.final_replace) == (line("-", "-"), line("+", "+"), line("+", "+"), line("+", "-"))
+
+
 def test_constraints_find_seeded_defects(spark):
     good = spark.createDataFrame([(f"t{i}", "train" if i % 2 else "test", "p") for i in range(10)], "case_id string, split string, prompt string")
     clean = quality.all_of([quality.same_ids(good, good, "ids"), quality.disjoint(good, "disjoint"), quality.matched(good, good, "matched", ["prompt"]), quality.counts(good, "counts", ["split"], {("train",): 5, ("test",): 5}), quality.rows_where(good, "prompt", F.col("prompt") != "p")])

@@ -138,21 +138,22 @@ def one_step_recovery(tasks: DataFrame, *, key: str = "case_id", timeout: float
 
 
 def two_step_recovery(tasks: DataFrame, *, key: str = "case_id", timeout: float = 5) -> DataFrame:
-    """First failing mutation A, then the first later failing B on another line.
+    """First failing mutation A, then the first later failing B.
 
     The middle patch turns A's code into B's by the block of lines from one to
-    the other, which must occur once in A's code; the final patch undoes B.
+    the other (the line itself if both are on one), which must occur once in A's
+    code and differ from B's; the final patch undoes B.
     """
     failing = _run_mutations(tasks, key, timeout).join(tasks.select(key, "code"), key)
     rank = Window.partitionBy(key).orderBy("position")
     ranked = failing.withColumn("rank", F.row_number().over(rank))
     a = ranked.where("rank = 1").select(key, *(F.col(c).alias(f"a_{c}") for c in ("position", "line", "mutated", "outcome")))
-    pairs = ranked.join(a, key).where("position > a_position AND line <> a_line")
+    pairs = ranked.join(a, key).where("position > a_position")
     low, high = F.least("line", "a_line"), F.greatest("line", "a_line")
     block = lambda c: F.array_join(F.slice(F.split(c, r"(?<=\n)"), low + 1, high - low + 1), "")
     built = pairs.withColumn("middle_find", block(F.col("a_mutated"))).withColumn("middle_replace", block(F.col("mutated")))
     n = lambda text, find: (F.length(text) - F.length(F.replace(F.col(text), F.col(find)))) / F.length(find)
-    ok = built.where((n("a_mutated", "middle_find") == 1))
+    ok = built.where((n("a_mutated", "middle_find") == 1) & (F.col("middle_find") != F.col("middle_replace")))
     first = F.min_by(F.struct("a_mutated", "a_outcome", "middle_find", "middle_replace", "mutated", "outcome", "changed", "original"), "position").alias("m")
     return ok.groupBy(key).agg(first).select(
         key, F.col("m.a_mutated").alias("initial_code"), F.col("m.a_outcome").alias("first_outcome"), "m.middle_find", "m.middle_replace",
