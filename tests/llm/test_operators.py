@@ -325,6 +325,19 @@ def test_simhash_empty_and_null_ids(spark):
     assert simhash.keep_first(df).count() == 3
 
 
+def test_more_languages_than_a_word_of_a_mask(spark):
+    data, ids = [], iter(range(10_000))
+    for k in range(70):
+        letters = [chr(0x4E00 + 40 * k + i) for i in range(12)]
+        text = " ".join("".join(letters[i : i + 4]) for i in range(9))
+        data += [(next(ids), text, f"l{k:02}") for _ in range(12 if k < 64 else 8)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.languages) == 70 and model.masks.shape == (2, langid.SLOTS)
+    found = langid.identify(docs, model).select("lang", "language.lang_pred").distinct().collect()
+    assert {(r.lang, r.lang_pred) for r in found} == {(f"l{k:02}", f"l{k:02}") for k in range(70)}
+
+
 def brute_shingles(text):
     words = text.encode().translate(simhash._LOWER).split() if text else []
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()

@@ -4,7 +4,8 @@
 into n-grams.  An n-gram belongs to a language when its share of that
 language's n-grams is at least ``ratio`` of its largest share in any language.
 All languages share one Bloom filter whose slot ``j`` is a bit mask: bit ``l``
-is slot ``j`` of language ``l``'s own filter.
+is slot ``j`` of language ``l``'s own filter.  A mask has as many 64-bit words as
+the languages need.
 
 *Predict.*  ANDing the slots of an n-gram's hashes returns every language that
 contains it.  The popcount of a language over a text is corrected for its false
@@ -40,8 +41,8 @@ GRAMS = (2, 3, 4)
 RATIO = 0.4
 MIN_COUNT = 3
 UNKNOWN = "und"
-#: Languages in one mask.
-MAX_LANGUAGES = 64
+#: Languages in one word of a mask.
+WORD = 64
 #: Most characters worked on at once.
 SLICE_CHARS = 1 << 19
 
@@ -104,12 +105,12 @@ def _counted(parts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarr
 
 
 class BitSlicedBloom:
-    """One Bloom filter a language, held as a mask of languages in each slot."""
+    """One Bloom filter a language, held as a mask of languages in each slot: ``masks`` is [words, slots], or [slots] for one word."""
 
     def __init__(self, languages: list[str], masks: np.ndarray, hashes: int = HASHES):
         self.languages, self.masks, self.hashes = languages, masks, hashes
-        shifts = np.arange(len(languages), dtype=np.uint64)
-        fill = np.array([((masks >> s) & np.uint64(1)).mean() for s in shifts])
+        words = np.atleast_2d(masks)
+        fill = np.array([((words[i // WORD] >> np.uint64(i % WORD)) & np.uint64(1)).mean() for i in range(len(languages))])
         self.false_rate = fill**hashes
 
     @staticmethod
@@ -119,27 +120,28 @@ class BitSlicedBloom:
 
     @classmethod
     def build(cls, languages: list[str], members: dict[str, np.ndarray], size: int = SLOTS, hashes: int = HASHES):
-        masks = np.zeros(size, np.uint64)
-        for bit, name in enumerate(languages):
+        masks = np.zeros((max(1, -(-len(languages) // WORD)), size), np.uint64)
+        for i, name in enumerate(languages):
             for k in range(hashes):
-                masks[np.unique(cls.slots(members[name], k, size))] |= np.uint64(1 << bit)
-        return cls(languages, masks, hashes)
+                masks[i // WORD, np.unique(cls.slots(members[name], k, size))] |= np.uint64(1 << i % WORD)
+        return cls(languages, masks[0] if len(masks) == 1 else masks, hashes)
 
     def containing(self, h: np.ndarray) -> np.ndarray:
-        """The mask of languages of each n-gram."""
-        out = self.masks[self.slots(h, 0, len(self.masks))]
+        """The mask of languages of each n-gram, by word first if there are several."""
+        size = self.masks.shape[-1]
+        out = self.masks[..., self.slots(h, 0, size)]
         for k in range(1, self.hashes):
-            out &= self.masks[self.slots(h, k, len(self.masks))]
+            out &= self.masks[..., self.slots(h, k, size)]
         return out
 
     def counts(self, text: str, sizes=GRAMS) -> tuple[np.ndarray, int]:
         """Popcounts by language, corrected, and the number of n-grams."""
         hits, n = np.zeros(len(self.languages)), 0
         for h in _all_grams(codes(text), sizes):
-            masks = self.containing(h)
+            words = np.atleast_2d(self.containing(h))
             n += len(h)
-            for bit in range(len(self.languages)):
-                hits[bit] += np.count_nonzero(masks & np.uint64(1 << bit))
+            for i in range(len(self.languages)):
+                hits[i] += np.count_nonzero(words[i // WORD] & np.uint64(1 << i % WORD))
         return np.clip((hits - n * self.false_rate) / (1 - np.minimum(self.false_rate, 0.999)), 0, None), n
 
     def predict(self, text: str | None, sizes=GRAMS) -> tuple[str, float]:
@@ -162,12 +164,12 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("i"), F.col(lang).alias("l"), F.col(text).alias("t"))
     rows = rows.where(F.col("i").isNotNull() & F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out("i"))
-    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()}
+    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return BitSlicedBloom([], np.zeros(1, np.uint64))
     rate = F.create_map(*(x for name, n in sizes.items() for x in (F.lit(name), F.lit(min(1.0, per_language / n)))))
     draw = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(F.col("l").isin(*sizes) & (draw < F.element_at(rate, F.col("l"))))
+    sample = rows.where(draw < F.element_at(rate, F.col("l")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
