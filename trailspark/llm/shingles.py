@@ -14,8 +14,13 @@ sets.  Only texts of some candidate are cut into sets.
 
 *Large buckets.*  All pairs of a bucket up to ``SMALL`` texts are checked at once.
 In a larger one the nearest ``SHIFTS`` neighbours are, and, once links are joined
-to components, all its pairs whose ends are still in different components: no
-pair of a bucket is left out unless its ends are linked already.
+to components, the texts outside the bucket's largest component are held against
+all texts of other components.  An exact bound first rules out most of these
+pairs without making them: a text's *sketch* counts its shingles by cells of a
+hash, and two texts share no more shingles than the smaller counts of all cells
+add up to.  No pair that could be alike is left out unless its ends are linked
+already.  A task takes ``CHUNK`` texts outside the largest component and lets the
+other texts of the bucket stream past, so it holds no bucket.
 """
 
 from __future__ import annotations
@@ -38,6 +43,8 @@ SEED = 7
 #: Texts of a bucket whose pairs are all checked at once, and neighbours checked first in larger buckets.
 SMALL = 16
 SHIFTS = 3
+#: Texts outside a bucket's largest component that one task holds.
+CHUNK = 4096
 #: Pairs of one output batch.
 PAIRS = 1 << 16
 
@@ -96,31 +103,37 @@ def buckets(marked: DataFrame, *, into: str = "banded") -> DataFrame:
     return once.select(F.explode(f"{into}.bands").alias("bucket"), "node", F.col("fp").alias("part"), F.col(f"{into}.n").alias("n"))
 
 
-def _pairs_in(batches: Iterator[pd.DataFrame], similarity: float, first: bool) -> Iterator[pd.DataFrame]:
-    """Candidates (a, b) of each bucket; the rows come sorted by bucket, which may go over the end of a batch.
+def _neighbours(bucket, node, part, n, similarity: float) -> Iterator[pd.DataFrame]:
+    """Pairs of whole buckets: all of small ones, the nearest rows of large ones."""
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    sizes = np.diff(np.append(starts, len(bucket)))
+    ends, sizes = np.repeat(starts + sizes, sizes), np.repeat(sizes, sizes)
+    live, step = np.flatnonzero(sizes > 1), 1
+    while len(live := live[(live + step < ends[live]) & ((sizes[live] <= SMALL) | (step <= SHIFTS))]):
+        for at in range(0, len(live), PAIRS):
+            i = live[at : at + PAIRS]
+            j = i + step
+            near = (part[i] != part[j]) & (n[i] / n[j] >= similarity)  # sorted by n
+            a, b = node[i[near]], node[j[near]]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        step += 1
+
+
+def _pairs_in(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """Candidates (a, b) of each bucket; the rows come sorted by bucket and n, and a bucket may go over the end of a batch.
 
     Rows of one ``part`` are linked already.
     """
     held: list[pd.DataFrame] = []
 
     def solve(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        bucket, node, part, n = (rows[c].to_numpy(np.int64) for c in ("bucket", "node", "part", "n"))
-        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        sizes = np.diff(np.append(starts, len(bucket)))
-        ends, sizes = np.repeat(starts + sizes, sizes), np.repeat(sizes, sizes)
-        live, step, out, count = np.flatnonzero(sizes > 1), 1, [], 0
-        while len(live := live[(live + step < ends[live]) & ((sizes[live] <= SMALL) | (step <= SHIFTS) | (not first))]):
-            for at in range(0, len(live), PAIRS):
-                i = live[at : at + PAIRS]
-                j = i + step
-                near = (part[i] != part[j]) & (np.minimum(n[i], n[j]) / np.maximum(n[i], n[j]) >= similarity)
-                a, b = node[i[near]], node[j[near]]
-                out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
-                count += len(a)
-                if count >= PAIRS:
-                    yield pd.concat(out)
-                    out, count = [], 0
-            step += 1
+        out, count = [], 0
+        for found in _neighbours(*(rows[c].to_numpy(np.int64) for c in ("bucket", "node", "part", "n")), similarity):
+            out.append(found)
+            count += len(found)
+            if count >= PAIRS:
+                yield pd.concat(out)
+                out, count = [], 0
         if count:
             yield pd.concat(out)
 
@@ -139,10 +152,87 @@ def _pairs_in(batches: Iterator[pd.DataFrame], similarity: float, first: bool) -
         yield from solve(pd.concat(held))
 
 
-def candidates(rows: DataFrame, *, similarity: float, first: bool) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of ``rows`` (bucket, node, part, n)."""
+def candidates(rows: DataFrame, *, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of ``rows`` (bucket, node, part, n): all of small buckets, neighbours of large ones."""
     dealt = rows.select("bucket", "node", "part", "n").repartition("bucket").sortWithinPartitions("bucket", "n", "node")
-    return dealt.mapInPandas(lambda it: _pairs_in(it, similarity, first), "a long, b long").distinct()
+    return dealt.mapInPandas(lambda it: _pairs_in(it, similarity), "a long, b long").distinct()
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Shingles by cell; a power of two of cells, so that a finer sketch folds to a coarser one."""
+    cells = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    while (counts := np.bincount((shingles & np.uint64(cells - 1)).astype(np.int64), minlength=cells)).max() > 255:
+        cells *= 2
+    return counts.astype(np.uint8)
+
+
+def _folded(counts: np.ndarray, cells: int) -> np.ndarray:
+    """Counts [row, cell] in fewer cells."""
+    return counts if counts.shape[1] == cells else counts.reshape(len(counts), -1, cells).sum(1, dtype=np.uint16)
+
+
+def _past(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """Pairs that may be alike of each (bucket, chunk): its own texts come first, and the others go past them."""
+    key, own = None, []
+    ratio = (1 + similarity) / similarity  # alike texts share at least (n1 + n2) / ratio
+
+    def meet(held: list, rows: pd.DataFrame, inside: bool) -> Iterator[pd.DataFrame]:
+        node, part, n = (rows[c].to_numpy(np.int64) for c in ("node", "part", "n"))
+        sizes = rows["sketch"].map(len).to_numpy()
+        for cells in np.unique(sizes):
+            at = np.flatnonzero(sizes == cells)
+            counts = np.frombuffer(b"".join(rows["sketch"].iloc[at]), np.uint8).reshape(len(at), cells)
+            for h_node, h_part, h_n, h_counts, h_at in held:
+                near = (part[at] != h_part) & (np.minimum(n[at], h_n) >= similarity * np.maximum(n[at], h_n))
+                if inside:
+                    near &= at > h_at
+                if not near.any():
+                    continue
+                least = min(cells, h_counts.shape[1])
+                shared = np.minimum(_folded(counts[near], least), _folded(h_counts, least)).sum(1, dtype=np.int64)
+                found = node[at[near]][shared * ratio >= n[at[near]] + h_n - 1e-6]
+                if len(found):
+                    yield pd.DataFrame({"a": np.minimum(found, h_node), "b": np.maximum(found, h_node)})
+
+    for batch in batches:
+        for k, rows in batch.groupby(["bucket", "chunk"], sort=False):
+            if k != key:
+                key, own = k, []
+            late = rows["late"].to_numpy(bool)
+            mine = rows[~late]
+            if len(mine):
+                new = [(i, p, n, np.frombuffer(c, np.uint8)[None], at) for at, (i, p, n, c) in enumerate(zip(mine["node"], mine["part"], mine["n"], mine["sketch"], strict=True))]
+                yield from meet(own, mine, False)
+                yield from meet(new, mine, True)
+                own += new
+            if late.any():
+                yield from meet(own, rows[late], False)
+
+
+def across(rows: DataFrame, docs: DataFrame, *, text: str, similarity: float) -> tuple[DataFrame, list[str]]:
+    """Distinct pairs (a, b) of ``rows`` (bucket, node, part, n) of different parts of a bucket that may be alike, and the paths of helper tables."""
+    parts = rows.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket")
+    parts = parts.agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
+    rows = rows.join(parts, "bucket").withColumn("chunks", F.ceil(F.col("outside") / CHUNK).cast("int"))
+    own = F.when(F.col("part") != F.col("main"), F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))  # null in the largest part
+    rows, path = written(rows.select("bucket", "node", "part", "n", "chunks", own.alias("own")), "unsettled")
+    wanted = rows.select("node").distinct()
+    if 16 * wanted.count() <= BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
+
+    @F.pandas_udf("binary")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([sketch(shingle_set(t)).tobytes() for t in texts], dtype=object)
+
+    texts = docs.select(F.xxhash64(text).alias("node"), F.col(text).alias("text")).join(wanted, "node", "left_semi")
+    sketches, sketch_path = written(texts.select("node", cut("text").alias("sketch")).groupBy("node").agg(F.first("sketch").alias("sketch")), "sketches")
+    # a text meets the chunks before its own, and those of the largest part meet all
+    last = F.coalesce("own", F.col("chunks") - 1)
+    dealt = rows.select("bucket", "node", "part", "n", "own", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
+    dealt = dealt.join(sketches, "node").select("bucket", "chunk", (~F.col("own").eqNullSafe(F.col("chunk"))).alias("late"), "node", "part", "n", "sketch")
+    dealt = dealt.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "late", "node")
+    return dealt.mapInPandas(lambda it: _past(it, similarity), "a long, b long").distinct(), [path, sketch_path]
 
 
 def alike(pairs: DataFrame, docs: DataFrame, *, text: str, similarity: float) -> tuple[DataFrame, list[str]]:

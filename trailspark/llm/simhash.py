@@ -226,7 +226,7 @@ def _with_alike(docs: DataFrame, marked: DataFrame, edges: DataFrame, similarity
         paths.extend([*more, path])
 
     rows = shingles.buckets(marked)
-    add(shingles.candidates(rows, similarity=similarity, first=True))
+    add(shingles.candidates(rows, similarity=similarity))
     member, member_path = components(edges)
     large, path = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > shingles.SMALL).select("bucket"), "large-buckets")
     paths.append(path)
@@ -234,7 +234,9 @@ def _with_alike(docs: DataFrame, marked: DataFrame, edges: DataFrame, similarity
         held = rows.join(large, "bucket", "left_semi")
         roots = member.select(F.col("node").alias("part"), "root")
         held = held.join(roots, "part", "left").select("bucket", "node", F.coalesce("root", "part").alias("part"), "n")
-        add(shingles.candidates(held, similarity=similarity, first=False))
+        pairs, more = shingles.across(held, docs, text="text", similarity=similarity)
+        paths += more
+        add(pairs)
         delete(member.sparkSession, member_path)
         member, _ = components(edges)
     return member, paths
