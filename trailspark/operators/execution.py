@@ -6,6 +6,7 @@ time limit and a group kill.  This is isolation from accidents, not a sandbox.
 
 from __future__ import annotations
 
+import contextlib
 import io
 import os
 import secrets
@@ -14,7 +15,9 @@ import subprocess
 import sys
 import tempfile
 import tokenize
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from pathlib import Path
 
 import pandas as pd
@@ -40,32 +43,75 @@ def classify(stderr: str) -> str:
     return "OTHER"
 
 
-def run_tests(code: str | None, tests: str | None, timeout: float = 5) -> dict:
-    """Run code and tests together: a pass needs exit code 0 and, as the last line out, a marker of this run."""
-    marker = f"passed-{secrets.token_hex(16)}"
-    script = "\n\n".join([(code or "").rstrip(), (tests or "").rstrip(), f"import sys as _s\n_s.__stdout__.write({marker!r} + '\\n')\n"])
-    with tempfile.TemporaryDirectory() as folder:
-        file = Path(folder, "check.py")
-        file.write_text(script, encoding="utf-8", errors="surrogatepass")
-        env = {"PATH": os.environ.get("PATH", "/usr/bin:/bin"), "LANG": "C.UTF-8", "HOME": folder, "PYTHONDONTWRITEBYTECODE": "1"}
-        process = subprocess.Popen([sys.executable, "-B", str(file)], cwd=folder, env=env, stdin=subprocess.DEVNULL, stdout=subprocess.PIPE, stderr=subprocess.PIPE, text=True, errors="replace", start_new_session=True)
-        late = False
+#: Runs in a fresh interpreter: executes the files named, in one namespace, and sends the receipt that came on standard
+#: input down its own pipe only if all of them came to their end.
+_RUNNER = """
+import os, sys
+receipt = sys.stdin.readline()
+pipe, *files = sys.argv[1:]
+sys.argv[1:] = []
+space = {"__name__": "__main__"}
+for program in [compile(open(f, "rb").read(), os.path.basename(f), "exec") for f in files]:
+    exec(program, space)
+os.write(int(pipe), receipt.encode())
+"""
+
+
+class _Sandbox:
+    """One interpreter in a session, folder and environment of its own; all that it started ends with it."""
+
+    def __init__(self, files: dict[str, str]):
+        self.folder = tempfile.TemporaryDirectory()
+        self.paths = [Path(self.folder.name, name) for name in files]
+        for path, text in zip(self.paths, files.values(), strict=True):
+            path.write_text(text, encoding="utf-8", errors="surrogatepass")
+
+    def __enter__(self) -> _Sandbox:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.folder.cleanup()
+
+    def run(self, timeout: float) -> tuple[int | None, str, bool]:
+        """(exit code or None if it was late, standard error, whether the receipt came back)."""
+        ours, theirs = os.pipe()
+        home = self.folder.name
+        env = {"PATH": os.environ.get("PATH", "/usr/bin:/bin"), "LANG": "C.UTF-8", "HOME": home, "PYTHONDONTWRITEBYTECODE": "1"}
+        receipt = secrets.token_hex(16)
         try:
-            out, err = process.communicate(timeout=timeout)
-        except subprocess.TimeoutExpired:
-            late = True
-        finally:
+            child = subprocess.Popen([sys.executable, "-c", _RUNNER, str(theirs), *map(str, self.paths)], cwd=home, env=env, pass_fds=[theirs], start_new_session=True, stdin=subprocess.PIPE, stdout=subprocess.DEVNULL, stderr=subprocess.PIPE)
+            os.close(theirs)
+            try:
+                _, said = child.communicate(f"{receipt}\n".encode(), timeout)
+                code = child.returncode
+            except subprocess.TimeoutExpired:
+                code, said = None, b""
+            self.end(child)
+            os.set_blocking(ours, False)  # a process that got away may hold the other end
             try:
-                os.killpg(process.pid, signal.SIGKILL)  # also what the candidate left behind
-            except ProcessLookupError:
-                pass
-        if late:
-            process.communicate()
-            return {"success": False, "outcome": "TIMEOUT", "exit_code": -1, "timed_out": True, "detail": FAILURE_TEXT["TIMEOUT"]}
-    if process.returncode == 0 and out.strip().splitlines()[-1:] == [marker]:
-        return {"success": True, "outcome": "PASS", "exit_code": 0, "timed_out": False, "detail": "tests passed"}
-    outcome = classify(err)
-    return {"success": False, "outcome": outcome, "exit_code": process.returncode, "timed_out": False, "detail": FAILURE_TEXT[outcome]}
+                back = os.read(ours, 100).decode()
+            except BlockingIOError:
+                back = ""
+        finally:
+            os.close(ours)
+        return code, said.decode("utf-8", "replace"), back.strip() == receipt
+
+    @staticmethod
+    def end(child: subprocess.Popen) -> None:
+        with contextlib.suppress(ProcessLookupError):
+            os.killpg(child.pid, signal.SIGKILL)
+        child.communicate()
+
+
+def run_tests(code: str | None, tests: str | None, timeout: float = 5) -> dict:
+    """Run code, then tests, as one program: a pass needs exit code 0 and the receipt."""
+    with _Sandbox({"solution.py": code or "", "tests.py": tests or ""}) as box:
+        exit_code, said, receipt = box.run(timeout)
+    outcome = "TIMEOUT" if exit_code is None else "PASS" if exit_code == 0 and receipt else classify(said)
+    return {
+        "success": outcome == "PASS", "outcome": outcome, "exit_code": -1 if exit_code is None else exit_code, "timed_out": exit_code is None,
+        "detail": "tests passed" if outcome == "PASS" else FAILURE_TEXT[outcome],
+    }
 
 
 def verify(candidates: DataFrame, *, code: str = "code", tests: str = "test_code", timeout: float = 5) -> DataFrame:
@@ -88,28 +134,49 @@ def failing_gold(tasks: DataFrame, **options) -> DataFrame:
     return verify(tasks, **options).where("run.outcome <> 'PASS'")
 
 
+class _Source:
+    """A program by its lines, and which of them an edit may touch."""
+
+    def __init__(self, code: str):
+        self.code = code
+        self.lines = code.splitlines(keepends=True)
+        self.times = Counter(self.lines)
+        self.starts = [0, *accumulate(map(len, self.lines))]
+
+    def open_to_edits(self, row: int) -> bool:
+        return row < len(self.lines) and self.times[self.lines[row]] == 1 and not self.lines[row].lstrip().startswith(_SKIPPED)
+
+    def edited(self, row: int, span: tuple[int, int], word: str) -> tuple[str, str]:
+        """The new line and the new program."""
+        at, to = (self.starts[row] + x for x in span)
+        whole = self.code[:at] + word + self.code[to:]
+        return whole[self.starts[row] : self.starts[row + 1] + len(whole) - len(self.code)], whole
+
+
+def _edits(code: str) -> Iterator[tuple[int, tuple[int, int], str]]:
+    """(row, columns, new word) of every token of one line that has a replacement."""
+    for kind, word, (row, left), (last, right), _ in tokenize.generate_tokens(io.StringIO(code).readline):
+        if kind == tokenize.NUMBER and word.isdigit():
+            word = str(int(word) + 1)
+        elif (word := REPLACEMENTS.get(word)) is None:
+            continue
+        if row == last:
+            yield row - 1, (left, right), word
+
+
 def mutate(code: str) -> Iterator[tuple[int, str, str, str]]:
     """(line, before, after, mutated code) of single-token changes in token order.
 
-    Lines that define or import, that occur more than once, and changes that
-    give a line the code already has are left out.
+    Lines that define or import, that occur more than once, and changes that give
+    a line the code already has are left out.  Code that cannot be tokenized is an
+    error.
     """
-    lines = code.splitlines(keepends=True)
-    try:
-        found = list(tokenize.generate_tokens(io.StringIO(code).readline))
-    except (tokenize.TokenError, SyntaxError):
-        return
-    for t in found:
-        row, col = t.start
-        if t.end[0] != row or row > len(lines):
-            continue
-        line = lines[row - 1]
-        new = REPLACEMENTS.get(t.string) or (str(int(t.string) + 1) if t.type == tokenize.NUMBER and t.string.isdigit() else None)
-        if new is None or line.lstrip().startswith(_SKIPPED) or lines.count(line) > 1:
-            continue
-        changed = line[:col] + new + line[t.end[1] :]
-        if changed not in lines:
-            yield row - 1, line, changed, "".join([*lines[: row - 1], changed, *lines[row:]])
+    source = _Source(code)
+    for row, span, word in _edits(code):
+        if source.open_to_edits(row):
+            line, whole = source.edited(row, span, word)
+            if line not in source.times:
+                yield row, source.lines[row], line, whole
 
 
 def mutations(tasks: DataFrame, *, key: str = "case_id", code: str = "code") -> DataFrame:
@@ -117,7 +184,12 @@ def mutations(tasks: DataFrame, *, key: str = "case_id", code: str = "code") ->
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = [(k, i, *m, m[3].count(m[2]) == 1) for k, c in zip(rows["k"], rows["c"], strict=True) for i, m in enumerate(mutate(c or ""))]
+            out = []
+            for k, c in zip(rows["k"], rows["c"], strict=True):
+                try:
+                    out += [(k, i, *m, m[3].count(m[2]) == 1) for i, m in enumerate(mutate(c or ""))]
+                except (tokenize.TokenError, SyntaxError) as e:
+                    raise ValueError(f"{k}: code cannot be tokenized: {e}") from e
             yield pd.DataFrame(out, columns=["key", "position", "line", "original", "changed", "mutated", "unique"])
 
     schema = "key string, position int, line int, original string, changed string, mutated string, unique boolean"
