@@ -28,11 +28,24 @@ def erfc(c: Column) -> Column:
     return F.pandas_udf(lambda x: pd.Series([None if v is None or v != v else math.erfc(v) for v in x], dtype="float64"), "double")(c)  # type: ignore[call-overload]
 
 
+def two_sided(a: int, b: int) -> float:
+    """Exact two-sided p of a : b discordant pairs: the lower tail of a fair coin, twice.
+
+    Terms are summed from the largest down until they no longer count, so the work
+    is that of the distribution's width, not of its size.
+    """
+    n, low = a + b, min(a, b)
+    if not n:
+        return 1.0
+    top = math.lgamma(n + 1) - math.lgamma(low + 1) - math.lgamma(n - low + 1) - n * math.log(2)
+    total, term, k = 0.0, 1.0, low
+    while k >= 0 and term > 1e-18 * total:
+        total += term
+        term *= k / (n - k + 1)
+        k -= 1
+    return min(1.0, 2 * math.exp(top) * total)
+
+
 def binomial_two_sided(a: Column, b: Column) -> Column:
-    """Exact two-sided p of a : b discordant pairs, in log space so that large counts do not overflow."""
-    n, low = a + b, F.least(a, b)
-    logs = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), low.cast("long")), F.struct((-n * math.log(2)).cast("double").alias("term"), F.lit(0.0).alias("sum")),
-        lambda s, k: F.struct((s["term"] + F.when(k < low, F.ln((n - k) / (k + 1))).otherwise(0.0)).alias("term"), (s["sum"] + F.exp(s["term"])).alias("sum")),
-    )
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), logs["sum"] * 2))
+    run = lambda xs, ys: pd.Series([None if pd.isna(x) or pd.isna(y) else two_sided(int(x), int(y)) for x, y in zip(xs, ys, strict=True)], dtype="float64")
+    return F.pandas_udf(run, "double")(a, b)  # type: ignore[call-overload]

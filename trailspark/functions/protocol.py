@@ -27,6 +27,9 @@ def lookup(key: Column, table: dict) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
 
 
+# The marks of ``outcome_of_stderr`` and the error texts below.
+
+
 def outcome_of_stderr(stderr: Column, timed_out: Column) -> Column:
     """The failure class of a run, by priority."""
     has = lambda x: F.coalesce(F.contains(stderr, F.lit(x)), F.lit(False))
@@ -47,8 +50,8 @@ def outcome_of_result(outcome: Column, success: Column) -> Column:
 def parse_lines(lines: Column) -> Column:
     """array<struct<line, tool, id, params, error>> of an array of lines: all null but ``line`` where none is a call.
 
-    Each transform names what the next needs more than once, so nothing is
-    parsed twice.
+    Each transform names what the next needs more than once; a payload is parsed
+    once, to a variant, from which the rest is taken.
     """
     shape = r"(?s)\ACALL\s+(\S+)\s+(.*)\z"
     bare = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), T.strip(x).alias("bare")))
@@ -56,8 +59,11 @@ def parse_lines(lines: Column) -> Column:
         x["line"].alias("line"), F.startswith(x["bare"], F.lit("CALL ")).alias("is_call"), F.regexp_extract(x["bare"], shape, 1).alias("tool"), F.regexp_extract(x["bare"], shape, 2).alias("payload")
     ))
     read = F.transform(split, lambda x: F.struct(
-        x["line"].alias("line"), x["is_call"].alias("is_call"), x["tool"].alias("tool"), F.when(x["is_call"], F.from_json(x["payload"], "map<string,string>")).alias("fields"),
-        F.when(x["is_call"], F.try_parse_json(x["payload"])).alias("json"), F.when(x["is_call"], F.from_json(x["payload"], "map<string,variant>")).alias("kinds"),
+        x["line"].alias("line"), x["is_call"].alias("is_call"), x["tool"].alias("tool"), F.when(x["is_call"], F.try_parse_json(x["payload"])).alias("json"),
+    ))
+    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    read = F.transform(read, lambda x: F.struct(
+        x["line"].alias("line"), x["is_call"].alias("is_call"), x["tool"].alias("tool"), x["json"].alias("json"), F.when(is_object(x["json"]), x["json"].cast("map<string,variant>")).alias("kinds")
     ))
     text = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")) == "STRING"
     name = F.lit(rf"(?U)\A{TOOL_NAME}\z")
@@ -66,8 +72,8 @@ def parse_lines(lines: Column) -> Column:
         call_id = F.try_element_at(x["kinds"], F.lit("id"))
         return (
             F.when((x["tool"] == "") | x["json"].isNull(), "malformed CALL: bad JSON")
-            .when(~F.rlike(x["tool"], name) | ~F.schema_of_variant(x["json"]).startswith("OBJECT"), "malformed CALL")
-            .when(~text(call_id) | (F.try_element_at(x["fields"], F.lit("id")) == ""), "CALL requires a string id")
+            .when(~F.rlike(x["tool"], name) | x["kinds"].isNull(), "malformed CALL")
+            .when(~text(call_id) | (call_id.try_cast("string") == ""), "CALL requires a string id")
             .when(~F.forall(F.map_values(x["kinds"]), text), "CALL arguments must be strings")
         )
 
@@ -75,9 +81,10 @@ def parse_lines(lines: Column) -> Column:
 
     def row(y: Column) -> Column:
         x, ok = y["x"], y["x"]["is_call"] & y["error"].isNull()
-        params = F.map_filter(x["fields"], lambda k, v: k != "id")
+        params = F.transform_values(F.map_filter(x["kinds"], lambda k, v: k != "id"), lambda k, v: v.cast("string"))
+        call_id = F.try_element_at(x["kinds"], F.lit("id")).cast("string")
         return F.struct(
-            x["line"].alias("line"), F.when(ok, x["tool"]).alias("tool"), F.when(ok, F.try_element_at(x["fields"], F.lit("id"))).alias("id"), F.when(ok, params).alias("params"), y["error"].alias("error")
+            x["line"].alias("line"), F.when(ok, x["tool"]).alias("tool"), F.when(ok, call_id).alias("id"), F.when(ok, params).alias("params"), y["error"].alias("error")
         )
 
     return F.transform(judged, row)

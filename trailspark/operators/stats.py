@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,26 +30,24 @@ def mcnemar(counts: DataFrame) -> DataFrame:
     return counts.withColumn("statistic", stat).withColumn("p_value", erfc(F.sqrt(F.col("statistic") / 2))).withColumn("p_exact", F.when(a + b > 0, binomial_two_sided(a, b)))
 
 
-def draw(seed: int, size):
-    """The index that resample ``b`` draws at place ``i``: a hash, so that any engine can repeat it."""
-    word = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string")), 256), 1, 12), 16, 10)
-    return F.pmod(word.cast("long"), size)
-
-
 def bootstrap_ci(counts: DataFrame, samples: int = 10_000, seed: int = 0) -> DataFrame:
-    """2.5 and 97.5 % order statistics of the resampled difference (b - a, in points).
+    """2.5 and 97.5 % order statistics, and the mean, of the resampled difference (b - a, in points).
 
-    Pairs come in four kinds, so a drawn index tells its kind by the counts
-    alone: [a only | b only | rest].  Draws are generated, counted by resample
-    and never joined with the data.
+    Pairs come in three kinds: a only, b only, and the rest.  How often a resample
+    draws each is multinomial, so a resample is one draw of three counts, whatever
+    the number of pairs.  Without pairs all are null.
     """
-    n_pairs = counts.select("n", "a_only", "b_only")
-    spark = counts.sparkSession
-    grid = spark.range(samples).select(F.col("id").alias("b")).join(F.broadcast(n_pairs))  # one row of counts
-    draws = grid.select("b", "n", "a_only", "b_only", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    hit = draws.withColumn("at", draw(seed, F.col("n")))
-    gain = F.when(F.col("at") < F.col("a_only"), -1).when(F.col("at") < F.col("a_only") + F.col("b_only"), 1).otherwise(0)
-    diffs = hit.groupBy("b").agg((100.0 * F.sum(gain) / F.first("n")).alias("d"))
-    ordered = diffs.agg(F.array_sort(F.collect_list("d")).alias("ds"))  # one number a resample
-    at = lambda q: F.get("ds", F.lit(int(q * samples)))
-    return ordered.select(at(0.025).alias("low"), at(0.975).alias("high"))
+
+    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for n, a, b in zip(rows["n"], rows["a_only"], rows["b_only"], strict=True):
+                if not n:
+                    out.append((None, None, None))
+                    continue
+                drawn = np.random.default_rng(seed).multinomial(n, [a / n, b / n, max(0.0, 1 - (a + b) / n)], samples)
+                diffs = np.sort(100.0 * (drawn[:, 1] - drawn[:, 0]) / n)
+                out.append((diffs[int(0.025 * samples)], diffs[int(0.975 * samples)], diffs.mean()))
+            yield pd.DataFrame(out, columns=["low", "high", "mean"], dtype="float64")
+
+    return counts.select("n", "a_only", "b_only").mapInPandas(resample, "low double, high double, mean double")  # one row

@@ -79,11 +79,12 @@ def node_offsets(nodes: DataFrame, branch: str, node: str, size: str) -> DataFra
 
 
 #: System prompts of the arms.
-SYSTEMS = {"a": "Work step by step.", "b": "Predict, decide, then act."}
+SYSTEMS = {"a": "Work step by step.", "b": "State the outcome, decide, then act."}
 
 
 def task_prompt(prompt: Column, tests: Column, prefix: Column, arm: Column, system_a: str, system_b: str) -> Column:
     """System and user message of a task."""
+    # The user's words.
     user = F.concat(
         F.lit("Implement the requested Python function in solution.py. Run the tests.\n\n"), prompt, F.lit("\n\nYour code must pass these tests:\n"), T.rstrip(tests),
         F.lit("\n\nThe project is at "), prefix, F.lit("."),

@@ -117,10 +117,16 @@ def load_traces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    """(name, outcome): whether the first reward is above 0; the last line of a name wins."""
-    rows = read_jsonl(spark, path).select("line", F.try_variant_get("row", "$.task.data.name", "string").alias("name"), F.to_json(F.try_variant_get("row", "$.rewards", "variant")).alias("r"))
-    first = F.get(F.map_values(F.from_json("r", "map<string,double>")), F.lit(0))
-    return rows.groupBy("name").agg(F.max_by(F.coalesce((first > 0).cast("int"), F.lit(0)), "line").alias("outcome"))
+    """(name, outcome): whether the first reward, in the order of the file, is above 0; the last line of a name wins.
+
+    A variant sorts its keys, so rewards are read from the line itself.
+    """
+    checked = read_jsonl(spark, path).select("line", F.try_variant_get("row", "$.task.data.name", "string").alias("name"))
+    said = read_lines(spark, path).select(F.col("line").alias("at"), F.from_json("value", "rewards map<string,string>")["rewards"].alias("r"))
+    first = F.get(F.map_values("r"), F.lit(0))
+    passed = F.when(first == "true", 1.0).when(first == "false", 0.0).otherwise(first.try_cast("double")) > 0
+    rows = checked.join(said, F.col("line") == F.col("at"))
+    return rows.groupBy("name").agg(F.max_by(F.coalesce(passed.cast("int"), F.lit(0)), "line").alias("outcome"))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
