@@ -1,5 +1,6 @@
 """Command line: passk TRACES -k N, report TRACES, compare BEFORE AFTER -k N, stats A B,
-prepare TASKS OUTPUT with sizes and seed, validate OUTPUT [--tokenizer FILE --max-tokens N]."""
+prepare TASKS OUTPUT with sizes, seed and tables, validate OUTPUT [--tokenizer FILE --max-tokens N]: a line per
+violation, then their number."""
 
 from __future__ import annotations
 
@@ -17,7 +18,9 @@ from trailspark.sources.lines import load_outcomes, load_traces
 
 
 #: Options of prepare: tasks of each part, supervised tasks that recover from two or one failures, and the seed.
-SIZES = {"n-sft": 212, "n-rl": 212, "n-deep": 20, "n-shallow": 50, "seed": 42}
+SIZES = {"n-sft": 212, "n-rl": 212, "n-deep": 20, "n-shallow": 50, "n-moved": 0, "seed": 42}
+#: Tables whose ids can be required.
+PARTS = ("train", "validation", "test")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -32,6 +35,10 @@ def main(argv: list[str] | None = None) -> None:
         if name == "prepare":
             for option, default in SIZES.items():
                 sub.add_argument(f"--{option}", type=int, default=default)
+            sub.add_argument("--validation", help="table of validation tasks; the first --n-moved of them are trained on")
+            sub.add_argument("--test", help="table of test tasks; without it, the tasks left over")
+            for part in PARTS:
+                sub.add_argument(f"--{part}-ids", type=int, nargs=2, metavar=("FIRST", "LAST"), help="ids that the table must have")
         if name in ("prepare", "validate"):
             sub.add_argument("--timeout", type=float, default=5)
         if name == "validate":
@@ -42,12 +49,17 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "prepare":
         os.makedirs(args.output, exist_ok=True)
         sizes = {k.replace("-", "_"): getattr(args, k.replace("-", "_")) for k in SIZES}
-        dataset.prepare(spark, args.tasks, args.output, timeout=args.timeout, **sizes)
+        ids = {k: tuple(v) for k in PARTS if (v := getattr(args, f"{k}_ids"))}
+        dataset.prepare(spark, args.tasks, args.output, timeout=args.timeout, validation=args.validation, test=args.test, ids=ids, **sizes)
         return
     if args.command == "validate":
-        found = dataset.violations(spark, args.output, timeout=args.timeout, tokenizer_file=args.tokenizer, max_tokens=args.max_tokens).orderBy("name", "key").limit(100).collect()
-        print(json.dumps([r.asDict() for r in found], indent=2, sort_keys=True))
-        sys.exit(1 if found else 0)
+        found = dataset.violations(spark, args.output, timeout=args.timeout, tokenizer_file=args.tokenizer, max_tokens=args.max_tokens).orderBy("name", "key", "detail")
+        total = 0
+        for r in found.toLocalIterator():
+            print(json.dumps(r.asDict(), sort_keys=True))
+            total += 1
+        print(json.dumps({"violations": total}))
+        sys.exit(1 if total else 0)
     attempts = lambda p: load_traces(spark, p).select("task", F.col("solved").alias("passed"))
     if args.command == "passk":
         out = metrics.summarise(attempts(args.traces), args.k)

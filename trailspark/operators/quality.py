@@ -40,6 +40,17 @@ def matched(left: DataFrame, right: DataFrame, name: str, fields: list[str], key
     return field_audit(left, right, key, fields).select(F.lit(name).alias("name"), F.col(key).cast("string").alias("key"), F.col("problem").alias("detail"))
 
 
+def zipped(left: DataFrame, right: DataFrame, name: str, fields: list[str], position: str = "line") -> DataFrame:
+    """Rows at the same place of two ordered tables: a row without a partner, or a field that differs, is a violation."""
+    a = left.select(position, F.struct(*fields).alias("a"))
+    b = right.select(F.col(position).alias("__at"), F.struct(*fields).alias("b"))
+    both = a.join(b, F.col(position) == F.col("__at"), "full")
+    gone = F.when(F.col("a").isNull(), "missing left").when(F.col("b").isNull(), "missing right")
+    differ = F.filter(F.array(*(F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), f) for f in fields)), lambda x: x.isNotNull())
+    problem = F.explode(F.when(gone.isNotNull(), F.array(gone)).otherwise(differ))
+    return both.select(F.lit(name).alias("name"), F.coalesce(position, "__at").cast("string").alias("key"), problem.alias("detail"))
+
+
 def artifacts(manifest: DataFrame, files: DataFrame, name: str = "artifact") -> DataFrame:
     """Manifest entries (path, sha256, bytes) against the files' own digests."""
     return matched(manifest, files, name, ["sha256", "bytes"], "path")

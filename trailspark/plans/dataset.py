@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
+import os
+import shutil
+from collections import Counter
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +15,12 @@ from pyspark.sql import functions as F
 
 from trailspark.functions.text import newlines, rstrip, strip
 from trailspark.operators import execution, quality, replay, sft, split, transcript
-from trailspark.sources.lines import file_digests, write_jsonl, write_manifest
+from trailspark.sources.lines import file_digests, publish_text, read_lines, write_jsonl, write_manifest
 
 ARMS = ("a", "b")
 PARTS = {"first": "sft", "second": "rl", "rest": "test"}
+LABELS = ("sft", "rl", "validation", "test")
+TASK_FIELDS = ["blueprint_root", "case_id", "source", "split", "task_id", "test_code", "trace_prefix"]
 
 
 def normalise(raw: DataFrame) -> DataFrame:
@@ -42,32 +50,140 @@ def recoveries(tasks: DataFrame, n_deep: int, n_shallow: int, *, seed: int, time
     return one.unionByName(two)
 
 
-def prepare(spark: SparkSession, source: str, output: str, *, n_sft: int, n_rl: int, n_deep: int, n_shallow: int, seed: int = 42, timeout: float = 5) -> None:
-    """Write ``arm_{a,b}_{sft,rl,test}`` as JSON Lines and ``manifest.json`` under ``output``; gold code that fails is an error."""
+def require_ids(tasks: DataFrame, low: int, high: int, name: str) -> None:
+    """An error unless the tasks have exactly the ids from ``low`` to ``high``."""
+    wanted = tasks.sparkSession.range(low, high + 1).select(F.col("id").alias("task_id"))
+    bad = quality.same_ids(tasks, wanted, name, "task_id").orderBy("detail", F.col("key").cast("long")).limit(5).collect()
+    if bad:
+        raise ValueError(f"{name}: ids differ: " + ", ".join(f"{r.key} {r.detail}" for r in bad))
+
+
+@contextlib.contextmanager
+def staged(output: str) -> Iterator[Path]:
+    """A folder beside ``output`` whose entries replace those of ``output`` one by one at the end; an error leaves ``output`` as it was."""
+    target = Path(output).expanduser().resolve()
+    folder = target.with_name(f".{target.name}.staging")
+    shutil.rmtree(folder, ignore_errors=True)
+    folder.mkdir(parents=True)
+    try:
+        yield folder
+        target.mkdir(parents=True, exist_ok=True)
+        stale = [x for x in target.iterdir() if x.name.startswith("arm_") or (folder / x.name).exists()]
+        for old in stale:
+            shutil.rmtree(old) if old.is_dir() else old.unlink()
+        for new in sorted(folder.iterdir(), key=lambda x: x.name == "manifest.json"):  # the manifest last, as it vouches for the rest
+            os.replace(new, target / new.name)
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+
+
+def prepare(
+    spark: SparkSession, source: str, output: str, *, n_sft: int, n_rl: int, n_deep: int, n_shallow: int, seed: int = 42, timeout: float = 5,
+    validation: str | None = None, n_moved: int = 0, test: str | None = None, ids: dict[str, tuple[int, int]] | None = None,
+) -> None:
+    """Write ``arm_{a,b}_{sft,rl,validation,test}`` as JSON Lines, blank solutions, ``assignments.json`` and ``manifest.json``.
+
+    Everything is built beside ``output`` and moved there at the end.  ``source`` is
+    split into supervised, RL and, without a ``test`` table, test tasks; the first
+    ``n_moved`` tasks of ``validation``, in seeded order, join ``source`` before, and
+    the others are the validation part.  ``ids`` are the exact first and last ids
+    that ``train``, ``validation`` and ``test`` must have.  Gold code that fails is
+    an error.
+    """
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", f"{output}/.checkpoint"))
-    tasks = normalise(spark.read.parquet(source)).checkpoint()
+    read = lambda path: normalise(spark.read.parquet(path)).checkpoint()
+    given = {"train": read(source), **({"validation": read(validation)} if validation else {}), **({"test": read(test)} if test else {})}
+    for name, (low, high) in (ids or {}).items():
+        require_ids(given[name], low, high, name)
+    tasks = quality.all_of(list(given.values()))
+    if bad := [r.case_id for r in split.repeated_ids(tasks, "case_id").orderBy("case_id").limit(5).collect()]:
+        raise ValueError(f"repeated tasks: {', '.join(bad)}")
     if bad := [r.case_id for r in execution.failing_gold(tasks, timeout=timeout).select("case_id").orderBy("case_id").limit(5).collect()]:
         raise ValueError(f"gold code fails: {', '.join(bad)}")
-    part = split.three_way_split(tasks, n_sft, n_rl, seed=seed)
+    pool, held = given["train"], []
+    if validation:
+        moved = split.seeded_top(given["validation"], n_moved, seed=seed).drop("position")
+        pool = pool.unionByName(moved)
+        held.append(given["validation"].join(moved.select("task_id"), "task_id", "left_anti").withColumn("split", F.lit("validation")))
+    if test:
+        held.append(given["test"].withColumn("split", F.lit("test")))
+    part = split.three_way_split(pool, n_sft, n_rl, seed=seed)
     for name, label in PARTS.items():
         part = part.replace(name, label, subset=["part"])
-    placed = tasks.join(part.withColumnRenamed("part", "split"), "task_id").checkpoint()
+    placed = quality.all_of([pool.join(part.withColumnRenamed("part", "split"), "task_id"), *held]).checkpoint()
+    sizes = {r.split: r.n for r in placed.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    if test and sizes.get("test") != given["test"].count():
+        raise ValueError("more training tasks than the parts take")
     chosen = recoveries(placed.where("split = 'sft'"), n_deep, n_shallow, seed=seed, timeout=timeout).checkpoint()
     rows = transcript.task_rows(placed)
-    for arm in ARMS:
-        own = rows.where(F.col("arm") == arm)
-        for label in ("rl", "test"):
-            write_jsonl(own.where(F.col("split") == label), f"{output}/arm_{arm}_{label}", ["case_id"])
-        given = placed.select("case_id", "code").join(own.where("split = 'sft'"), "case_id").join(chosen, "case_id", "left").withColumn("trace_prefix", F.col("blueprint_root"))
-        write_jsonl(sft.traces(given, arm), f"{output}/arm_{arm}_sft", ["case_id"])
-    write_manifest(f"{output}/manifest.json", digests(spark, output), {"tasks": source}, {"seed": seed, "sft": n_sft, "rl": n_rl})
+    with staged(output) as folder:
+        for arm in ARMS:
+            own = rows.where(F.col("arm") == arm)
+            for label in LABELS[1:]:
+                if label in sizes:
+                    write_jsonl(own.where(F.col("split") == label), f"{folder}/arm_{arm}_{label}", ["case_id"])
+            traced = placed.select("case_id", "code").join(own.where("split = 'sft'"), "case_id").join(chosen, "case_id", "left").withColumn("trace_prefix", F.col("blueprint_root"))
+            write_jsonl(sft.traces(traced, arm), f"{folder}/arm_{arm}_sft", ["case_id"])
+        for r in placed.select("case_id").toLocalIterator():
+            project = folder / "blueprints" / r.case_id
+            project.mkdir(parents=True)
+            (project / "solution.py").write_text(sft.PLACEHOLDER, encoding="utf-8")
+        supervised = spark.read.json(f"{folder}/arm_a_sft")
+        assigned = [r.asDict() for r in assignments(supervised).orderBy("task_id").collect()]  # a row a supervised task
+        publish_text(f"{folder}/assignments.json", json.dumps(assigned, indent=2, sort_keys=True) + "\n")
+        outcomes = Counter(x for r in chosen.select("outcome_1", "outcome_2").collect() for x in r if x is not None)
+        id_lists = {r.split: sorted(r.ids) for r in placed.where("split <> 'test'").groupBy("split").agg(F.collect_list("task_id").alias("ids")).collect()}
+        summary = {
+            "seed": seed, **sizes, "moved": n_moved, "recovery_outcomes": dict(sorted(outcomes.items())), "composition": composition(supervised),
+            **{f"{label}_task_ids": found for label, found in id_lists.items()}, **{f"{name}_ids": f"{low}-{high}" for name, (low, high) in (ids or {}).items()},
+        }
+        named = {"tasks": source, **({"validation": validation} if validation else {}), **({"test": test} if test else {})}
+        write_manifest(f"{folder}/manifest.json", digests(spark, str(folder)), {k: {"path": v, "sha256": source_digest(spark, v)} for k, v in named.items()}, summary)
+
+
+def with_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` with nulls for the columns that its written rows leave out."""
+    return df.select("*", *(F.lit(None).cast("string").alias(n) for n in names if n not in df.columns))
+
+
+def assignments(supervised: DataFrame) -> DataFrame:
+    """The assignment table: what each supervised task shows."""
+    rows = with_columns(supervised, ["recovery_mode"])
+    kind = F.when(F.col("recovery_mode").isNull(), "direct").otherwise("recovery")
+    return rows.select("task_id", "case_id", kind.alias("trace_type"), "candidate_outcome", "recovery_mode")
+
+
+def composition(supervised: DataFrame) -> dict[str, int]:
+    """Supervised tasks by recovery mode, ``direct`` without one."""
+    mode = F.coalesce("recovery_mode", F.lit("direct")).alias("mode")
+    return {r.mode: r.n for r in with_columns(supervised, ["recovery_mode"]).groupBy(mode).agg(F.count("*").alias("n")).orderBy("mode").collect()}
+
+
+def source_digest(spark: SparkSession, path: str) -> str:
+    """One digest of a table's files, whatever their order."""
+    found = file_digests(spark, path if path.endswith(".parquet") and Path(path).is_file() else f"{path}/*")
+    return found.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("sha256")), ","), 256)).first()[0]
 
 
 def digests(spark: SparkSession, output: str) -> DataFrame:
     """(path, sha256, bytes) of the artifacts, named by their folder and file."""
-    found = file_digests(spark, f"{output}/arm_*/part-*")
-    return found.withColumn("path", F.regexp_extract("path", r"([^/]+/[^/]+)$", 1))
+    found = file_digests(spark, f"{output}/arm_*/part-*").withColumn("path", F.regexp_extract("path", r"([^/]+/[^/]+)$", 1))
+    return found.unionByName(file_digests(spark, f"{output}/assignments.json").withColumn("path", F.lit("assignments.json")))
+
+
+def in_order(spark: SparkSession, output: str, arm: str, label: str) -> DataFrame:
+    """(line, fields as text) of an artifact of tasks, in the order of its file."""
+    row = F.try_parse_json("value")
+    fields = [F.try_variant_get(row, f"$.{f}", "string").alias(f) for f in TASK_FIELDS]
+    return read_lines(spark, f"{output}/arm_{arm}_{label}/part-*").select("line", *fields, F.try_variant_get(row, "$.prompt[1].content", "string").alias("user"))
+
+
+def placeholders(spark: SparkSession, output: str, ids: DataFrame) -> DataFrame:
+    """Violations of the blank solutions: a task without one, or one that is not blank."""
+    found = spark.read.text(f"{output}/blueprints/*/solution.py", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)/solution\.py$", 1).alias("case_id"), F.col("value").alias("said"))
+    both = ids.select("case_id").distinct().join(found, "case_id", "left")
+    return quality.rows_where(both, "placeholder", ~F.col("said").eqNullSafe(sft.PLACEHOLDER))
 
 
 def replayed(rows: DataFrame, timeout: float) -> DataFrame:
@@ -90,9 +206,10 @@ def violations(spark: SparkSession, output: str, *, timeout: float = 5, tokenize
     document = spark.read.option("multiLine", True).option("primitivesAsString", True).json(f"{output}/manifest.json")
     listed = document.select(F.from_json(F.to_json("artifacts"), "map<string,struct<sha256:string,bytes:string>>").alias("m"))
     listed = listed.select(F.explode("m").alias("path", "v")).select("path", "v.sha256", F.col("v.bytes").cast("long").alias("bytes"))
-    sizes = {k: int(v) for k, v in document.select("split.*").first().asDict().items() if k in PARTS.values()}
+    told = document.select(F.from_json(F.to_json("split"), "map<string,string>").alias("m"), F.from_json(F.to_json("split.composition"), "map<string,string>").alias("c")).first()
+    sizes = {k: int(v) for k, v in told.m.items() if k in LABELS}
     read = lambda arm, label: spark.read.json(f"{output}/arm_{arm}_{label}")
-    labels = [x for x in PARTS.values() if all(any(Path(output, f"arm_{a}_{x}").glob("part-*.json")) and read(a, x).columns for a in ARMS)]
+    labels = [x for x in LABELS if all(any(Path(output, f"arm_{a}_{x}").glob("part-*.json")) and read(a, x).columns for a in ARMS)]
     ids = [read("a", x).select("case_id", F.lit(x).alias("split")) for x in labels]
     checks = [quality.artifacts(listed, digests(spark, output)), quality.disjoint(quality.all_of(ids), "disjoint")]
     for x in labels:
@@ -113,10 +230,18 @@ def violations(spark: SparkSession, output: str, *, timeout: float = 5, tokenize
             if x == "sft":
                 checks.append(quality.rows_where(df, f"final {arm}", ~transcript.ends_final(F.col("messages"))))
         checks.append(quality.matched(*arms, f"matched {x}", ["task_id", "test_code", "user", *own]))
+        if x != "sft":
+            checks.append(quality.zipped(*(in_order(spark, output, arm, x) for arm in ARMS), f"order {x}", [*TASK_FIELDS, "user"]))
         if x == "sft":
             needed = ["arm", "case_id", "test_code", "messages", "candidate_outcome", "second_candidate_outcome", "recovery_mode"]
             both = quality.all_of([df.select(*needed) for df in arms])
+            written = spark.read.option("multiLine", True).schema(assignments(arms[0]).schema).json(f"{output}/assignments.json")
+            checks.append(quality.matched(written, assignments(arms[0]), "assignments", ["task_id", "trace_type", "candidate_outcome", "recovery_mode"]))
+            for arm, df in zip(ARMS, arms, strict=True):
+                modes = df.withColumn("mode", F.coalesce("recovery_mode", F.lit("direct")))
+                checks.append(quality.counts(modes, f"composition {arm}", ["mode"], {(k,): int(v) for k, v in (told.c or {}).items()}))
             checks.append(replayed(both, timeout))
             if tokenizer_file:
                 checks.append(lengths(both, tokenizer_file, max_tokens))
+    checks.append(placeholders(spark, output, quality.all_of(ids)))
     return quality.all_of(checks)

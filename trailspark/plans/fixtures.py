@@ -1,4 +1,4 @@
-"""Small programs for the operators that run code; no table of the driver has any."""
+"""Programs for the operators that run code, a few by hand and others made from the keys of a table; no table of the driver has any."""
 
 from __future__ import annotations
 
@@ -24,6 +24,29 @@ def candidates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_CANDIDATES, "case_id string, code string, test_code string")
 
 
+def generated(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A program of five lines for each row."""
+    number = lambda n, base: (F.col(key) % n + base).cast("string")
+    code = F.format_string("def f(x):\n    y = x + %s\n    if y >= %s:\n        return y\n    return min(y, %s)\n", number(7, 1), number(11, 20), number(5, 50))
+    return rows.select(F.concat(F.lit("doc_"), F.col(key).cast("string")).alias("case_id"), code.alias("code"))
+
+
+def candidates_of(rows: DataFrame, key: str) -> DataFrame:
+    """A candidate of every outcome in turn, no two of them equal."""
+    k = F.col(key).cast("string")
+    bodies = ["x = 1", "x = 2", "x = {}['a']", "def f(:", "raise SystemExit(0)", "while True: pass"]
+    body = F.element_at(F.array(*(F.lit(b) for b in bodies)), (F.col(key) % len(bodies)).cast("int") + 1)
+    return rows.select(k.alias("case_id"), F.concat(F.lit("n = "), k, F.lit("\n"), body, F.lit("\n")).alias("code"), F.lit("assert x == 1\n").alias("test_code"))
+
+
+def doubling(rows: DataFrame, key: str) -> DataFrame:
+    """Tasks whose solution is twice the sum of the argument and the key."""
+    k = F.col(key).cast("int")
+    code = F.format_string("def f(x):\n    y = x + %d\n    return y * 2\n", k)
+    tests = F.format_string("assert f(3) == %d\nassert f(0) == %d\n", 2 * (3 + k), 2 * k)
+    return rows.select(F.col(key).cast("string").alias("case_id"), code.alias("code"), tests.alias("test_code"))
+
+
 def sft_tasks(spark: SparkSession) -> DataFrame:
     """The task ``total`` in each recovery mode."""
     code, tests = _TASKS[1][1], _TASKS[1][2]

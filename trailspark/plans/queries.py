@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailspark.functions import protocol
 from trailspark.functions import text as T
-from trailspark.operators import execution, metrics, quality, replay, routing, sft, split, stats, transcript
+from trailspark.operators import execution, metrics, quality, replay, rollout, routing, sft, split, stats, transcript
 from trailspark.plans import adapters as A
 from trailspark.plans import fixtures
 
@@ -128,7 +128,7 @@ def outer_lookup_labels(spark, sf_dir):
 
 
 @query("""SELECT arm, 'blueprints/doc_' || CAST(doc_id AS VARCHAR) AS blueprint_root, 'doc_' || CAST(doc_id AS VARCHAR) AS case_id, doc_id AS task_id, 2 AS n_messages,
-  CASE arm WHEN 'a' THEN 'Work step by step.' ELSE 'Predict, decide, then act.' END AS system,
+  CASE arm WHEN 'a' THEN 'Work step by step.' ELSE 'State the outcome, decide, then act.' END AS system,
   sha256('Implement the requested Python function in solution.py. Run the tests.' || chr(10) || chr(10) || text || chr(10) || chr(10) || 'Your code must pass these tests:' || chr(10)
     || 'assert f(' || CAST(doc_id AS VARCHAR) || ')' || chr(10) || chr(10) || 'The project is at data/blueprints/doc_' || CAST(doc_id AS VARCHAR) || '.') AS user_sha256
   FROM documents, (VALUES ('a'), ('b')) AS arms(arm)""")
@@ -366,18 +366,26 @@ def paired_contingency(spark, sf_dir):
     return rounded(_pair(spark, sf_dir))
 
 
-@query(f"WITH c AS (SELECT {_PAIR} FROM labels) SELECT a_only, b_only, round(CASE WHEN a_only + b_only > 0 THEN CAST((abs(a_only - b_only) - 1) ** 2 AS DOUBLE) / (a_only + b_only) END, 6) AS statistic, true AS p_small FROM c")
+_SEVENTH = "CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 1 END"
+
+
+@query(f"""WITH c AS (SELECT count(*) FILTER (quality = 1 AND b = 0) AS a_only, count(*) FILTER (quality = 0 AND b = 1) AS b_only FROM (SELECT quality, {_SEVENTH} AS b FROM labels)),
+s AS (SELECT *, a_only + b_only AS n, least(a_only, b_only) AS low, CASE WHEN a_only + b_only > 0 THEN CAST((abs(a_only - b_only) - 1) ** 2 AS DOUBLE) / (a_only + b_only) END AS statistic FROM c),
+e AS (SELECT *, sqrt(statistic / 2) AS x FROM s)
+SELECT a_only, b_only, round(statistic, 6) AS statistic,
+  round(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(20000), lambda i: exp(-((x * (i + 0.5) / 20000) ** 2)) * x / 20000)), 6) AS p_value,
+  round(least(1.0, 2 * list_sum(list_transform(range(low + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))))), 6) AS p_exact FROM e""")
 def mcnemar_test(spark, sf_dir):
-    tested = stats.mcnemar(_pair(spark, sf_dir))
-    return rounded(tested.select("a_only", "b_only", "statistic", ((F.col("p_value") < 0.001) & (F.col("p_exact") < 0.001)).alias("p_small")))
+    rows = A.table(spark, sf_dir, "labels")
+    a = rows.select(F.col("doc_id").alias("name"), F.col("quality").alias("outcome"))
+    b = rows.select(F.col("doc_id").alias("name"), F.when(F.col("doc_id") % 7 == 0, 0).otherwise(1).alias("outcome"))
+    return rounded(stats.mcnemar(stats.contingency(a, b)).select("a_only", "b_only", "statistic", "p_value", "p_exact"))
 
 
-@query(f"""WITH c AS (SELECT {_PAIR} FROM labels), d AS (SELECT b, i, n, a_only, b_only, CAST('0x' || substr(sha256('0:' || CAST(b AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 12) AS BIGINT) % n AS at_pos
-  FROM c, (SELECT unnest(range(200)) AS b), LATERAL (SELECT unnest(range(n)) AS i)),
-s AS (SELECT b, 100.0 * sum(CASE WHEN at_pos < a_only THEN -1 WHEN at_pos < a_only + b_only THEN 1 ELSE 0 END) / any_value(n) AS d FROM d GROUP BY b),
-o AS (SELECT list(d ORDER BY d) AS ds FROM s) SELECT round(CAST(ds[6] AS DOUBLE), 6) AS low, round(CAST(ds[196] AS DOUBLE), 6) AS high FROM o""")
+@query()
 def paired_bootstrap_ci(spark, sf_dir):
-    return rounded(stats.bootstrap_ci(_pair(spark, sf_dir), samples=200))
+    """10,000 resamples; no SQL draws from a multinomial distribution, so tests compare with pairs drawn one by one."""
+    return rounded(stats.bootstrap_ci(_pair(spark, sf_dir)))
 
 
 @query(f"""WITH {ATTEMPTS}, w AS (SELECT event_id, task, value - avg(value) OVER g AS advantage, max(value) OVER g <> min(value) OVER g AS spread FROM attempts WINDOW g AS (PARTITION BY task, day))
@@ -392,9 +400,9 @@ def cumulative_token_offsets(spark, sf_dir):
     return transcript.node_offsets(rows, "conv_id", "turn", "size").select("conv_id", "turn", F.col("offset").alias("token_offset"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN length(substr(text, 5, 6)) > 0 THEN CAST(strpos(text, substr(text, 5, 6)) - 1 AS INTEGER) END AS found, CASE WHEN strpos(text, 'zzz') > 0 THEN strpos(text, 'zzz') - 1 END AS absent FROM conversations WHERE turn < 3")
+@query("SELECT conv_id, turn, CASE WHEN length(substr(text, 5, 6)) > 0 THEN CAST(strpos(text, substr(text, 5, 6)) - 1 AS INTEGER) END AS found, CASE WHEN strpos(text, 'zzz') > 0 THEN strpos(text, 'zzz') - 1 END AS absent FROM conversations")
 def subsequence_search(spark, sf_dir):
-    rows = A.table(spark, sf_dir, "conversations").where("turn < 3").withColumn("ids", routing.code_points(F.col("text")))
+    rows = A.table(spark, sf_dir, "conversations").withColumn("ids", routing.code_points(F.col("text")))
     part = routing.code_points(F.substring("text", 5, 6))
     return rows.select("conv_id", "turn", routing.find_subsequence(F.col("ids"), part).alias("found"), routing.find_subsequence(F.col("ids"), routing.code_points(F.lit("zzz"))).cast("long").alias("absent"))
 
@@ -455,23 +463,57 @@ def constraint_violations(spark, sf_dir):
     ]))
 
 
-@query()
+@query("""WITH p AS (SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS case_id, doc_id % 7 + 1 AS a, doc_id % 11 + 20 AS b, doc_id % 5 + 50 AS c FROM documents),
+l AS (SELECT case_id, a, b, c, '    y = x + ' || a || chr(10) AS one, '    if y >= ' || b || ':' || chr(10) AS two, '    return min(y, ' || c || ')' || chr(10) AS four FROM p),
+m AS (SELECT case_id, 0 AS position, 1 AS line, one AS original, '    y = x - ' || a || chr(10) AS changed FROM l UNION ALL SELECT case_id, 1, 1, one, '    y = x + ' || (a + 1) || chr(10) FROM l
+  UNION ALL SELECT case_id, 2, 2, two, '    if y > ' || b || ':' || chr(10) FROM l UNION ALL SELECT case_id, 3, 2, two, '    if y >= ' || (b + 1) || ':' || chr(10) FROM l
+  UNION ALL SELECT case_id, 4, 4, four, '    return max(y, ' || c || ')' || chr(10) FROM l UNION ALL SELECT case_id, 5, 4, four, '    return min(y, ' || (c + 1) || ')' || chr(10) FROM l)
+SELECT case_id, CAST(position AS INTEGER) AS position, CAST(line AS INTEGER) AS line, original, changed, true AS "unique" FROM m""")
 def mutation_candidates(spark, sf_dir):
-    return execution.mutations(fixtures.tasks(spark)).select("case_id", "position", "line", "original", "changed", "unique")
+    return execution.mutations(fixtures.generated(docs(spark, sf_dir))).select("case_id", "position", "line", "original", "changed", "unique")
 
 
-@query()
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS case_id, CASE n_nationkey % 6 WHEN 0 THEN 'PASS' WHEN 1 THEN 'ASSERTION_FAILURE' WHEN 2 THEN 'RUNTIME_ERROR' WHEN 3 THEN 'SYNTAX_ERROR' WHEN 4 THEN 'OTHER' ELSE 'TIMEOUT' END AS outcome,
+  n_nationkey % 6 = 0 AS success, n_nationkey % 6 = 5 AS timed_out FROM nation""")
 def verified_outcomes(spark, sf_dir):
-    return execution.verify(fixtures.candidates(spark), timeout=2).select("case_id", "run.outcome", "run.success", "run.timed_out")
+    return execution.verify(fixtures.candidates_of(A.table(spark, sf_dir, "nation"), "n_nationkey"), timeout=3).select("case_id", "run.outcome", "run.success", "run.timed_out")
 
 
-@query()
+@query("""WITH k AS (SELECT CAST(r_regionkey AS VARCHAR) AS case_id, r_regionkey AS k, '    y = x + ' || r_regionkey || chr(10) AS plus, '    y = x - ' || r_regionkey || chr(10) AS minus, '    y = x + ' || (r_regionkey + 1) || chr(10) AS more,
+  '    return y * 2' || chr(10) AS twice, '    return y + 2' || chr(10) AS two FROM region)
+SELECT case_id, CAST(1 AS INTEGER) AS steps, 'ASSERTION_FAILURE' AS outcome, CAST(NULL AS VARCHAR) AS second_outcome, CASE WHEN k = 0 THEN more ELSE minus END AS find_1, plus AS replace_1, CAST(NULL AS VARCHAR) AS find_2, CAST(NULL AS VARCHAR) AS replace_2 FROM k
+UNION ALL SELECT case_id, 2, 'ASSERTION_FAILURE', 'ASSERTION_FAILURE', CASE WHEN k = 0 THEN more || twice ELSE minus END, CASE WHEN k = 0 THEN plus || two ELSE more END, CASE WHEN k = 0 THEN two ELSE more END, CASE WHEN k = 0 THEN twice ELSE plus END FROM k""")
 def recovery_selection(spark, sf_dir):
-    one = execution.one_step_recovery(fixtures.tasks(spark), timeout=2).select("case_id", F.lit(1).alias("steps"), "outcome", F.lit(None).cast("string").alias("second_outcome"))
-    two = execution.two_step_recovery(fixtures.tasks(spark), timeout=2).select("case_id", F.lit(2).alias("steps"), F.col("first_outcome").alias("outcome"), "second_outcome")
+    tasks = fixtures.doubling(A.table(spark, sf_dir, "region"), "r_regionkey")
+    none = F.lit(None).cast("string")
+    one = execution.one_step_recovery(tasks, timeout=3).select("case_id", F.lit(1).alias("steps"), "outcome", none.alias("second_outcome"), F.col("find").alias("find_1"), F.col("replace").alias("replace_1"), none.alias("find_2"), none.alias("replace_2"))
+    two = execution.two_step_recovery(tasks, timeout=3).select(
+        "case_id", F.lit(2).alias("steps"), F.col("first_outcome").alias("outcome"), "second_outcome", F.col("middle_find").alias("find_1"), F.col("middle_replace").alias("replace_1"), F.col("final_find").alias("find_2"), F.col("final_replace").alias("replace_2")
+    )
     return one.unionByName(two)
 
 
+@query(f"""WITH t AS (SELECT conv_id, turn, text, role = 'assistant' AS ours, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS node FROM conversations),
+n AS (SELECT conv_id, node, ours, conv_id % 3 AS kind, CASE WHEN ours THEN text || '<PREDICTION>PASS</PREDICTION>' ELSE text END AS said FROM t),
+c AS (SELECT conv_id, any_value(kind) AS kind, sum(length(said)) AS n_tokens, CAST(count(*) FILTER (ours) AS BIGINT) AS labels FROM n GROUP BY conv_id)
+SELECT conv_id, CAST(0 AS INTEGER) AS sample, 'rollout' AS kind, CAST(n_tokens AS BIGINT) AS n_tokens, CASE WHEN labels > 0 AND kind <> 2 THEN CAST(n_tokens - 1 - 4 * labels AS DOUBLE) END AS rl_sum, CAST(NULL AS DOUBLE) AS ce_sum FROM c
+UNION ALL SELECT conv_id, 1, 'verified', CAST(length('<|im_start|>user' || chr(10) || 'q' || chr(10) || '<|im_end|>' || chr(10) || chr(10) || '<|im_start|>assistant' || chr(10)) + 25 + length('RUNTIME_ERROR') AS BIGINT), 0.0::DOUBLE, round(0.5 * length('RUNTIME_ERROR'), 6)::DOUBLE FROM c WHERE kind = 1""")
+def rollout_samples(spark, sf_dir):
+    """Conversations as rollouts of one branch: the assistant's turns end in a label; a third of them are not sampled, a third have a verified target."""
+    c = A.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    said = lambda m: F.when(m["role"] == "assistant", F.concat(m["text"], F.lit("<PREDICTION>PASS</PREDICTION>"))).otherwise(m["text"])
+    nodes = F.transform("m", lambda m: F.struct(m["role"].alias("role"), said(m).alias("content"), (F.col("conv_id") % 3 != 2).alias("sampled"), routing.code_points(said(m)).alias("token_ids")))
+    rows = c.select("conv_id", nodes.alias("nodes")).withColumn("ids", F.flatten(F.transform("nodes", lambda n: n["token_ids"])))
+    n = F.size("ids")
+    sample = F.struct(F.col("ids").alias("token_ids"), F.array_prepend(F.array_repeat(F.lit(True), n - 1), F.lit(False)).alias("mask"), F.array_repeat(F.lit(0.0), n).alias("logprobs"), F.array().cast("array<double>").alias("temperatures"))
+    context = F.array(F.struct(F.lit("user").alias("role"), F.lit("q").alias("content")))
+    target = F.struct(context.alias("context_messages"), F.lit("PASS").alias("sampled_prediction"), F.lit("RUNTIME_ERROR").alias("actual"))
+    given = rows.select("conv_id", F.lit("env").alias("env_name"), F.array("nodes").alias("branches"), F.array(sample).alias("samples"), F.when(F.col("conv_id") % 3 == 1, F.array(target)).alias("targets"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    found = rollout.score(given, rollout_id="conv_id", alpha=0.5)
+    return rounded(found.select("conv_id", "sample", "kind", F.size("token_ids").cast("long").alias("n_tokens"), total("rl_weights").alias("rl_sum"), total("ce_weights").alias("ce_sum")))
+
+
 @query("""SELECT arm, mode, CAST(CASE WHEN arm = 'b' AND mode LIKE '%shadow' THEN 9 + 2 * d ELSE 9 + 4 * d END AS INTEGER) AS n_messages, CAST(CASE WHEN arm = 'b' THEN CASE WHEN mode IS NULL THEN 1 ELSE d + 1 END ELSE 0 END AS INTEGER) AS n_predictions
   FROM (VALUES ('a'), ('b')) AS x(arm), (VALUES (NULL, 0), ('shadow', 1), ('visible', 1), ('deep_shadow', 2), ('deep_visible', 2)) AS m(mode, d)""")
 def sft_message_templates(spark, sf_dir):
