@@ -26,11 +26,22 @@ def test_prepare_and_validate(spark, tmp_path):
     assert len(read("arm_a_rl")) == 1 and read("arm_a_test") == []
     assert {r["case_id"] for r in a} | {r["case_id"] for r in read("arm_b_rl")} == {"task_1", "task_2", "task_3"}
     assert dataset.violations(spark, str(output), timeout=10).collect() == []
+    manifest, listed = (json.loads((output / f"{x}.json").read_text()) for x in ("manifest", "assignments"))
+    assert manifest["split"]["composition"] == {"direct": 1, "shadow": 1} and manifest["split"]["sft_task_ids"] == [r["task_id"] for r in listed] and len(manifest["sources"]["tasks"]["sha256"]) == 64
+    assert {r["trace_type"] for r in listed} == {"direct", "recovery"} and "assignments.json" in manifest["artifacts"]
+    assert not (tmp_path / ".out.staging").exists()
     file = next((output / "arm_b_rl").glob("part-*"))
     row = json.loads(file.read_text())
     file.write_text(json.dumps(row | {"test_code": row["test_code"] + "\n"}) + "\n")
     (output / "arm_b_rl" / f".{file.name}.crc").unlink(missing_ok=True)
-    assert {r.name for r in dataset.violations(spark, str(output), timeout=10).collect()} == {"artifact", "matched rl"}
+    assert {r.name for r in dataset.violations(spark, str(output), timeout=10).collect()} == {"artifact", "matched rl", "order rl"}
+    blank = output / "blueprints" / row["case_id"] / "solution.py"
+    blank.write_text("x = 1\n")
+    (output / "assignments.json").write_text(json.dumps([r | {"trace_type": "direct"} for r in listed]))
+    found = [(r.name, r.key) for r in dataset.violations(spark, str(output), timeout=10).collect()]
+    assert ("placeholder", row["case_id"]) in found and sum(n == "assignments" for n, _ in found) == 1
+    blank.unlink()
+    assert ("placeholder", row["case_id"]) in [(r.name, r.key) for r in dataset.violations(spark, str(output), timeout=10).collect()]
     changed = next((output / "arm_b_sft").glob("part-*"))
     rows = [json.loads(x) for x in changed.read_text().splitlines()]
     direct = next(r for r in rows if r["trace_type"] == "direct")
@@ -44,6 +55,56 @@ def test_prepare_and_validate(spark, tmp_path):
     assert any(name == "final b" for name, _ in found) and not any("tests in prompt" in name or "count" in name for name, _ in found)
 
 
+def test_prepare_with_validation_and_test_tables(spark, tmp_path):
+    output = tmp_path / "out"
+    base = [(f"def f{i}(x):\n    return x + {i}\n", [f"assert f{i}(1) == {i + 1}"]) for i in range(9)]
+    table = lambda ids, name: spark.createDataFrame([(i, f"Write {i}.", *base[i], None) for i in ids], TASK).write.parquet(f"{tmp_path}/{name}")
+    for ids, name in ((range(3), "train"), (range(3, 7), "validation"), (range(7, 9), "test")):
+        table(ids, name)
+    options = dict(validation=f"{tmp_path}/validation", test=f"{tmp_path}/test", n_sft=2, n_rl=2, n_deep=0, n_shallow=1, n_moved=1, timeout=10)
+    output.mkdir()
+    (output / "README.md").write_text("stays")
+    (output / "arm_c_old").mkdir()
+    with pytest.raises(ValueError, match="train: ids differ: 0 extra, 3 missing"):
+        dataset.prepare(spark, f"{tmp_path}/train", str(output), ids={"train": (1, 3)}, **options)
+    assert sorted(x.name for x in output.iterdir() if x.name[0] != ".") == ["README.md", "arm_c_old"]  # as it was
+    dataset.prepare(spark, f"{tmp_path}/train", str(output), ids={"train": (0, 2), "test": (7, 8)}, **options)
+    split = json.loads((output / "manifest.json").read_text())["split"]
+    assert {k: split[k] for k in ("sft", "rl", "validation", "test", "moved", "train_ids")} == {"sft": 2, "rl": 2, "validation": 3, "test": 2, "moved": 1, "train_ids": "0-2"}
+    assert set(split["validation_task_ids"]) < {3, 4, 5, 6} and {0, 1, 2} < {*split["sft_task_ids"], *split["rl_task_ids"]}
+    assert dataset.violations(spark, str(output), timeout=10).collect() == []
+    assert (output / "README.md").exists() and not (output / "arm_c_old").exists()
+    assert len(list((output / "blueprints").glob("*/solution.py"))) == 9
+
+
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    from trailspark import __main__ as command
+
+    monkeypatch.setattr(command, "build", lambda: spark)
+    raw(spark).write.parquet(f"{tmp_path}/tasks")
+    output = f"{tmp_path}/out"
+    command.main(["prepare", f"{tmp_path}/tasks", output, "--n-sft", "1", "--n-rl", "1", "--n-deep", "0", "--n-shallow", "0", "--train-ids", "1", "3", "--timeout", "10"])
+    with pytest.raises(SystemExit) as end:
+        command.main(["validate", output, "--timeout", "10"])
+    assert end.value.code == 0 and json.loads(capsys.readouterr().out) == {"violations": 0}
+    (tmp_path / "out" / "blueprints" / "task_1" / "solution.py").write_text("")
+    with pytest.raises(SystemExit) as end:
+        command.main(["validate", output, "--timeout", "10"])
+    said = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert end.value.code == 1 and said == [{"name": "placeholder", "key": "task_1", "detail": ""}, {"violations": 1}]
+    traces = tmp_path / "traces.jsonl"
+    record = {"calls": [], "results": {}, "prediction_targets": []}
+    traces.write_text("".join(json.dumps({"rewards": {"z": i % 2, "a": 1}, "metrics": {"passed": i % 2}, "info": {"r": record}, "task": {"data": {"case_id": str(i), "name": str(i)}}}) + "\n" for i in range(4)))
+    command.main(["passk", str(traces), "-k", "1"])
+    assert json.loads(capsys.readouterr().out)["pass_at_k"] == 0.5
+    command.main(["compare", str(traces), str(traces), "-k", "1"])
+    assert json.loads(capsys.readouterr().out)["ties"] == 4
+    command.main(["report", str(traces)])
+    assert json.loads(capsys.readouterr().out)["traces"] == 4
+    command.main(["stats", str(traces), str(traces)])
+    assert json.loads(capsys.readouterr().out)["n"] == 4
+
+
 def test_long_traces_are_found(spark, tmp_path):
     from tokenizers import Tokenizer, models, pre_tokenizers
 

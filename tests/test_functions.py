@@ -118,6 +118,84 @@ def test_trace_files(spark, tmp_path):
     assert [tuple(r) for r in lines.load_outcomes(spark, str(path)).collect()] == [("x", 0)]
 
 
+def test_outcomes_go_by_the_first_reward_of_the_line(spark, tmp_path):
+    path = tmp_path / "traces.jsonl"
+    rewards = ['{"z_main": 1.0, "a_other": 0.0}', '{"z_main": 0.0, "a_other": 1.0}', '{"b": 2, "a": null}', '{"b": null, "a": 2}', "{}", "null", '{"b": true, "a": 0}', '{"b": false, "a": 1}', '{"b": -1, "a": 1}']
+    path.write_text("".join(f'{{"rewards": {r}, "task": {{"data": {{"name": "t{i}"}}}}}}\n' for i, r in enumerate(rewards)))
+    got = {r.name: r.outcome for r in lines.load_outcomes(spark, str(path)).collect()}
+    assert got == {f"t{i}": x for i, x in enumerate([1, 0, 1, 0, 0, 0, 1, 0, 0])}
+
+
+def test_tail_probabilities_are_exact_sums():
+    from fractions import Fraction
+
+    for a, b in [(0, 0), (0, 5), (3, 9), (12, 28), (50, 50), (51, 50), (400, 480), (1000, 0)]:
+        n, low = a + b, min(a, b)
+        want = min(Fraction(1), 2 * sum(Fraction(math.comb(n, k)) for k in range(low + 1)) / 2**n) if n else 1
+        assert math.isclose(numeric.two_sided(a, b), want, rel_tol=1e-9)
+    assert numeric.two_sided(500_000_000, 500_000_100) > 0.99 and 0 < numeric.two_sided(499_900_000, 500_100_000) < 1e-9
+
+
+def test_bootstrap_is_that_of_pairs_drawn_one_by_one(spark):
+    import numpy as np
+
+    n, a, b = 400, 60, 90
+    counts = spark.createDataFrame([(n, a, b)], "n long, a_only long, b_only long")
+    got = stats.bootstrap_ci(counts).first()
+    gains = np.array([-1] * a + [1] * b + [0] * (n - a - b))
+    drawn = np.sort(100.0 * np.random.default_rng(5).choice(gains, (10_000, n)).mean(1))
+    assert abs(got.low - drawn[250]) < 0.3 and abs(got.high - drawn[9750]) < 0.3 and abs(got.mean - drawn.mean()) < 0.1
+    assert got == stats.bootstrap_ci(counts).first()
+    huge = stats.bootstrap_ci(spark.createDataFrame([(10**12, 10**11, 2 * 10**11)], "n long, a_only long, b_only long")).first()
+    assert 9.99 < huge.low < 10 < huge.high < 10.01
+    none = stats.bootstrap_ci(spark.createDataFrame([(0, 0, 0)], "n long, a_only long, b_only long")).first()
+    assert none.low is None and none.mean is None
+
+
+def naive_mutations(code):
+    """Every token with a replacement, tried on the text of its line."""
+    import io
+    import tokenize
+
+    out, rows = [], code.splitlines(keepends=True)
+    for t in tokenize.generate_tokens(io.StringIO(code).readline):
+        new = execution.REPLACEMENTS.get(t.string) or (str(int(t.string) + 1) if t.type == tokenize.NUMBER and t.string.isdigit() else None)
+        if new and t.start[0] == t.end[0]:
+            i = t.start[0] - 1
+            line = rows[i][: t.start[1]] + new + rows[i][t.end[1] :]
+            if rows.count(rows[i]) == 1 and line not in rows and not rows[i].strip().startswith(("def ", "import ", "from ")):
+                out.append((i, rows[i], line, "".join(line if j == i else x for j, x in enumerate(rows))))
+    return out
+
+
+def test_mutations_are_brute_force(spark):
+    programs = [
+        "from math import pi\ndef f(x, y=1):\n    if x <= 3 and y >= 2 or x == y:\n        return min(x, 1 + 2) * 3\n    return True\n\ndef g(x):\n    return True\n    s = 'a + 1'; t = 1.5 - 0x10\n    return x != 7 # 8 + 9\n",
+        "x = 1\nx = 1\nx = 2\nx = 3", 'y = """a\n+ 1""" + 2\n', "", "z = 1 +\\\n  2\n", "é = 1; w = é + 1\n", "a = [\n  1,\n  -1,\n]\r\n",
+    ]
+    for code in programs:
+        assert list(execution.mutate(code)) == naive_mutations(code)
+    with pytest.raises(Exception, match="bad: code cannot be tokenized"):
+        execution.mutations(spark.createDataFrame([("bad", "x = (")], "case_id string, code string")).collect()
+
+
+def test_runs_leave_nothing_behind_and_cannot_send_the_receipt():
+    tricks = [
+        "import sys; print(sys.argv); raise SystemExit(0)", "import sys; sys.stdout.write(sys.stdin.read()); raise SystemExit(0)", "import os; os.write(2, b'AssertionError'); os._exit(0)", "import os\nos.fork() and os._exit(0)\nimport time; time.sleep(60)",
+        "import sys; sys.exit(3)", "from __future__ import annotations\nx = 1", "__name__ == '__main__' or 1 / 0\nx = 1", "import os; os.kill(os.getpid(), 9)",
+    ]
+    got = [execution.run_tests(code, "assert x == 1", 3)["outcome"] for code in tricks]
+    assert got == ["OTHER", "OTHER", "ASSERTION_FAILURE", "TIMEOUT", "OTHER", "PASS", "PASS", "OTHER"]
+    assert execution.run_tests(None, None)["outcome"] == "PASS" and execution.run_tests("x = 1", "assert (")["outcome"] == "SYNTAX_ERROR"
+
+
+def test_zipped_rows(spark):
+    left = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (3, None, 3)], "line long, case_id string, n long")
+    right = spark.createDataFrame([(1, "b", 2), (2, "b", 9), (3, None, 3), (4, "d", 4)], "line long, case_id string, n long")
+    got = sorted(tuple(r) for r in quality.zipped(left, right, "order", ["case_id", "n"]).collect())
+    assert got == [("order", "1", "case_id"), ("order", "1", "n"), ("order", "2", "n"), ("order", "4", "missing left")]
+
+
 def test_recovery_order(spark):
     schema = "task string, solved boolean, calls array<struct<tool:string,id:string>>, results map<string,struct<success:boolean,outcome:string>>, targets array<struct<sampled_prediction:string,actual:string,decision:string>>, n_tokens long"
     t = [("python_test", "c1"), ("python_test", "c2")]
