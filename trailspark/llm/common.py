@@ -44,8 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Helper tables and files made by this driver that are still there.
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -60,6 +66,22 @@ def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all helper tables and files: to be called when the DataFrames that the operators returned are no longer read."""
+    for path in list(_made):
+        delete(spark, path)
+
+
+def spare_name(df: DataFrame, name: str) -> str:
+    """A name for a helper column that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def ascii_lower(column):
