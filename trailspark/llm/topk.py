@@ -1,9 +1,11 @@
 """Exact top-k search by integer inner product on a bit-sliced index.
 
 *Index.*  Components become ``floor(scale * x)``.  Rows are dealt by a hash of
-their id to blocks of about ``block_rows``; a block stores, for each dimension,
-the two's complement of its values as bit slices: slice ``b`` is a bitmap with
-bit ``r`` set if bit ``b`` of row ``r``'s value is.  All rows are indexed.
+their id, values and input partition, so that a repeated row is spread too, to
+blocks of about ``block_rows``; a block stores, for each dimension, the two's
+complement of its values as bit slices, as many as its largest value needs:
+slice ``b`` is a bitmap with bit ``r`` set if bit ``b`` of row ``r``'s value is.
+All rows are indexed.
 
 *Search.*  A query's score is a sum of its components times attribute slices.
 Multiplying by a constant shifts slices (signed digits of the constant, so few
@@ -19,9 +21,12 @@ block number, so neither side is broadcast or gathered.
 
 Defined cases: vectors that are null or hold a null or non-finite component take
 no part; vectors are compared with those of their own length; rows with a null
-id take no part; a query is not compared with rows of its own id; repeated ids
-are separate candidates, while repeated query rows give one result (of one of
-them, chosen by its values); quantised components are held to ``+-2**27``.
+id take no part; a query's own row, that is one row of its id and values, is no
+candidate, while other rows of its id are; each of several rows of one id is a
+query with a result of its own; ties go to the smaller id, and rows equal in id
+and score are alike; an empty table has no results.  Scores are exact whatever
+the components' size; a quantised component, or a score to be returned, that does
+not fit 64 bits is an error.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +44,7 @@ SCALE = 256
 K = 5
 BLOCK_ROWS = 1 << 12
 QUERY_ROWS = 256
-LIMIT = 1 << 27
+WORD = 1 << 63
 
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -49,7 +54,9 @@ def quantised(embedding: str = "embedding", scale: int = SCALE):
     x = F.transform(F.col(embedding).cast("array<double>"), lambda v: F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).otherwise(v))
     whole = F.col(embedding).isNotNull() & F.forall(x, lambda v: v.isNotNull())
     # a null component makes forall false, not null
-    return F.when(whole, F.transform(x, lambda v: F.floor(F.least(F.greatest(v * scale, F.lit(float(-LIMIT))), F.lit(float(LIMIT)))).cast("int")))
+    fits = lambda v: (v * scale >= -float(WORD)) & (v * scale < float(WORD))
+    failed = F.raise_error(F.lit("a quantised component does not fit 64 bits")).cast("long")
+    return F.when(whole, F.transform(x, lambda v: F.when(fits(v), F.floor(v * scale).cast("long")).otherwise(failed)))
 
 
 def slices_of(values: np.ndarray) -> np.ndarray:
@@ -84,7 +91,7 @@ def _digits(q: int) -> list[tuple[int, int]]:
 def score_slices(index: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Bit slices [bit, word] of the scores in two's complement, the last the sign."""
     dims, width, words = index.shape
-    top = width + int(np.abs(query).max(initial=0)).bit_length() + max(1, dims).bit_length() + 1
+    top = width + max(map(abs, query.tolist()), default=0).bit_length() + max(1, dims).bit_length() + 1
     columns: list[list[np.ndarray]] = [[] for _ in range(top)]
     constant = 0
     for b in range(width):
@@ -148,12 +155,20 @@ def select_top(scores: np.ndarray, allowed: np.ndarray, k: int, ids: np.ndarray)
         boundary = boundary[np.argsort(ids[boundary], kind="stable")[:need]]
     rows = np.concatenate([_positions(sure), boundary])
     bits = (scores[:, rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)
-    value = np.zeros(len(rows), np.int64)
+    value = np.zeros(len(rows), np.int64 if top < 63 else object)  # Python's integers where 64 bits may not do
     for b in range(top + 1):
-        value += bits[b].astype(np.int64) * (-(1 << b) if b == top else 1 << b)
+        value += bits[b].astype(value.dtype) * (-(1 << b) if b == top else 1 << b)
     return rows, value
 
 
+def _is_row(index: np.ndarray, row: int, values: np.ndarray) -> bool:
+    """Whether the row's values are these."""
+    width = index.shape[1]
+    held = (index[:, :, row >> 6] >> np.uint64(row & 63)) & np.uint64(1)
+    fits = ((values >> (width - 1) == 0) | (values >> (width - 1) == -1)).all()
+    return bool(fits and (held.astype(np.int64) == (values[:, None] >> np.arange(width)) & 1).all())
+
+
 def build_index(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = SCALE, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """Written tables: packed blocks (dims, block, n, width, ids, slices), and their (dims, blocks)."""
     spark = vectors.sparkSession
@@ -172,7 +187,7 @@ def build_index(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
             "ids": [rows["i"].to_numpy(np.int64).tobytes()], "slices": [index.tobytes()],
         })
 
-    dealt = rows.join(F.broadcast(sizes), "dims").withColumn("block", F.pmod(F.xxhash64("i"), F.col("blocks").cast("long")).cast("int"))
+    dealt = rows.join(F.broadcast(sizes), "dims").withColumn("block", F.pmod(F.xxhash64("i", "v", F.spark_partition_id()), F.col("blocks").cast("long")).cast("int"))
     packed = dealt.select("dims", "block", "i", "v").groupBy("dims", "block").applyInPandas(pack, "dims int, block int, n int, width int, ids binary, slices binary")
     return written(packed, "topk-index")[0], sizes
 
@@ -181,16 +196,21 @@ def search(index: DataFrame, sizes: DataFrame, queries: DataFrame, *, vec_id: st
     """query_id, rank, vec_id, score of the ``k`` best rows of each query."""
     spark = index.sparkSession
     rows = queries.select(F.col(vec_id).cast("long").alias("i"), quantised(embedding, scale).alias("v")).dropna()
-    rows = rows.groupBy("i").agg(F.min("v").alias("v")).withColumn("dims", F.size("v"))
+    # equal queries have equal results: they are asked once and given back as often
+    rows = rows.groupBy("i", "v").agg(F.count("*").alias("copies")).withColumn("dims", F.size("v"))
     packs = rows.groupBy("dims").agg(F.ceil(F.count("*") / query_rows).cast("long").alias("packs"))
-    keyed = rows.join(F.broadcast(packs), "dims").withColumn("pack", F.pmod(F.xxhash64("i"), F.col("packs")))
+    keyed = rows.join(F.broadcast(packs), "dims").withColumn("pack", F.pmod(F.xxhash64("i", "v"), F.col("packs")))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        values = np.stack(rows["v"].to_numpy()).astype(np.int64) if int(rows["dims"].iloc[0]) else np.zeros((len(rows), 0), np.int64)
-        return pd.DataFrame({"dims": [rows["dims"].iloc[0]], "q_ids": [rows["i"].to_numpy(np.int64).tobytes()], "q_values": [values.tobytes()]})
+        dims = int(rows["dims"].iloc[0])
+        values = np.stack(rows["v"].to_numpy()).astype(np.int64) if dims else np.zeros((len(rows), 0), np.int64)
+        order = np.lexsort([*values.T[::-1], rows["i"].to_numpy()])  # a query is known by its place in the pack, whatever order rows come in
+        q_ids, copies = rows["i"].to_numpy(np.int64)[order], rows["copies"].to_numpy(np.int64)[order]
+        return pd.DataFrame({"dims": [dims], "pack": [rows["pack"].iloc[0]], "q_ids": [q_ids.tobytes()], "q_copies": [copies.tobytes()], "q_values": [values[order].tobytes()]})
 
-    packed = keyed.groupBy("dims", "pack").applyInPandas(pack, "dims int, q_ids binary, q_values binary")
-    spread = packed.join(F.broadcast(sizes), "dims").select("dims", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "q_ids", "q_values")
+    packed = keyed.groupBy("dims", "pack").applyInPandas(pack, "dims int, pack long, q_ids binary, q_copies binary, q_values binary")
+    names = ("pack", "q_ids", "q_copies", "q_values")
+    spread = packed.join(F.broadcast(sizes), "dims").select("dims", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *names)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -201,18 +221,29 @@ def search(index: DataFrame, sizes: DataFrame, queries: DataFrame, *, vec_id: st
                 q_ids = np.frombuffer(r.q_ids, np.int64)
                 values = np.frombuffer(r.q_values, np.int64).reshape(len(q_ids), r.dims)
                 full = np.packbits(np.arange(words * 64) < r.n, bitorder="little").view(np.uint64)
+                copies = np.frombuffer(r.q_copies, np.int64)
                 out = []
-                for q, v in zip(q_ids, values, strict=True):
-                    allowed = full.copy()
-                    own = np.arange(np.searchsorted(ids, q, "left"), np.searchsorted(ids, q, "right"))  # ids are sorted
-                    np.bitwise_and.at(allowed, own >> 6, ~(np.uint64(1) << (own & 63).astype(np.uint64)))
-                    found, score = select_top(score_slices(blocks, v), allowed, k, ids)
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[found], "score": score}))
+                for at, (q, v) in enumerate(zip(q_ids, values, strict=True)):
+                    # one more than asked for, as the query's own row may be among them
+                    found, score = select_top(score_slices(blocks, v), full, k + 1, ids)
+                    own = np.array([ids[x] == q and _is_row(blocks, int(x), v) for x in found], bool)
+                    over = np.array([not -WORD <= x < WORD for x in score], bool)
+                    if (over & ~own).any():
+                        raise OverflowError("a score does not fit 64 bits")
+                    score = np.where(over, WORD - 1, score).astype(np.int64)  # a query's own row is not returned, so its score may be larger
+                    out.append(pd.DataFrame({"dims": r.dims, "pack": r.pack, "place": at, "copies": copies[at], "query_id": q, "vec_id": ids[found], "score": score, "own": own, "over": over}))
                 yield pd.concat(out)
 
     # fixed numbers of tasks: adaptive execution goes by bytes, but the work is in the pairs
     tasks = max(1, sizes.agg(F.sum("blocks")).first()[0] or 0)
     pairs = spread.repartition(tasks, "dims", "block").join(index.repartition(tasks, "dims", "block"), ["dims", "block"])
-    found = pairs.select("dims", "n", "width", "ids", "slices", "q_ids", "q_values").mapInPandas(meet, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    schema = "dims int, pack long, place int, copies long, query_id long, vec_id long, score long, own boolean, over boolean"
+    found = pairs.select("dims", "n", "width", "ids", "slices", *names).mapInPandas(meet, schema)
+    best = Window.partitionBy("dims", "pack", "place").orderBy(F.desc("score"), "vec_id", F.desc("own"))
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
+    # the query's own row is the first of those equal to it
+    ranked = ranked.withColumn("skipped", F.count_if("own").over(best.rowsBetween(Window.unboundedPreceding, 0)))
+    others = ranked.where(~(F.col("own") & (F.col("skipped") == 1))).withColumn("rank", F.col("rank") - (F.col("skipped") > 0).cast("int"))
+    result = others.where(F.col("rank") <= k).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    score = F.when(F.col("over"), F.raise_error(F.lit("a score does not fit 64 bits")).cast("long")).otherwise(F.col("score"))
+    return result.select("query_id", "rank", "vec_id", score.alias("score"))
