@@ -12,16 +12,21 @@ at one time the strictest holds (block, then allow, then remove).
 leading paths of its URL, and takes of each rule the entry active when it was
 fetched.  Intervals are cut at multiples of ``period`` days, so that the lookup
 is an equi-join on (rule, period) with a residual range check and rules with
-many entries do not multiply the captures.  The most specific (longest) active
+many entries do not multiply the captures.  Only periods in which something was
+fetched count, so a capture with a freak date adds one period.  The most specific (longest) active
 rule decides; a rule is unique by its text, so there are no ties.
 
 The interval table is broadcast only if its estimated size is under
 ``broadcast_bytes``; else the join shuffles, and adaptive execution splits a
 hot rule or host.  Rows are folded back to captures by partial aggregation.
 
+Hosts are compared in lower case, paths as they are.
+
 Defined cases: null URL or null fetch time matches nothing and is kept, as
 ``unlisted``; entries with a null rule, date or unknown action are void; an
-empty list leaves all captures unlisted; repeated captures are each returned.
+empty list leaves all captures unlisted, and no captures give no rows; repeated
+captures are each returned; URLs of any length are looked up whole.  Only the
+three columns named are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -54,6 +59,13 @@ def rules_of(url: Column) -> Column:
     return F.when(host.isNotNull(), F.array_distinct(F.concat(domains, paths)))
 
 
+def rule_of(rule: Column) -> Column:
+    """A rule with its host in lower case and without a trailing slash."""
+    plain = F.rtrim(rule, F.lit("/"))
+    host = F.substring_index(plain, "/", 1)
+    return F.concat(F.lower(host), F.substr(plain, F.length(host) + 1))
+
+
 def period_of(at: Column, days: int) -> Column:
     return F.floor(F.unix_timestamp(at) / (days * 86400)).cast("long")
 
@@ -62,7 +74,7 @@ def validity(entries: DataFrame) -> DataFrame:
     """(rule, action, valid_from, valid_to) with a null end where the entry still holds."""
     rank = F.create_map(*(x for k, v in STRICTNESS.items() for x in (F.lit(k), F.lit(v))))
     rows = entries.select(
-        F.lower(F.rtrim("rule", F.lit("/"))).alias("rule"), F.col("listed_at").cast("timestamp").alias("valid_from"), F.try_element_at(rank, F.col("action")).alias("s")
+        rule_of(F.col("rule")).alias("rule"), F.col("listed_at").cast("timestamp").alias("valid_from"), F.try_element_at(rank, F.col("action")).alias("s")
     ).dropna()
     one = rows.groupBy("rule", "valid_from").agg(F.max("s").alias("s"))  # a group is a rule's log: list data, not captures
     end = F.lead("valid_from").over(Window.partitionBy("rule").orderBy("valid_from"))
@@ -76,13 +88,11 @@ def evaluate(
 ) -> DataFrame:
     """capture id, url, fetched_at, verdict, rule, listed_at of every capture."""
     rows = captures.select(F.col(capture_id).alias("c"), F.col(url).alias("u"), F.col(fetched_at).cast("timestamp").alias("at"))
-    horizon = rows.agg(F.min("at"), F.max("at")).first()
-    first, last = (F.lit(x).cast("timestamp") for x in horizon)
-    spans = validity(entries)
-    start = F.greatest("valid_from", first)
-    stop = F.least(F.coalesce("valid_to", last), last)
-    periods = F.sequence(period_of(start, period_days), period_of(stop, period_days))
-    list_ = spans.where(start <= stop).select("rule", "action", "valid_from", "valid_to", F.explode(periods).alias("period"))
+    fetched = rows.where("at IS NOT NULL").select(period_of(F.col("at"), period_days).alias("p")).distinct()
+    present = fetched.agg(F.sort_array(F.collect_list("p"))).first()[0]  # a number a period of the calendar at most
+    from_, to = period_of(F.col("valid_from"), period_days), period_of(F.col("valid_to"), period_days)
+    held = F.filter(F.lit(present).cast("array<bigint>"), lambda x: (x >= from_) & (F.col("valid_to").isNull() | (x <= to)))
+    list_ = validity(entries).select("rule", "action", "valid_from", "valid_to", F.explode(held).alias("period"))
     size = list_.agg(F.coalesce(F.sum(F.octet_length("rule") + 64), F.lit(0))).first()[0]
     if size <= broadcast_bytes:
         list_ = F.broadcast(list_)
