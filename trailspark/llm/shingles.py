@@ -84,8 +84,8 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return h
 
 
-def banded(docs: DataFrame, *, text: str = "text", node: str = "node", into: str = "banded") -> DataFrame:
-    """``docs`` with ``node``, a hash of the text, and a struct ``into``: n (size of the set), bands."""
+def banded(docs: DataFrame, *, text: str = "text", into: str = "banded") -> DataFrame:
+    """``docs`` with a struct ``into``: n (size of the set), bands."""
     short_batches(docs.sparkSession)
 
     @F.pandas_udf("n long, bands array<long>")
@@ -94,7 +94,7 @@ def banded(docs: DataFrame, *, text: str = "text", node: str = "node", into: str
             sets = [shingle_set(t) for t in texts]
             yield pd.DataFrame({"n": [len(s) for s in sets], "bands": [bands(s).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]})
 
-    return docs.withColumn(node, F.xxhash64(text)).withColumn(into, compute(F.col(text)))
+    return docs.withColumn(into, compute(F.col(text)))
 
 
 def buckets(marked: DataFrame, *, into: str = "banded") -> DataFrame:

@@ -20,11 +20,15 @@ bucket cannot hold more than a few hundred.  Only the links that join two parts
 of a bucket are emitted.
 
 *Components.*  Links are contracted by alternating large-star and small-star
-rounds on written tables; no task and no driver holds a component.
+rounds on written tables until nothing changes; no task and no driver holds a
+component.
 
 Defined cases: null and wordless texts have fingerprint zero and are linked
 like any other; repeated rows each keep a row; the component is the smallest
-non-null id reachable (null if a component has none).
+non-null id reachable (null if a component has none); an empty table has no
+fingerprints; texts of any length are read whole, shingles in slices.  Columns of
+the documents are kept by ``fingerprints`` and ``keep_first``, whatever their
+names (``into`` replaces one of that name).
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.llm import shingles
-from trailspark.llm.common import BROADCAST_BYTES, delete, short_batches, written
+from trailspark.llm.common import BROADCAST_BYTES, delete, short_batches, spare_name, written
 
 SHINGLE = 3
 RADIUS = 3
@@ -185,12 +189,12 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, bucket: int = BUCKET) -> tu
     return out.distinct(), paths
 
 
-def components(edges: DataFrame, *, rounds: int = 40) -> tuple[DataFrame, str]:
+def components(edges: DataFrame) -> tuple[DataFrame, str]:
     """(node, root) of every node with a link; the root is the smallest node reachable."""
     now, path = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), "links")
     spark = edges.sparkSession
     before = None
-    for _ in range(rounds):
+    while True:  # a round shortens every path, so it settles
         # large-star: larger neighbours go to the smallest of the node and its neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -205,8 +209,6 @@ def components(edges: DataFrame, *, rounds: int = 40) -> tuple[DataFrame, str]:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")), path
 
 
@@ -242,14 +244,11 @@ def _with_alike(docs: DataFrame, marked: DataFrame, edges: DataFrame, similarity
     return member, paths
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET, similarity: float | None = None) -> DataFrame:
-    """doc_id, fp (signed long), component_id of every row of ``docs``.
-
-    With ``similarity``, texts whose sets of shingles reach it (see ``shingles``) are linked as well.
-    """
+def _grouped(docs: DataFrame, doc_id: str, text: str, size: int, radius: int, bucket: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, fp) of every row, where ``node`` is a hash of the text, and (fp, least, root) of every fingerprint."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked = fingerprints(docs, size=size)
+    marked = fingerprints(docs.withColumn("node", F.xxhash64("text")), size=size)
     marked, _ = written((shingles.banded(marked) if similarity else marked).drop("text"), "fingerprints")
     nodes, nodes_path = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     edges, helpers = links(nodes.select("fp"), radius=radius, bucket=bucket)
@@ -261,6 +260,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     for path in helpers:
         delete(spark, path)
     roots = nodes.join(member, nodes.fp == member.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return marked.select("doc_id", "node", "fp"), roots
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET, similarity: float | None = None) -> DataFrame:
+    """doc_id, fp (signed long), component_id of every row of ``docs``.
+
+    With ``similarity``, texts whose sets of shingles reach it (see ``shingles``) are linked as well.
+    """
+    marked, roots = _grouped(docs, doc_id, text, size, radius, bucket, similarity)
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = roots.join(least, "root").select("fp", "component_id")
     return marked.select("doc_id", "fp").join(classes, "fp").select("doc_id", "fp", "component_id")
@@ -270,25 +278,29 @@ def hexadecimal(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, **options) -> DataFrame:
-    """One document of each group: those whose id is their component's smallest.
+def keep_first(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET, similarity: float | None = None, broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """One document of each group: the one with the smallest id, null last; of texts that share it, the one of the smallest hash.
 
-    Documents with a null id are kept.  Of rows that repeat one id, one row stays.
-    Only ids that go or repeat are looked up: they are broadcast under
-    ``broadcast_bytes``, so that texts need no shuffle, and joined by a shuffle
-    beyond it.
+    A document is known by its id and its text, so texts of other groups that share
+    its id stay; of rows equal in both, one stays.  Only the (id, hash) of documents
+    that go or repeat are looked up: they are broadcast under ``broadcast_bytes``,
+    so that texts need no shuffle, and joined by a shuffle beyond it.
     """
-    classes = near_duplicates(docs, doc_id=doc_id, text=text, **options).where(F.col("doc_id").isNotNull())
-    by_id = classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"))
-    decided, _ = written(by_id.where(~F.col("first") | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("first").alias("__first")), "decided")
-    size, repeated = decided.agg(F.sum(F.octet_length(F.col("__id").cast("string")) + 64), F.count_if("__first")).first()
-    small, same = (size or 0) <= broadcast_bytes, F.col(doc_id) == F.col("__id")
-    decided = F.broadcast(decided) if small else decided
-    if small:
-        out = docs.join(decided, same, "left_anti")
-    else:  # null ids would meet in one task
-        out = docs.where(F.col(doc_id).isNotNull()).join(decided, same, "left_anti").unionByName(docs.where(F.col(doc_id).isNull()))
+    marked, roots = _grouped(docs, doc_id, text, size, radius, bucket, similarity)
+    order = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "node")
+    of_fp = marked.groupBy("fp").agg(F.min(order).alias("first")).join(roots.select("fp", "root"), "fp")
+    first = of_fp.select("fp", "root").join(of_fp.groupBy("root").agg(F.min("first").alias("first")), "root").select("fp", "first")
+    held = marked.groupBy("doc_id", "node", "fp").agg(F.count("*").alias("n")).join(first, "fp").select("doc_id", "node", "n", order.eqNullSafe(F.col("first")).alias("stays"))
+    i, h, stays, own = (spare_name(docs, x) for x in ("gone_id", "gone_hash", "stays", "own_hash"))
+    decided, _ = written(held.where(~F.col("stays") | (F.col("n") > 1)).select(F.col("doc_id").alias(i), F.col("node").alias(h), F.col("stays").alias(stays)), "decided")
+    bytes_, repeated = decided.agg(F.sum(F.coalesce(F.octet_length(F.col(i).cast("string")), F.lit(0)) + 72), F.count_if(stays)).first()
+    decided = F.broadcast(decided) if (bytes_ or 0) <= broadcast_bytes else decided
+    hashed = docs.withColumn(own, F.xxhash64(text))
+    same = (F.col(own) == F.col(h)) & F.col(doc_id).eqNullSafe(F.col(i))
+    out = hashed.join(decided, same, "left_anti")
     if repeated:
-        again = docs.join(decided.where("__first"), same, "left_semi")
-        out = out.unionByName(again.dropDuplicates([doc_id]))
-    return out
+        again = hashed.join(decided.where(stays), same, "left_semi")
+        out = out.unionByName(again.dropDuplicates([doc_id, own]))
+    return out.drop(own)
