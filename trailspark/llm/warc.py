@@ -6,7 +6,8 @@ independent Zstandard frame, and the bundle ends with a skippable frame that
 holds the seek table (public seekable format: per frame the compressed and the
 decompressed size, then the frame count, a descriptor byte and a magic number).
 The index maps each record id to its bundle, frame, offset in the decompressed
-frame and length.
+frame and length.  A record's id is made of the page's id, its URL and the
+payload's digest.
 
 *Deduplication.*  Payloads of at least ``revisit_bytes`` that are equal by
 SHA-1 and length share one ``response`` record, that of the largest id; the
@@ -14,18 +15,21 @@ others are ``revisit`` records that name it and the payload's digest and
 length.  The payloads themselves are not shuffled: only digests are counted,
 and the few repeated ones come back, broadcast if small, else joined.
 
-*Read.*  ``read_bundles`` walks whole bundles frame by frame; ``read_records``
-fetches single records by the index, decompressing only their frames.
+*Read.*  ``read_records`` fetches records by the index, in the order of frames,
+each of which is decompressed once and alone; ``read_bundles`` walks whole bundles.
 
-*Recovery.*  A task writes to a name of its own attempt and renames it to the
-partition's name when done, so a lost executor leaves nothing half-written and
-a second attempt, or a late twin, replaces it with equal bytes.  Record ids,
-dates and bytes depend only on the rows.
+*Recovery.*  Every attempt of a task writes a bundle of its own name, which its
+rows of the index carry; the index is committed by Spark, so it names the bundles
+of the attempts that count and no others.  What lost or late attempts leave is
+deleted once the index is written.  Record ids, dates and bytes depend only on
+the rows.
 
 Defined cases: null html is an empty payload; null URLs leave out the target
 URI; of rows that repeat the largest id with the same payload, each is a
-response; rows with a null id are written, and are never referred to; an empty
-table makes no records.
+response; rows equal in id, URL and payload are written each, as equal records of
+one id; rows with a null id are written, and are never referred to; very long
+payloads take a frame each; an empty table makes no records.  Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -63,19 +67,20 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path[5:])
 
 
-def record_id(page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}')}>"
+def record_id(page_id, url: str | None, digest: str) -> str:
+    name = f"page:{page_id}:{digest}:{'' if url is None else '=' + url}".encode("utf-8", "surrogatepass")
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha1(_SPACE.bytes + name).digest()[:16], version=5)}>"
 
 
-def record(page_id, url, payload: bytes, digest: str, original) -> bytes:
-    """The record's bytes; ``original`` is the id that a revisit refers to."""
+def record(page_id, url, payload: bytes, digest: str, original, original_url=None) -> bytes:
+    """The record's bytes; ``original`` is the page id that a revisit refers to, ``original_url`` that page's URL."""
     revisit = original is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (b"" if revisit else payload)
     head = {
-        "WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": record_id(page_id), "WARC-Date": DATE,
+        "WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": record_id(page_id, url, digest), "WARC-Date": DATE,
         "WARC-Target-URI": None if url is None else url.replace("\r", "%0D").replace("\n", "%0A"),
-        "WARC-Profile": PROFILE if revisit else None, "WARC-Refers-To": record_id(original) if revisit else None,
+        "WARC-Profile": PROFILE if revisit else None, "WARC-Refers-To": record_id(original, original_url, digest) if revisit else None,
         "WARC-Payload-Digest": f"sha1:{digest}", "X-Page-Id": page_id, "X-Refers-To-Page-Id": original, "X-Payload-Bytes": len(payload),
         "Content-Type": "application/http; msgtype=response", "Content-Length": len(block),
     }
@@ -161,53 +166,66 @@ def _table(rows: list[tuple], schema: str) -> pd.DataFrame:
     return out.astype({x: "Int64" for x in names if x in ("page_id", "refers_to")})
 
 
-def with_originals(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", least: int = REVISIT_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``pages`` with ``__digest`` (SHA-1) and ``__original``: the id of the response that a revisit refers to."""
-    payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    marked = pages.withColumn("__digest", F.sha1(payload)).withColumn("__bytes", F.octet_length(payload))
-    big = marked.where(F.col("__bytes") >= least).groupBy(F.col("__digest").alias("d"), F.col("__bytes").alias("n"))
-    shared = big.agg(F.max(page_id).alias("top"), F.count("*").alias("copies")).where((F.col("copies") > 1) & F.col("top").isNotNull()).select("d", "n", "top")
+def with_originals(pages: DataFrame, *, least: int = REVISIT_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``pages`` (page_id, url, html) with ``digest`` (SHA-1), and ``original``, ``original_url`` of the response that a revisit refers to."""
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    marked = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
+    big = marked.where(F.col("bytes") >= least).groupBy(F.col("digest").alias("d"), F.col("bytes").alias("n"))
+    top = F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("top")
+    shared = big.agg(top, F.count("*").alias("copies")).where((F.col("copies") > 1) & F.col("top").isNotNull()).select("d", "n", "top")
     shared, _ = written(shared, "payload-copies")
-    if shared.count() * 96 <= broadcast_bytes:
+    size = shared.agg(F.sum(F.coalesce(F.octet_length("top.url"), F.lit(0)) + 96)).first()[0] or 0
+    if size <= broadcast_bytes:
         shared = F.broadcast(shared)
-    joined = marked.join(shared, (F.col("__digest") == F.col("d")) & (F.col("__bytes") == F.col("n")), "left")
-    original = F.when(~F.col(page_id).eqNullSafe(F.col("top")), F.col("top"))
-    return joined.withColumn("__original", original).drop("d", "n", "top", "__bytes")
+    joined = marked.join(shared, (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("n")), "left")
+    revisits = ~F.col("page_id").eqNullSafe(F.col("top.page_id"))
+    return joined.select("page_id", "url", "html", "digest", F.when(revisits, F.col("top.page_id")).alias("original"), F.when(revisits, F.col("top.url")).alias("original_url"))
 
 
-def write_bundles(pages: DataFrame, folder: str | None = None, *, page_id: str = "page_id", url: str = "url", html: str = "html", frame_bytes: int = FRAME_BYTES, level: int = LEVEL, revisit_bytes: int = REVISIT_BYTES) -> tuple[DataFrame, str]:
+def write_bundles(pages: DataFrame, folder: str | None = None, *, page_id: str = "page_id", url: str = "url", html: str = "html", frame_bytes: int = FRAME_BYTES, level: int = LEVEL, revisit_bytes: int = REVISIT_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, str]:
     """Write all rows; returns the index (a written table) and the folder of the bundles."""
     spark = pages.sparkSession
     short_batches(spark)
     folder = folder or fresh_path(spark, "bundles")
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)
-    rows = with_originals(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")), least=revisit_bytes)
+    plain = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
+    rows = with_originals(plain, least=revisit_bytes, broadcast_bytes=broadcast_bytes)
+    run = uuid.uuid4().hex[:12]
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = _open(folder)
-        task = TaskContext.get()
-        name = f"part-{task.partitionId():06d}.warc.zst"
-        own, index, any_ = f"{root}/.{name}.{task.taskAttemptId()}", [], False
-        with fs.open_output_stream(own) as out:
-            bundle = BundleWriter(out, frame_bytes, level)
-            for batch in batches:
-                ids, originals = batch["page_id"].astype("Int64"), batch["__original"].astype("Int64")
-                for i, u, h, d, o in zip(ids, batch["url"], batch["html"], batch["__digest"], originals, strict=True):
-                    i, o = (None if pd.isna(x) else int(x) for x in (i, o))
-                    any_ = True
-                    index.append((record_id(i), f"{folder}/{name}", *bundle.add(record(i, u, (h or "").encode("utf-8", "surrogatepass"), d, o))))
-                if len(index) >= 50_000:
-                    yield _table(index, INDEX)
-                    index = []
+        name, index, out, bundle = f"{run}-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.warc.zst", [], None, None
+        for batch in batches:
+            ids, originals = batch["page_id"].astype("Int64"), batch["original"].astype("Int64")
+            for i, u, h, d, o, ou in zip(ids, batch["url"], batch["html"], batch["digest"], originals, batch["original_url"], strict=True):
+                i, o = (None if pd.isna(x) else int(x) for x in (i, o))
+                if bundle is None:
+                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
+                    bundle = BundleWriter(out, frame_bytes, level)
+                index.append((record_id(i, u, d), f"{folder}/{name}", *bundle.add(record(i, u, (h or "").encode("utf-8", "surrogatepass"), d, o, ou))))
+            if len(index) >= 50_000:
+                yield _table(index, INDEX)
+                index = []
+        if bundle is not None:
             bundle.close()
-        if any_:
-            fs.move(own, f"{root}/{name}")
+            out.close()
             yield _table(index, INDEX)
-        else:
-            fs.delete_file(own)
 
-    return written(rows.select("page_id", "url", "html", "__digest", "__original").mapInPandas(write, INDEX), "bundle-index")[0], folder
+    index = written(rows.mapInPandas(write, INDEX), "bundle-index")[0]
+    drop_orphans(index, folder)
+    return index, folder
+
+
+def drop_orphans(index: DataFrame, folder: str) -> int:
+    """Delete the bundles that attempts of the same run left and the index does not name; returns how many."""
+    fs, root = _open(folder)
+    named = {r.bundle.rsplit("/", 1)[1] for r in index.select("bundle").distinct().collect()}  # a name a task
+    runs = {n.split("-")[0] for n in named}
+    orphans = [f for f in fs.get_file_info(pafs.FileSelector(root)) if f.base_name.endswith(".warc.zst") and f.base_name.split("-")[0] in runs and f.base_name not in named]
+    for f in orphans:
+        fs.delete_file(f.path)
+    return len(orphans)
 
 
 def read_bundles(spark: SparkSession, index: DataFrame) -> DataFrame:
@@ -229,14 +247,28 @@ def read_bundles(spark: SparkSession, index: DataFrame) -> DataFrame:
 
 
 def read_records(index: DataFrame) -> DataFrame:
-    """The records of the index rows given, by their frame and offset."""
+    """The records of the index rows given, by their bundle, frame and offset: only the frames named are read, each once."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for (path, frame), rows in batch.groupby(["bundle", "frame"]):
-                fs, at = _open(path)
-                with fs.open_input_file(at) as source:
-                    data = BundleReader(source, source.size()).frame(int(frame))
-                yield _table([_row(*x) for o, n in zip(rows["offset"], rows["length"], strict=True) for x in parse(data[o : o + n])], RECORD)
-
-    return index.select("record_id", "bundle", "frame", "offset", "length").repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bundle", "frame").mapInPandas(read, RECORD)
+        path = at = source = bundle = data = None
+        try:
+            for batch in batches:
+                out = []
+                for p, f, o, n in zip(batch["bundle"], batch["frame"], batch["offset"], batch["length"], strict=True):
+                    if p != path:
+                        if source is not None:
+                            source.close()
+                        fs, place = _open(p)
+                        path, at, source = p, None, fs.open_input_file(place)
+                        bundle = BundleReader(source, source.size())
+                    if f != at:
+                        at, data = f, bundle.frame(int(f))
+                    out += [_row(*x) for x in parse(data[o : o + n])]
+                yield _table(out, RECORD)
+        finally:
+            if source is not None:
+                source.close()
+
+    width = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = index.select("bundle", "frame", "offset", "length").repartition(width, "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
+    return placed.mapInPandas(read, RECORD)
