@@ -10,9 +10,11 @@ dealt by a hash of the document id to about the square root of their number of
 buckets, running sums are taken within a bucket and bucket totals are added, so
 no task sees a whole source.
 
-*Shards.*  A source gets the slots nearest its target.  Each output shard draws
-multinomial counts from the slots that remain (never more than remain), so the
-counts vary between shards while the totals are exact.
+*Shards.*  A source gets the slots nearest its target.  Each output shard of
+``shard_slots`` slots draws multinomial counts from the slots that remain (never
+more than remain), so the counts vary between shards while the totals are exact.
+Beyond ``GROUPS`` shards, groups of shards draw first, and a task then draws the
+shards of its group one after the other, so no plan of all shards is held anywhere.
 
 *Slots.*  Slot ``j`` of a source is block ``perm(j mod blocks)`` of pass
 ``j div blocks``, where ``perm`` is a keyed Feistel permutation of the block
@@ -23,8 +25,9 @@ All draws depend on the seed, the sizes and the ids only, so reruns agree.
 
 Defined cases: null or wordless texts have size 0 and take nothing; a null
 source is a source, the last; rows with equal ids, source and size are
-interchangeable; an empty table mixes nothing; at most ``MAX_SOURCES`` sources
-are allowed, as their sizes are planned on the driver.
+interchangeable; an empty table mixes nothing; texts of any length are counted and
+cut whole.  Sources are planned on the driver, so more than ``MAX_SOURCES`` are an
+error.  Only the three columns named are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -44,8 +47,8 @@ BLOCK_WORDS = 128
 MOST = 3
 WEIGHTS = (1, 2, 3)
 SHARD_SLOTS = 1 << 14
-MAX_SHARDS = 4096
-#: Most counts in the plan of all shards.
+#: Most groups of shards, and most counts in the plan of the groups.
+GROUPS = 4096
 MAX_COUNTS = 1 << 22
 MAX_SOURCES = 100_000
 SEED = 20240601
@@ -70,22 +73,33 @@ def targets(sizes: list[int], weights: list[int], most: int = MOST) -> list[Frac
     return out
 
 
-def draw_shards(slots: np.ndarray, shard_slots: int, seed: int) -> np.ndarray:
-    """Counts [shard, source]: multinomial draws from what remains, which all add up to ``slots``."""
-    total = int(slots.sum())
-    most = max(1, min(MAX_SHARDS, MAX_COUNTS // max(1, len(slots))))
-    size = max(shard_slots, -(-total // most))
-    left, rng, out = slots.astype(np.int64).copy(), np.random.default_rng(seed), []
-    while (rest := int(left.sum())) > 0:
-        want, drawn = min(size, rest), np.zeros_like(left)
-        while want:
-            open_ = left - drawn
-            take = np.minimum(rng.multinomial(want, open_ / open_.sum()), open_)
-            drawn += take
-            want -= int(take.sum())
+def draw(left: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """Multinomial counts of ``size`` slots from those ``left``, never more than are left."""
+    drawn, want = np.zeros_like(left), min(size, int(left.sum()))
+    while want:
+        open_ = left - drawn
+        take = np.minimum(rng.multinomial(want, open_ / open_.sum()), open_)
+        drawn += take
+        want -= int(take.sum())
+    return drawn
+
+
+def draw_all(slots: np.ndarray, size: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Counts of one shard after the other, which add up to ``slots``."""
+    left = slots.astype(np.int64).copy()
+    while left.any():
+        drawn = draw(left, size, rng)
         left -= drawn
-        out.append(drawn)
-    return np.array(out, np.int64).reshape(len(out), len(slots))
+        yield drawn
+
+
+def plan_groups(slots: np.ndarray, shard_slots: int, seed: int) -> tuple[np.ndarray, int]:
+    """Counts [group, source], and the shards of a group."""
+    shards = -(-int(slots.sum()) // shard_slots)
+    most = max(1, min(GROUPS, MAX_COUNTS // max(1, len(slots))))
+    each = max(1, -(-shards // most))
+    found = list(draw_all(slots, each * shard_slots, np.random.default_rng(seed)))
+    return np.array(found, np.int64).reshape(len(found), len(slots)), each
 
 
 def _hash(x: np.ndarray, key: int) -> np.ndarray:
@@ -143,7 +157,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     blocks = np.array([-(-s // block_words) for s in sizes], np.int64)
     # by the mean words of the source's blocks, as the last one may be short
     wanted = np.array([min(round(g * int(b) / s), int(b) * most) if s else 0 for g, b, s in zip(goals, blocks, sizes, strict=True)], np.int64)
-    shards = draw_shards(wanted, shard_slots, seed)
+    groups, each = plan_groups(wanted, shard_slots, seed)
     planned = [(i, r.source, sizes[i], float(goals[i])) for i, r in enumerate(found)]
     sources = spark.createDataFrame(planned, "source_ix int, source string, source_size long, target double")
 
@@ -159,25 +173,28 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     to = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
     pieces = pieces.withColumn("first_word", from_ - F.col("start")).withColumn("n_words", to - from_)
 
-    held = spark.sparkContext.broadcast((shards, blocks, shards.cumsum(0) - shards))
+    held = spark.sparkContext.broadcast((groups, blocks))  # at most MAX_COUNTS counts
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, blocks, starts = held.value
+        groups, blocks = held.value
         for batch in batches:
-            for shard in batch["id"]:
-                total, at = int(counts[shard].sum()), 0
-                for s in np.flatnonzero(counts[shard]):
-                    for lo in range(0, int(counts[shard, s]), 1 << 16):
-                        j = starts[shard, s] + np.arange(lo, min(int(counts[shard, s]), lo + (1 << 16)))
-                        passes, b = j // blocks[s], np.empty_like(j)
-                        for p in np.unique(passes):
-                            b[passes == p] = permute(j[passes == p] % blocks[s], int(blocks[s]), seed + 31 * int(s) + 7919 * int(p))
-                        place = permute(np.arange(at, at + len(j)), total, seed ^ (int(shard) + 1))
-                        at += len(j)
-                        yield pd.DataFrame({"shard": shard, "slot": place, "source_ix": s, "block": b})
-
-    tasks = max(1, len(shards))
-    slots = spark.range(0, len(shards), 1, tasks).mapInPandas(fill, "shard int, slot long, source_ix int, block long")
+            for group in batch["id"]:
+                start = groups[:group].sum(0)
+                shards = [groups[group]] if each == 1 else draw_all(groups[group], shard_slots, np.random.default_rng([seed, int(group)]))
+                for i, counts in enumerate(shards):
+                    shard, total, at = int(group) * each + i, int(counts.sum()), 0
+                    for s in np.flatnonzero(counts):
+                        for lo in range(0, int(counts[s]), 1 << 16):
+                            j = start[s] + np.arange(lo, min(int(counts[s]), lo + (1 << 16)))
+                            passes, b = j // blocks[s], np.empty_like(j)
+                            for p in np.unique(passes):
+                                b[passes == p] = permute(j[passes == p] % blocks[s], int(blocks[s]), seed + 31 * int(s) + 7919 * int(p))
+                            place = permute(np.arange(at, at + len(j)), total, seed ^ (shard + 1))
+                            at += len(j)
+                            yield pd.DataFrame({"shard": shard, "slot": place, "source_ix": s, "block": b})
+                    start = start + counts
+
+    slots = spark.range(0, len(groups), 1, max(1, len(groups))).mapInPandas(fill, "shard long, slot long, source_ix int, block long")
     return Mix(rows, pieces, slots, sources, block_words)
 
 
