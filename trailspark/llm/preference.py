@@ -7,18 +7,25 @@ completion, in which only the assistant's words are trained on.
 *Longest common prefix.*  Turns meet by (pair, turn) and are compared by their
 role and text; the first turn that one side lacks, repeats or has otherwise is
 where the pair diverges.  Both steps are partial aggregations over narrow rows,
-so neither a long conversation nor a popular first turn is gathered anywhere:
-the result has a row per rendered turn, to be joined up by (pair, part, turn).
+so neither a long conversation nor a popular first turn is gathered for it.
 
-Rendering is ``<|im_start|>role`` newline text ``<|im_end|>`` newline.  A row
-gives the characters ``[train_start, train_end)`` that carry loss: the text and
-end marker of an assistant turn of a completion, else nothing.
+*Pairs.*  A row holds a pair's prompt and both completions with their masks.
+Conversations longer than ``SEGMENT_TURNS`` turns, by turn number, take a row for
+every so many turns, in the order of ``segment``, so that no task gathers a whole
+long conversation; texts are shuffled once, by (pair, segment).  Turns repeated
+more than ``SEGMENT_TURNS`` times are dealt to segments of their own.
+
+Rendering is ``<|im_start|>role`` newline text ``<|im_end|>`` newline.  A mask lists
+the characters ``[start, end)`` of its completion that carry loss: the text and
+end marker of each assistant turn.
 
 Defined cases: a null role renders as nothing but takes part in comparison, as
 does a null text; a null turn sorts last; a conversation without its partner
 has no prompt and is not ``paired``; two equal conversations are all prompt;
-repeated turns end the prompt and are all rendered; rows with a null
-conversation id form one unpaired conversation.
+repeated turns end the prompt and are all rendered, by role and text; an empty
+table gives no rows; texts of any length are rendered whole.  Rows with a null
+conversation id are in no pair: each is a row of its own, a completion not
+``paired``.  Only the columns named are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -28,6 +35,8 @@ from pyspark.sql import functions as F
 
 LAST = (1 << 63) - 1
 START, END = "<|im_start|>", "<|im_end|>"
+#: Turns of one row, and copies of a turn before they are dealt to rows of their own.
+SEGMENT_TURNS = 256
 
 
 def by_parity(conv_id: str = "conv_id") -> tuple[Column, Column]:
@@ -35,26 +44,67 @@ def by_parity(conv_id: str = "conv_id") -> tuple[Column, Column]:
     return F.floor(F.col(conv_id) / 2).cast("long"), F.when(F.pmod(F.col(conv_id), F.lit(2)) == 1, "rejected").otherwise("chosen")
 
 
-def segments(turns: DataFrame, pair: Column, side: Column, *, turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """A row per rendered turn: pair_id, part, turn, role, rendered, train_start, train_end, paired."""
-    rows = turns.select(
+def _turns(turns: DataFrame, pair: Column, side: Column, turn: str, role: str, text: str) -> DataFrame:
+    return turns.select(
         pair.alias("pair_id"), side.alias("side"), F.coalesce(F.col(turn), F.lit(LAST)).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")
     )
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """(pair_id, turn) with the number of turns of each side and whether they are the same."""
     said = F.sha2(F.concat_ws("\0", F.coalesce(F.concat(F.lit("r"), "role"), F.lit("n")), F.coalesce(F.concat(F.lit("t"), "text"), F.lit("n"))), 256)
     chosen, rejected = (F.count(F.when(F.col("side") == x, 1)) for x in ("chosen", "rejected"))
-    met = rows.groupBy("pair_id", "turn").agg(chosen.alias("c"), rejected.alias("r"), F.min(said).alias("least"), F.max(said).alias("most"))
+    met = rows.where("pair_id IS NOT NULL").groupBy("pair_id", "turn").agg(chosen.alias("c"), rejected.alias("r"), F.min(said).alias("least"), F.max(said).alias("most"))
     same = (F.col("c") == 1) & (F.col("r") == 1) & (F.col("least") == F.col("most"))
-    cut = F.min(F.when(~same, F.col("turn")))
-    pairs = met.groupBy("pair_id").agg(cut.alias("cut"), ((F.sum("c") > 0) & (F.sum("r") > 0)).alias("paired"))
-    # turns before the cut are all shared; without a cut, all turns are
+    return met.select("pair_id", "turn", "c", "r", same.alias("same"))
+
+
+def _rendered(role: Column, text: Column) -> tuple[Column, Column]:
+    header = F.concat(F.lit(START), F.coalesce(role, F.lit("")), F.lit("\n"))
+    return header, F.concat(header, F.coalesce(text, F.lit("")), F.lit(END + "\n"))
+
+
+def pairs(turns: DataFrame, pair: Column, side: Column, *, turn: str = "turn", role: str = "role", text: str = "text", segment_turns: int = SEGMENT_TURNS) -> DataFrame:
+    """pair_id, segment, part, prompt, chosen, rejected, chosen_mask, rejected_mask, paired: a row per pair, and more for long ones.
+
+    ``part`` is 0, or counts the rows of a segment that repeated turns fill.
+    """
+    rows = _turns(turns, pair, side, turn, role, text)
+    met = _met(rows)
+    of_pair = met.groupBy("pair_id").agg(F.min(F.when(~F.col("same"), F.col("turn"))).alias("cut"), ((F.sum("c") > 0) & (F.sum("r") > 0)).alias("paired"))
+    segment = F.expr(f"(turn - pmod(turn, {segment_turns})) div {segment_turns}")  # whole numbers throughout
+    known = met.select("pair_id", segment.alias("segment")).distinct().join(of_pair, "pair_id")
+    hot = met.where(F.col("c") + F.col("r") > segment_turns).select("pair_id", "turn", F.ceil((F.col("c") + F.col("r")) / segment_turns).alias("parts"))
+    keyed = rows.where("pair_id IS NOT NULL").withColumn("segment", segment).withColumn("part", F.lit(0).cast("long"))
+    if not hot.isEmpty():  # a turn repeated so often is spread by its words and its input partition
+        spread = F.pmod(F.xxhash64("role", "text", F.spark_partition_id()), F.col("parts")) + 1
+        keyed = keyed.drop("part").join(hot, ["pair_id", "turn"], "left").withColumn("part", F.coalesce(spread, F.lit(0).cast("long"))).drop("parts")
+    joined = keyed.join(known, ["pair_id", "segment"])
     shared = F.col("cut").isNull() | (F.col("turn") < F.col("cut"))
-    known = pairs.withColumnRenamed("pair_id", "p")
-    joined = rows.join(known, F.col("pair_id").eqNullSafe(F.col("p")))
-    kept = joined.where(~(shared & (F.col("side") == "rejected")))  # a shared turn is rendered once
-    header = F.concat(F.lit(START), F.coalesce("role", F.lit("")), F.lit("\n"))
-    rendered = F.concat(header, F.coalesce("text", F.lit("")), F.lit(END + "\n"))
-    trains = ~shared & F.col("role").eqNullSafe("assistant")
-    return kept.select(
-        "pair_id", F.when(shared, "prompt").otherwise(F.col("side")).alias("part"), "turn", "role", rendered.alias("rendered"),
-        F.when(trains, F.length(header)).otherwise(0).alias("train_start"), F.when(trains, F.length(rendered) - 1).otherwise(0).alias("train_end"), "paired",
+    said = F.struct("turn", "role", "text")
+    lists = joined.groupBy("pair_id", "segment", "part").agg(
+        F.first("paired").alias("paired"),
+        F.array_sort(F.collect_list(F.when(shared & (F.col("side") == "chosen"), said))).alias("p"),  # a shared turn is rendered once
+        F.array_sort(F.collect_list(F.when(~shared & (F.col("side") == "chosen"), said))).alias("c"),
+        F.array_sort(F.collect_list(F.when(~shared & (F.col("side") == "rejected"), said))).alias("r"),
+    )
+    nobody = rows.where("pair_id IS NULL").select(
+        "pair_id", segment.alias("segment"), F.lit(0).cast("long").alias("part"), F.lit(False).alias("paired"), F.array().cast("array<struct<turn:bigint,role:string,text:string>>").alias("p"),
+        F.array(said).alias("c"), F.array().cast("array<struct<turn:bigint,role:string,text:string>>").alias("r"),
     )
+    whole = lambda c: F.array_join(F.transform(c, lambda m: _rendered(m["role"], m["text"])[1]), "")
+
+    def mask(c: str) -> Column:
+        spans = F.array().cast("array<struct<start:int,end:int>>")
+
+        def add(state: Column, m: Column) -> Column:
+            header, rendered = _rendered(m["role"], m["text"])
+            span = F.struct((state["at"] + F.length(header)).alias("start"), (state["at"] + F.length(rendered) - 1).alias("end"))
+            trains = m["role"].eqNullSafe(F.lit("assistant"))
+            return F.struct((state["at"] + F.length(rendered)).alias("at"), F.when(trains, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+
+        return F.aggregate(c, F.struct(F.lit(0).alias("at"), spans.alias("spans")), add)["spans"]
+
+    return lists.unionByName(nobody).select(
+        "pair_id", "segment", "part", whole("p").alias("prompt"), whole("c").alias("chosen"), whole("r").alias("rejected"), mask("c").alias("chosen_mask"), mask("r").alias("rejected_mask"), "paired"
+    )

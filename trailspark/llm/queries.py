@@ -32,7 +32,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_entries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(URL_LIST), "rule string, listed_at string, action string")
+    entry = [F.struct(*(F.lit(x).alias(k) for k, x in zip(("rule", "listed_at", "action"), row, strict=True))) for row in URL_LIST]
+    return spark.range(1).select(F.inline(F.array(*entry)))
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, _ = warc.write_bundles(table(spark, sf_dir, "pages"))
-    return warc.read_bundles(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.segments(table(spark, sf_dir, "conversations"), *preference.by_parity())
+    found = preference.pairs(table(spark, sf_dir, "conversations"), *preference.by_parity())
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("pair_id", "segment", "part", "prompt", "chosen", "rejected", listed("chosen_mask").alias("chosen_mask"), listed("rejected_mask").alias("rejected_mask"), "paired")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -90,7 +93,7 @@ _OP1 = r"""
 WITH item AS (
   SELECT DISTINCT CAST(item_id AS VARCHAR) AS item,
          regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+  FROM benchmark WHERE text IS NOT NULL),
 pat AS (
   SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS win
   FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM item WHERE len(w) > 0)),
@@ -104,7 +107,7 @@ hit AS (
   SELECT DISTINCT p.r, p.i, p.n, pat.item
   FROM (SELECT r, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win FROM pos) p JOIN pat ON pat.n = p.n AND pat.win = p.win),
 covered AS (SELECT r, count(DISTINCT at_word) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS at_word FROM hit) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hit WHERE item IS NOT NULL) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
@@ -134,13 +137,13 @@ FROM capture LEFT JOIN (SELECT * FROM hit WHERE best = 1) USING (r)
 
 _OP4 = """
 WITH v AS (
-  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+  SELECT vec_id, row_number() OVER () AS r, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
+  SELECT a.r, a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
 _OP8 = """
@@ -151,21 +154,30 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM t
 """
 
-_OP10 = """
+_SPAN = "CAST({0} + length(header) AS VARCHAR) || '-' || CAST({0} + length(rendered) - 1 AS VARCHAR)"
+_OP10 = f"""
 WITH t AS (
-  SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, CASE WHEN conv_id % 2 = 1 THEN 'rejected' ELSE 'chosen' END AS side, turn, role, text FROM conversations),
+  SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, CASE WHEN conv_id % 2 = 1 THEN 'rejected' ELSE 'chosen' END AS side, coalesce(turn, 9223372036854775807) AS turn, role, text
+  FROM conversations WHERE conv_id IS NOT NULL),
 m AS (
   SELECT pair_id, turn, count(*) FILTER (side = 'chosen') AS c, count(*) FILTER (side = 'rejected') AS r, count(DISTINCT struct_pack(a := role, b := text)) AS d
   FROM t GROUP BY pair_id, turn),
 p AS (SELECT pair_id, min(turn) FILTER (NOT (c = 1 AND r = 1 AND d = 1)) AS cut, sum(c) > 0 AND sum(r) > 0 AS paired FROM m GROUP BY pair_id),
-j AS (SELECT t.*, paired, cut IS NULL OR turn < cut AS shared FROM t JOIN p USING (pair_id)),
 k AS (
-  SELECT *, '<|im_start|>' || coalesce(role, '') || chr(10) AS header, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered
-  FROM j WHERE NOT (shared AND side = 'rejected'))
-SELECT pair_id, CASE WHEN shared THEN 'prompt' ELSE side END AS part, turn, role, rendered,
-       CAST(CASE WHEN NOT shared AND role = 'assistant' THEN length(header) ELSE 0 END AS INTEGER) AS train_start,
-       CAST(CASE WHEN NOT shared AND role = 'assistant' THEN length(rendered) - 1 ELSE 0 END AS INTEGER) AS train_end, paired
-FROM k
+  SELECT t.*, paired, CAST((turn - ((turn % 256) + 256) % 256) // 256 AS BIGINT) AS segment, CASE WHEN cut IS NULL OR turn < cut THEN 'prompt' ELSE side END AS place,
+         '<|im_start|>' || coalesce(role, '') || chr(10) AS header, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered
+  FROM t JOIN p USING (pair_id)),
+o AS (
+  SELECT *, CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, segment, place, side ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_char
+  FROM k)
+SELECT pair_id, segment, CAST(0 AS BIGINT) AS part,
+       coalesce(string_agg(rendered, '' ORDER BY turn, role, text) FILTER (place = 'prompt' AND side = 'chosen'), '') AS prompt,
+       coalesce(string_agg(rendered, '' ORDER BY turn, role, text) FILTER (place = 'chosen'), '') AS chosen,
+       coalesce(string_agg(rendered, '' ORDER BY turn, role, text) FILTER (place = 'rejected'), '') AS rejected,
+       coalesce(string_agg({_SPAN.format("at_char")}, ',' ORDER BY turn, role, text) FILTER (place = 'chosen' AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg({_SPAN.format("at_char")}, ',' ORDER BY turn, role, text) FILTER (place = 'rejected' AND role = 'assistant'), '') AS rejected_mask,
+       any_value(paired) AS paired
+FROM o GROUP BY pair_id, segment
 """
 
 ORACLE_SQL: dict[str, str] = {
