@@ -17,7 +17,8 @@ resolved exactly, by id.  Each block returns ``k`` rows a query; the best ``k``
 of all blocks win.
 
 Queries are packed too, and a pack meets each block once by an equi-join on the
-block number, so neither side is broadcast or gathered.
+block number, so neither side is broadcast or gathered.  Where blocks are fewer
+than tasks should be, packs are dealt to lanes and a block goes to each lane.
 
 Defined cases: vectors that are null or hold a null or non-finite component take
 no part; vectors are compared with those of their own length; rows with a null
@@ -42,8 +43,10 @@ from trailspark.llm.common import short_batches, written
 
 SCALE = 256
 K = 5
-BLOCK_ROWS = 1 << 12
-QUERY_ROWS = 256
+BLOCK_ROWS = 1 << 14
+QUERY_ROWS = 64
+#: Pairs of blocks and lanes for each core, where blocks alone are fewer.
+LANES = 2
 WORD = 1 << 63
 
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -94,18 +97,17 @@ def score_slices(index: np.ndarray, query: np.ndarray) -> np.ndarray:
     top = width + max(map(abs, query.tolist()), default=0).bit_length() + max(1, dims).bit_length() + 1
     columns: list[list[np.ndarray]] = [[] for _ in range(top)]
     constant = 0
-    for b in range(width):
-        sign = b == width - 1  # the top slice of two's complement weighs minus
-        by_weight: dict[tuple[int, int], list[int]] = {}
-        for d, q in enumerate(query.tolist()):
-            for at, digit in _digits(q):
-                by_weight.setdefault((at + b, -digit if sign else digit), []).append(d)
-        for (weight, digit), ds in by_weight.items():
+    by_digit: dict[tuple[int, int], list[int]] = {}
+    for d, q in enumerate(query.tolist()):
+        for place in _digits(q):
+            by_digit.setdefault(place, []).append(d)
+    for (at, digit), ds in by_digit.items():
+        for b in range(width):
             rows = index[ds, b]
-            if digit < 0:  # -x = (1 - x) - 1 for a bit
+            if (digit < 0) != (b == width - 1):  # the top slice of two's complement weighs minus; -x = (1 - x) - 1 for a bit
                 rows = rows ^ _ONES
-                constant -= len(ds) << weight
-            columns[weight].append(rows)
+                constant -= len(ds) << (at + b)
+            columns[at + b].append(rows)
     for w in range(top):
         if constant >> w & 1:
             columns[w].append(np.full((1, words), _ONES))
@@ -234,9 +236,13 @@ def search(index: DataFrame, sizes: DataFrame, queries: DataFrame, *, vec_id: st
                     out.append(pd.DataFrame({"dims": r.dims, "pack": r.pack, "place": at, "copies": copies[at], "query_id": q, "vec_id": ids[found], "score": score, "own": own, "over": over}))
                 yield pd.concat(out)
 
-    # fixed numbers of tasks: adaptive execution goes by bytes, but the work is in the pairs
-    tasks = max(1, sizes.agg(F.sum("blocks")).first()[0] or 0)
-    pairs = spread.repartition(tasks, "dims", "block").join(index.repartition(tasks, "dims", "block"), ["dims", "block"])
+    blocks = max(1, sizes.agg(F.sum("blocks")).first()[0] or 0)
+    lanes = max(1, -(-LANES * spark.sparkContext.defaultParallelism // blocks))
+    spread = spread.withColumn("lane", F.pmod("pack", F.lit(lanes)).cast("int"))
+    held = index.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    # fixed numbers of tasks, with room so that few pairs share one: adaptive execution goes by bytes, but the work is in the pairs
+    key, tasks = ("dims", "block", "lane"), 3 * blocks * lanes
+    pairs = spread.repartition(tasks, *key).join(held.repartition(tasks, *key), [*key])
     schema = "dims int, pack long, place int, copies long, query_id long, vec_id long, score long, own boolean, over boolean"
     found = pairs.select("dims", "n", "width", "ids", "slices", *names).mapInPandas(meet, schema)
     best = Window.partitionBy("dims", "pack", "place").orderBy(F.desc("score"), "vec_id", F.desc("own"))
