@@ -27,19 +27,17 @@ def lookup(key: Column, table: dict) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
 
 
-# The marks of ``outcome_of_stderr`` and the error texts below.
+# What a failed run's error output says, by outcome, the first that applies.  The error texts below are fixed too.
+STDERR_MARKS = (("SYNTAX_ERROR", ("SyntaxError", "IndentationError")), ("ASSERTION_FAILURE", ("AssertionError",)), ("RUNTIME_ERROR", ("Traceback (most recent call last)",)))
 
 
 def outcome_of_stderr(stderr: Column, timed_out: Column) -> Column:
-    """The failure class of a run, by priority."""
-    has = lambda x: F.coalesce(F.contains(stderr, F.lit(x)), F.lit(False))
-    return (
-        F.when(F.coalesce(timed_out, F.lit(False)), "TIMEOUT")
-        .when(has("SyntaxError") | has("IndentationError"), "SYNTAX_ERROR")
-        .when(has("AssertionError"), "ASSERTION_FAILURE")
-        .when(has("Traceback (most recent call last)"), "RUNTIME_ERROR")
-        .otherwise("OTHER")
-    )
+    """The failure class of a run."""
+    out = F.when(F.coalesce(timed_out, F.lit(False)), "TIMEOUT")
+    for outcome, marks in STDERR_MARKS:
+        for mark in marks:
+            out = out.when(F.coalesce(F.contains(stderr, F.lit(mark)), F.lit(False)), outcome)
+    return out.otherwise("OTHER")
 
 
 def outcome_of_result(outcome: Column, success: Column) -> Column:

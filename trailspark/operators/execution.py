@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailspark.functions.protocol import FAILURE_TEXT
+from trailspark.functions.protocol import FAILURE_TEXT, STDERR_MARKS
 
 RUN = "success boolean, outcome string, exit_code int, timed_out boolean, detail string"
 
@@ -37,10 +37,7 @@ _SKIPPED = ("def ", "import ", "from ")
 
 
 def classify(stderr: str) -> str:
-    for marks, outcome in ((("SyntaxError", "IndentationError"), "SYNTAX_ERROR"), (("AssertionError",), "ASSERTION_FAILURE"), (("Traceback (most recent call last)",), "RUNTIME_ERROR")):
-        if any(m in stderr for m in marks):
-            return outcome
-    return "OTHER"
+    return next((outcome for outcome, marks in STDERR_MARKS if any(m in stderr for m in marks)), "OTHER")
 
 
 #: Runs in a fresh interpreter: executes the files named, in one namespace, and sends the receipt that came on standard
@@ -179,6 +176,14 @@ def mutate(code: str) -> Iterator[tuple[int, str, str, str]]:
                 yield row, source.lines[row], line, whole
 
 
+def apply_edit(code: str, row: int, before: str, after: str) -> str:
+    """``code`` with a line replaced; an error if the line is not what it was."""
+    lines = code.splitlines(keepends=True)
+    if not 0 <= row < len(lines) or lines[row] != before:
+        raise ValueError(f"line {row} is no longer {before!r}")
+    return "".join([*lines[:row], after, *lines[row + 1 :]])
+
+
 def mutations(tasks: DataFrame, *, key: str = "case_id", code: str = "code") -> DataFrame:
     """(key, position, line, original, changed, mutated, unique): a row per mutation; unique if the changed line occurs once."""
 

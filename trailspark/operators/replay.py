@@ -16,12 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.functions.protocol import DECISION, PREDICTION
-from trailspark.operators.execution import run_tests
+from trailspark.functions.text import strip
+from trailspark.operators.workspace import RESULT, Result, Workspace
 from trailspark.schema import DECISIONS, OUTCOMES
 
 REPLAYED = (
     "trace string, calls array<string>, tools array<string>, outcomes array<string>, visible array<string>, predicted array<string>, actual array<string>, "
-    "decisions array<string>, shadow array<boolean>, context_turns array<int>, errors array<string>, final_success boolean, final_sha256 string"
+    "decisions array<string>, shadow array<boolean>, context_turns array<int>, errors array<string>, final_success boolean, final_sha256 string, "
+    f"results array<{RESULT}>, targets array<struct<candidate_call_id:string,context_messages:array<struct<role:string,content:string>>,sampled_prediction:string,actual:string,decision:string,shadow:boolean,candidate_sha256:string>>, "
+    f"params array<map<string,string>>, final_verification {RESULT}"
 )
 _CALL = re.compile(r"CALL\s+(\S+)\s+(.*)", re.S)
 
@@ -70,38 +73,34 @@ def shape_error(text: str, calls: list, deciding: bool) -> str | None:
 @dataclass
 class Replay:
     arm: str
-    tests: str
-    code: str
+    space: Workspace
     budget: int = 8
-    timeout: float = 5
     pending: str | None = None
+    said: list = field(default_factory=list)
     calls: list = field(default_factory=list)
+    results: list = field(default_factory=list)
     targets: list = field(default_factory=list)
+    turns: list = field(default_factory=list)
     errors: list = field(default_factory=list)
 
-    def run(self) -> dict:
-        return run_tests(self.code, self.tests, self.timeout)
-
-    def tool(self, name: str, params: dict) -> tuple[bool, str | None]:
-        """(success, outcome) of a call on the workspace; outcomes come only from tests."""
-        if name == "python_test":
-            result = self.run()
-            return result["success"], result["outcome"]
-        if name == "read_file":
-            return True, None
-        find = params.get("find", "")
-        if name == "apply_patch" and find and self.code.count(find) == 1:
-            self.code = self.code.replace(find, params.get("replace", ""))
-            return True, None
-        return False, None
-
-    def target(self, turn: int, prediction, decision, outcome: str | None, shadow: bool) -> None:
-        # a kept test whose call failed has no class; it counts as OTHER
-        self.targets.append((prediction, outcome or "OTHER", decision, shadow, turn))
+    @property
+    def code(self) -> str:
+        return self.space.files.get("solution.py", "")
+
+    def sha256(self) -> str:
+        return hashlib.sha256(self.code.encode("utf-8", "surrogatepass")).hexdigest()
 
-    def execute(self, call) -> tuple[bool, str | None]:
-        found = self.tool(call[0], call[2])
-        self.calls.append((call[1], call[0], *found))
+    def target(self, turn: int, prediction, decision, result: Result, shadow: bool) -> None:
+        # a kept test whose call failed has no class; it counts as OTHER
+        self.turns.append(turn)
+        self.targets.append({
+            "candidate_call_id": self.pending, "context_messages": list(self.said), "sampled_prediction": prediction, "actual": result.outcome or "OTHER", "decision": decision, "shadow": shadow, "candidate_sha256": self.sha256(),
+        })
+
+    def execute(self, call) -> Result:
+        found = self.space.call(call[0], call[2])
+        self.calls.append((call[1], call[0], call[2]))
+        self.results.append(found)
         return found
 
     def turn(self, number: int, text: str) -> bool:
@@ -127,14 +126,14 @@ class Replay:
             elif len(self.calls) >= self.budget:
                 problem = "tool budget exhausted"
             if problem or decision == "REVISE":
-                self.target(number, prediction, decision, self.run()["outcome"], True)  # before the patch; costs no budget
+                self.target(number, prediction, decision, self.space.test(), True)  # before the patch; costs no budget
             if problem:
                 self.errors.append(problem)
                 return False
-            ok, outcome = self.execute(calls[0])
+            result = self.execute(calls[0])
             if decision == "KEEP":
-                self.target(number, prediction, decision, outcome, False)
-            self.pending = calls[0][1] if decision == "REVISE" and ok else None
+                self.target(number, prediction, decision, result, False)
+            self.pending = calls[0][1] if decision == "REVISE" and result.success else None
             return True
         if not calls:
             return False
@@ -144,31 +143,67 @@ class Replay:
         if self.arm == "b" and calls[0][0] == "python_test":
             self.errors.append("python_test without a candidate")
             return False
-        ok, _ = self.execute(calls[0])
-        if self.arm == "b" and calls[0][0] == "apply_patch" and ok:
+        result = self.execute(calls[0])
+        if self.arm == "b" and calls[0][0] == "apply_patch" and result.success:
             self.pending = calls[0][1]
         return True
 
 
 def replay(turns: DataFrame, *, budget: int = 8, timeout: float = 5) -> DataFrame:
-    """One row per trace; ``turns``: trace, turn, role, content, arm, test_code, workspace (the last three the same in a trace)."""
+    """One row per trace; ``turns``: trace, turn, role, content, arm, test_code, workspace (the last three the same in a trace).
+
+    ``workspace`` is the text of ``solution.py``, or a map of paths to texts; it is at
+    ``trace_prefix`` if there is such a column.
+    """
+    names = [x.split()[0] for x in re.split(r", (?=\w+ )", REPLAYED)]
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("turn", kind="stable")
         first = rows.iloc[0]
-        r = Replay(first["arm"], first["test_code"], first["workspace"], budget, timeout)
+        held = first["workspace"]
+        prefix = {"prefix": first["trace_prefix"]} if "trace_prefix" in rows and first["trace_prefix"] else {}
+        r = Replay(first["arm"], Workspace(first["test_code"] or "", {"solution.py": held} if isinstance(held, str) else dict(held or {}), timeout=timeout, **prefix), budget)
         for number, (role, content) in enumerate(zip(rows["role"], rows["content"], strict=True)):
             if role == "assistant" and not r.turn(number, content or ""):
                 break
-        final = r.run()
-        c, t = list(zip(*r.calls, strict=True)) or [()] * 4, list(zip(*r.targets, strict=True)) or [()] * 5
-        visible = [o for _, tool, _, o in r.calls if tool == "python_test"]
-        values = [first["trace"], c[0], c[1], c[3], visible, t[0], t[1], t[2], t[3], t[4], r.errors, final["success"], hashlib.sha256(r.code.encode()).hexdigest()]
-        return pd.DataFrame([[list(v) if isinstance(v, tuple) else v for v in values]], columns=[x.split()[0] for x in REPLAYED.split(", ")])
+            r.said.append({"role": role, "content": content})
+        final = r.space.test()
+        row = {
+            "trace": first["trace"], "calls": [c[0] for c in r.calls], "tools": [c[1] for c in r.calls], "params": [c[2] for c in r.calls], "outcomes": [x.outcome for x in r.results],
+            "visible": [x.outcome for c, x in zip(r.calls, r.results, strict=True) if c[1] == "python_test"], "predicted": [t["sampled_prediction"] for t in r.targets],
+            **{name: [t[key] for t in r.targets] for name, key in (("actual", "actual"), ("decisions", "decision"), ("shadow", "shadow"))}, "context_turns": r.turns, "errors": r.errors,
+            "final_success": final.success, "final_sha256": r.sha256(), "results": [{"id": c[0], **vars(x)} for c, x in zip(r.calls, r.results, strict=True)], "targets": r.targets, "final_verification": {"id": None, **vars(final)},
+        }
+        return pd.DataFrame([[row[n] for n in names]], columns=names)
 
     return turns.groupBy("trace").applyInPandas(fold, REPLAYED)
 
 
+def records(replayed: DataFrame, arms: DataFrame) -> DataFrame:
+    """(trace, record): the runtime record of each replayed trace as one JSON object; ``arms``: trace, arm."""
+    bare = lambda r: F.struct(*(r[n].alias(n) for n in ("success", "stdout", "stderr", "exit_code", "timed_out", "outcome")))
+    call = F.transform(F.arrays_zip("tools", "calls", "params"), lambda c: F.struct(c["tools"].alias("tool"), c["calls"].alias("id"), c["params"].alias("params")))
+    results = F.map_from_entries(F.transform("results", lambda r: F.struct(r["id"], bare(r))))
+    record = F.struct("arm", call.alias("calls"), bare(F.col("final_verification")).alias("final_verification"), results.alias("results"), F.col("targets").alias("prediction_targets"), F.col("errors").alias("protocol_errors"))
+    return replayed.join(arms, "trace").select("trace", F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))
+
+
+def label_counts(replayed: DataFrame, by_trace: bool = False) -> DataFrame:
+    """(outcome, n), or (trace, outcome, n), of the verified labels of replayed traces."""
+    rows = replayed.select("trace", F.explode("actual").alias("outcome"))
+    return rows.groupBy(*(["trace"] if by_trace else []), "outcome").agg(F.count("*").alias("n"))
+
+
+def told_otherwise(turns: DataFrame, replayed: DataFrame) -> DataFrame:
+    """(trace, call, told): tool turns of a trace whose text is not that of the call's result when it is run again; the nth tool turn is the nth call."""
+    tools = turns.where("role = 'tool'").groupBy("trace").agg(F.array_sort(F.collect_list(F.struct("turn", "content"))).alias("told"))  # a trace's tool turns, a few
+    some = lambda r, n: F.when(F.coalesce(r[n], F.lit("")) != "", F.concat(F.lit(f"{n}:\n"), strip(r[n])))
+    lines = lambda r: F.array_compact(F.array(F.concat(F.lit("status: "), F.when(r["success"], "success").otherwise("failed")), F.when(r["timed_out"], F.lit("timed_out: true")), some(r, "stdout"), some(r, "stderr")))
+    block = lambda r: F.concat(F.lit("RESULT "), r["id"], F.lit(":\n"), F.array_join(lines(r), "\n"))
+    both = replayed.join(tools, "trace").select("trace", F.explode(F.arrays_zip("results", "told")).alias("x")).where("x.results IS NOT NULL AND x.told IS NOT NULL")
+    return both.where(F.col("x.told.content") != block(F.col("x.results"))).select("trace", F.col("x.results.id").alias("call"), F.col("x.told.content").alias("told"))
+
+
 def expected_shape(mode: Column, arm: Column, first: Column, second: Column) -> Column:
     """struct<predicted, verified, decisions, visible> that a training trace of a mode must show."""
     one, ok = F.array(first), F.array(F.lit("PASS"))

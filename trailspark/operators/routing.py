@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.functions.protocol import PREDICTION
 
 
 def group_advantage(rows: DataFrame, group: list[str], reward: str) -> DataFrame:
-    """Reward less the group's mean; groups without spread are dropped.  One shuffle of the rows by group."""
-    w = Window.partitionBy(*group)
-    out = rows.withColumn("advantage", F.col(reward) - F.avg(reward).over(w)).withColumn("__spread", F.max(reward).over(w) != F.min(reward).over(w))
-    return out.where("__spread").drop("__spread")
+    """Reward less the group's mean; groups without spread are dropped.
+
+    Groups are summed before they are shuffled and joined back, so a group of any
+    size is in no one task: adaptive execution splits it.
+    """
+    keys = [f"__{g}" for g in group]
+    found = rows.groupBy(*(F.col(g).alias(k) for g, k in zip(group, keys, strict=True))).agg(F.avg(reward).alias("__mean"), (F.max(reward) != F.min(reward)).alias("__spread"))
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, keys, strict=True)])
+    return rows.join(found.where("__spread"), same).withColumn("advantage", F.col(reward) - F.col("__mean")).drop(*keys, "__mean", "__spread")
 
 
 def code_points(text: Column) -> Column:

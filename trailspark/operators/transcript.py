@@ -105,10 +105,14 @@ def task_rows(tasks: DataFrame, arms=("a", "b"), system_a: str = SYSTEMS["a"], s
 
 
 def normalise_tasks(rows: DataFrame, prefix: str = "mbpp_") -> DataFrame:
-    """Source rows to tasks: line ends, tests joined, required content checked."""
-    tests = F.filter(F.transform(F.concat(F.array(F.coalesce("test_setup_code", F.lit(""))), F.coalesce("test_list", F.array().cast("array<string>"))), T.newlines), lambda x: x != "")
-    joined = F.concat(F.array_join(tests, "\n"), F.lit("\n"))
-    out = rows.select("task_id", T.newlines("text").alias("prompt"), T.newlines("code").alias("code"), F.when(F.size(tests) > 0, joined).otherwise("").alias("test_code"))
-    missing = (F.col("prompt") == "") | (F.col("code") == "") | (F.col("test_code") == "")
-    checked = F.when(missing, F.raise_error(F.concat(F.lit("task without content: "), F.col("task_id").cast("string"))).cast("long")).otherwise(F.col("task_id"))
-    return out.select(checked.alias("task_id"), F.concat(F.lit(prefix), F.col("task_id").cast("string")).alias("case_id"), "prompt", F.concat("code", F.lit("\n")).alias("code"), "test_code")
+    """Source rows to tasks: line ends, setup and tests joined; a task without prompt, code or tests fails."""
+    tests = F.filter(F.transform(F.coalesce("test_list", F.array().cast("array<string>")), T.newlines), lambda x: x != "")
+    out = rows.select(
+        "task_id", F.concat(F.lit(prefix), F.col("task_id").cast("string")).alias("case_id"), T.newlines("text").alias("prompt"), T.newlines("code").alias("code"), T.newlines("test_setup_code").alias("setup"), tests.alias("tests")
+    )
+    whole = (F.col("prompt") != "") & (F.col("code") != "") & (F.size("tests") > 0)
+    failed = F.raise_error(F.concat("case_id", F.lit(": task without content"))).cast("string")
+    joined = F.array_join(F.filter(F.array_prepend("tests", F.col("setup")), lambda x: x != ""), "\n")
+    return out.select(
+        "task_id", F.when(whole, F.col("case_id")).otherwise(failed).alias("case_id"), "prompt", F.concat("code", F.lit("\n")).alias("code"), F.concat(joined, F.lit("\n")).alias("test_code")
+    )
