@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.functions.text import newlines, rstrip, strip
+from trailspark.functions.text import rstrip
 from trailspark.operators import execution, quality, replay, sft, split, transcript
 from trailspark.sources.lines import file_digests, publish_text, read_lines, write_jsonl, write_manifest
 
@@ -23,16 +23,6 @@ LABELS = ("sft", "rl", "validation", "test")
 TASK_FIELDS = ["blueprint_root", "case_id", "source", "split", "task_id", "test_code", "trace_prefix"]
 
 
-def normalise(raw: DataFrame) -> DataFrame:
-    """task_id, case_id, prompt, code, test_code from raw tasks; a task without one of them fails."""
-    pieces = F.array_prepend(F.transform("test_list", newlines), newlines("test_setup_code"))
-    tests = F.array_join(F.filter(F.coalesce(pieces, F.array(newlines("test_setup_code"))), lambda x: x != ""), "\n")
-    rows = raw.select("task_id", F.concat(F.lit("task_"), F.col("task_id").cast("string")).alias("case_id"), newlines("text").alias("prompt"), newlines("code").alias("code"), tests.alias("tests"))
-    whole = (F.col("prompt") != "") & (strip("code") != "") & (F.col("tests") != "")
-    failed = F.raise_error(F.concat(F.col("case_id"), F.lit(": prompt, code and tests are needed"))).cast("string")
-    return rows.select("task_id", F.when(whole, F.col("case_id")).otherwise(failed).alias("case_id"), "prompt", F.concat("code", F.lit("\n")).alias("code"), F.concat("tests", F.lit("\n")).alias("test_code"))
-
-
 def recoveries(tasks: DataFrame, n_deep: int, n_shallow: int, *, seed: int, timeout: float) -> DataFrame:
     """case_id, mode, initial_code and the failing candidates of the tasks that fill the quotas, in seeded order."""
     deep, shallow = (f(tasks, timeout=timeout).checkpoint() for f in (execution.two_step_recovery, execution.one_step_recovery))
@@ -92,7 +82,7 @@ def prepare(
     """
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", f"{output}/.checkpoint"))
-    read = lambda path: normalise(spark.read.parquet(path)).checkpoint()
+    read = lambda path: transcript.normalise_tasks(spark.read.parquet(path), "task_").checkpoint()
     given = {"train": read(source), **({"validation": read(validation)} if validation else {}), **({"test": read(test)} if test else {})}
     for name, (low, high) in (ids or {}).items():
         require_ids(given[name], low, high, name)
@@ -123,7 +113,7 @@ def prepare(
             for label in LABELS[1:]:
                 if label in sizes:
                     write_jsonl(own.where(F.col("split") == label), f"{folder}/arm_{arm}_{label}", ["case_id"])
-            traced = placed.select("case_id", "code").join(own.where("split = 'sft'"), "case_id").join(chosen, "case_id", "left").withColumn("trace_prefix", F.col("blueprint_root"))
+            traced = placed.select("case_id", "code").join(own.where("split = 'sft'"), "case_id").join(chosen, "case_id", "left")
             write_jsonl(sft.traces(traced, arm), f"{folder}/arm_{arm}_sft", ["case_id"])
         for r in placed.select("case_id").toLocalIterator():
             project = folder / "blueprints" / r.case_id
@@ -189,7 +179,8 @@ def placeholders(spark: SparkSession, output: str, ids: DataFrame) -> DataFrame:
 def replayed(rows: DataFrame, timeout: float) -> DataFrame:
     """(name, key, detail) of supervised traces of both arms that break the protocol or differ from their mode when their calls are run again."""
     rows = rows.withColumn("trace", F.concat_ws("/", "arm", "case_id"))
-    turns = rows.select("trace", "arm", "test_code", F.lit(sft.PLACEHOLDER).alias("workspace"), F.posexplode("messages").alias("turn", "m")).select("*", "m.role", "m.content").drop("m")
+    prefix = F.concat(F.lit("data/blueprints/"), "case_id").alias("trace_prefix")
+    turns = rows.select("trace", "arm", "test_code", F.lit(sft.PLACEHOLDER).alias("workspace"), prefix, F.posexplode("messages").alias("turn", "m")).select("*", "m.role", "m.content").drop("m")
     plan = rows.select("trace", "arm", F.col("recovery_mode").alias("mode"), F.col("candidate_outcome").alias("first_outcome"), F.col("second_candidate_outcome").alias("second_outcome"))
     broken = replay.shape_violations(replay.replay(turns, timeout=timeout), plan)
     return broken.select(F.lit("replay").alias("name"), F.col("trace").alias("key"), F.col("problem").alias("detail"))

@@ -522,15 +522,19 @@ def sft_message_templates(spark, sf_dir):
     return rows.select("arm", F.col("recovery_mode").alias("mode"), F.size("messages").alias("n_messages"), tagged.alias("n_predictions"))
 
 
-@query()
+@query("""SELECT arm || '/' || coalesce(mode, 'direct') AS trace, CAST(3 + CASE WHEN arm = 'b' AND mode LIKE '%shadow' THEN d ELSE 2 * d END AS INTEGER) AS n_calls,
+  CASE WHEN arm = 'b' THEN repeat('ASSERTION_FAILURE,', d) || 'PASS' ELSE '' END AS actual, true AS final_success, CAST(0 AS BIGINT) AS violations, CAST(0 AS BIGINT) AS told_otherwise
+  FROM (VALUES ('a'), ('b')) AS x(arm), (VALUES (NULL, 0), ('shadow', 1), ('visible', 1), ('deep_shadow', 2), ('deep_visible', 2)) AS m(mode, d)""")
 def trace_replay(spark, sf_dir):
     """Every template replayed by the protocol; no row may break its mode's shape."""
     rows = sft.traces(fixtures.sft_tasks(spark), "a").unionByName(sft.traces(fixtures.sft_tasks(spark), "b")).withColumn("trace", F.concat_ws("/", "arm", "case_id"))
     turns = rows.select("trace", "arm", "test_code", F.lit(sft.PLACEHOLDER).alias("workspace"), F.posexplode("messages").alias("turn", "m")).select("*", "m.role", "m.content").drop("m")
-    done = replay.replay(turns, timeout=5)
+    done = replay.replay(turns.withColumn("trace_prefix", F.lit("data/blueprints/total")), timeout=5)
     plan = rows.select("trace", "arm", F.col("recovery_mode").alias("mode"), F.col("candidate_outcome").alias("first_outcome"), F.col("second_candidate_outcome").alias("second_outcome"))
     broken = replay.shape_violations(done, plan).groupBy("trace").agg(F.count("*").alias("violations"))
-    return done.join(broken, "trace", "left").select("trace", F.size("calls").alias("n_calls"), F.array_join("actual", ",").alias("actual"), "final_success", F.coalesce("violations", F.lit(0)).alias("violations"))
+    lied = replay.told_otherwise(turns, done).groupBy("trace").agg(F.count("*").alias("told"))
+    counts = done.join(broken, "trace", "left").join(lied, "trace", "left")
+    return counts.select("trace", F.size("calls").alias("n_calls"), F.array_join("actual", ",").alias("actual"), "final_success", F.coalesce("violations", F.lit(0)).alias("violations"), F.coalesce("told", F.lit(0)).alias("told_otherwise"))
 
 
 @query("""SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS DOUBLE) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n
