@@ -261,8 +261,16 @@ def test_normalised_tasks(spark):
     df = spark.createDataFrame([(1, " p\r\nq ", "c\r", ["a\r\n", " ", "b"], "s"), (2, "p", "c", ["t"], None)], schema)
     got = transcript.normalise_tasks(df).orderBy("task_id").collect()
     assert (got[0].prompt, got[0].test_code, got[0].case_id) == ("p\nq", "s\na\nb\n", "mbpp_1") and got[1].test_code == "t\n"
-    with pytest.raises(Exception, match="without content"):
-        transcript.normalise_tasks(spark.createDataFrame([(3, "", "c", ["t"], "")], schema)).collect()
+    for bad in [(3, "", "c", ["t"], ""), (3, "p", " ", ["t"], ""), (3, "p", "c", [" "], "setup only"), (3, "p", "c", None, None)]:
+        with pytest.raises(Exception, match="mbpp_3: task without content"):
+            transcript.normalise_tasks(spark.createDataFrame([bad], schema)).collect()
+
+
+def test_advantages_of_groups(spark):
+    data = [(1, "a", None, 1.0), (2, "a", None, 3.0), (3, "b", 1, 2.0), (4, "b", 1, 2.0), (5, None, 1, 0.0), (6, None, 1, 4.0), (7, "b", 2, None)]
+    got = routing.group_advantage(spark.createDataFrame(data, "id long, g string, h int, r double"), ["g", "h"], "r")
+    assert got.columns == ["id", "g", "h", "r", "advantage"]
+    assert sorted((r.id, r.advantage) for r in got.collect()) == [(1, -1.0), (2, 1.0), (5, -2.0), (6, 2.0)]
 
 
 def test_streaming_equals_batch(spark, tmp_path):
