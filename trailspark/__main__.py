@@ -1,6 +1,6 @@
 """Command line: passk TRACES -k N, report TRACES, compare BEFORE AFTER -k N, stats A B,
 prepare TASKS OUTPUT with sizes, seed and tables, validate OUTPUT [--tokenizer FILE --max-tokens N]: a line per
-violation, then their number."""
+violation, then their number; replay TURNS OUTPUT: the runtime record of each stored trace, as a file."""
 
 from __future__ import annotations
 
@@ -11,14 +11,17 @@ import sys
 
 from pyspark.sql import functions as F
 
-from trailspark.operators import metrics, stats
+from trailspark.operators import metrics, replay, stats
 from trailspark.plans import dataset
+from trailspark.plans.taskset import HarnessOptions, same_arm, write_records
 from trailspark.session import build
 from trailspark.sources.lines import load_outcomes, load_traces
 
 
 #: Options of prepare: tasks of each part, supervised tasks that recover from two or one failures, and the seed.
 SIZES = {"n-sft": 212, "n-rl": 212, "n-deep": 20, "n-shallow": 50, "n-moved": 0, "seed": 42}
+#: Columns of the turns that are replayed.
+TURN = "trace string, turn int, role string, content string, arm string, test_code string, workspace string, trace_prefix string"
 #: Tables whose ids can be required.
 PARTS = ("train", "validation", "test")
 
@@ -26,7 +29,7 @@ PARTS = ("train", "validation", "test")
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="trailspark")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, files in (("passk", ["traces"]), ("report", ["traces"]), ("compare", ["before", "after"]), ("stats", ["a", "b"]), ("prepare", ["tasks", "output"]), ("validate", ["output"])):
+    for name, files in (("passk", ["traces"]), ("report", ["traces"]), ("compare", ["before", "after"]), ("stats", ["a", "b"]), ("prepare", ["tasks", "output"]), ("validate", ["output"]), ("replay", ["turns", "output"])):
         sub = commands.add_parser(name)
         for f in files:
             sub.add_argument(f)
@@ -39,6 +42,10 @@ def main(argv: list[str] | None = None) -> None:
             sub.add_argument("--test", help="table of test tasks; without it, the tasks left over")
             for part in PARTS:
                 sub.add_argument(f"--{part}-ids", type=int, nargs=2, metavar=("FIRST", "LAST"), help="ids that the table must have")
+        if name == "replay":
+            sub.add_argument("--arm", choices=("a", "b"), help="the arm that all traces must be of")
+            sub.add_argument("--max-tool-calls", type=int, default=HarnessOptions.max_tool_calls)
+            sub.add_argument("--tool-timeout", type=float, default=HarnessOptions.tool_timeout)
         if name in ("prepare", "validate"):
             sub.add_argument("--timeout", type=float, default=5)
         if name == "validate":
@@ -60,6 +67,13 @@ def main(argv: list[str] | None = None) -> None:
             total += 1
         print(json.dumps({"violations": total}))
         sys.exit(1 if total else 0)
+    if args.command == "replay":
+        turns = spark.read.schema(TURN).json(args.turns)
+        if args.arm:
+            turns = same_arm(turns, HarnessOptions(arm=args.arm))
+        done = replay.replay(turns, budget=args.max_tool_calls, timeout=args.tool_timeout)
+        print(json.dumps({"records": write_records(replay.records(done, turns.select("trace", "arm").distinct()), args.output)}))
+        return
     attempts = lambda p: load_traces(spark, p).select("task", F.col("solved").alias("passed"))
     if args.command == "passk":
         out = metrics.summarise(attempts(args.traces), args.k)

@@ -234,5 +234,9 @@ def violations(spark: SparkSession, output: str, *, timeout: float = 5, tokenize
             checks.append(replayed(both, timeout))
             if tokenizer_file:
                 checks.append(lengths(both, tokenizer_file, max_tokens))
+        if f"{x}_task_ids" in told.m:
+            given = spark.createDataFrame([(int(i),) for i in json.loads(told.m[f"{x}_task_ids"])], "task_id long")
+            checks.append(quality.same_ids(arms[0].select(F.col("task_id").cast("long").alias("task_id")), given, f"listed ids {x}", "task_id"))
+            checks.append(quality.counts(given.withColumn("part", F.lit(x)), "listed", ["part"], {(x,): sizes.get(x, 0)}))
     checks.append(placeholders(spark, output, quality.all_of(ids)))
     return quality.all_of(checks)

@@ -8,21 +8,24 @@ import os
 import urllib.request
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of a text file, the lines numbered from 1.
+    """(line, value) of the lines that are not blank, numbered from 1 in each file.
 
-    One task reads the file, as a line's number depends on all before it: for
-    trace files of one evaluation.  Larger inputs carry a key and use Spark's
-    JSON reader.
+    A file is read in splits: the lines of each are counted first, and a line's
+    number is its place in its split after the lines of the splits before.
     """
-    rows = spark.read.text(path, wholetext=True)
-    parts = rows.select(F.posexplode(F.split("value", "\r\n|\n")).alias("at", "value"))
-    return parts.where(F.trim("value") != "").select((F.col("at") + 1).cast("long").alias("line"), "value")
+    rows = spark.read.option("lineSep", "\n").text(path)
+    rows = rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    splits = rows.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))  # a row a split
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    placed = splits.select("file", "start", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    numbered = rows.join(F.broadcast(placed), ["file", "start"]).select((F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
+    return numbered.where(F.trim("value") != "")
 
 
 def read_jsonl(spark: SparkSession, path: str, *, require_rows: bool = False) -> DataFrame:
@@ -52,8 +55,6 @@ def read_tasks(spark: SparkSession, path: str, limit: int | None = None) -> Data
 
 
 def _in_order():
-    from pyspark.sql import Window
-
     return Window.orderBy("line")  # over one numbered file
 
 
