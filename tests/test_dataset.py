@@ -40,6 +40,12 @@ def test_prepare_and_validate(spark, tmp_path):
     (output / "assignments.json").write_text(json.dumps([r | {"trace_type": "direct"} for r in listed]))
     found = [(r.name, r.key) for r in dataset.violations(spark, str(output), timeout=10).collect()]
     assert ("placeholder", row["case_id"]) in found and sum(n == "assignments" for n, _ in found) == 1
+    listing = json.loads((output / "manifest.json").read_text())
+    listing["split"]["rl_task_ids"] = [77]
+    listing["split"]["sft_task_ids"].append(78)
+    (output / "manifest.json").write_text(json.dumps(listing))
+    found = {(r.name, r.key, r.detail) for r in dataset.violations(spark, str(output), timeout=10).collect()}
+    assert {("listed ids rl", "77", "missing"), ("listed ids sft", "78", "missing"), ("listed", "sft", "3 of 2")} <= found and not any(n == "listed" and k == "rl" for n, k, _ in found)
     blank.unlink()
     assert ("placeholder", row["case_id"]) in [(r.name, r.key) for r in dataset.violations(spark, str(output), timeout=10).collect()]
     changed = next((output / "arm_b_sft").glob("part-*"))
@@ -92,6 +98,18 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
         command.main(["validate", output, "--timeout", "10"])
     said = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
     assert end.value.code == 1 and said == [{"name": "placeholder", "key": "task_1", "detail": ""}, {"violations": 1}]
+    turns = tmp_path / "turns.jsonl"
+    said = ['CALL apply_patch {"id":"c1","file_path":"solution.py","find":"2","replace":"1"}', 'CALL python_test {"id":"c2"}', "FINAL: done"]
+    turns.write_text("".join(json.dumps({"trace": "t/1", "turn": i, "role": "assistant", "content": c, "arm": "a", "test_code": "assert x == 1", "workspace": "x = 2\n"}) + "\n" for i, c in enumerate(said)))
+    command.main(["replay", str(turns), f"{tmp_path}/records", "--arm", "a", "--tool-timeout", "5"])
+    assert json.loads(capsys.readouterr().out) == {"records": 1}
+    record = json.loads((tmp_path / "records" / "t_1.json").read_text())
+    assert record["final_verification"]["success"] and [c["id"] for c in record["calls"]] == ["c1", "c2"] and record["results"]["c2"]["outcome"] == "PASS"
+    command.main(["replay", str(turns), f"{tmp_path}/records", "--max-tool-calls", "1"])
+    assert json.loads((tmp_path / "records" / "t_1.json").read_text())["protocol_errors"] == ["tool budget exhausted"]
+    with pytest.raises(Exception, match="harness arm b"):
+        command.main(["replay", str(turns), f"{tmp_path}/records", "--arm", "b"])
+    capsys.readouterr()
     traces = tmp_path / "traces.jsonl"
     record = {"calls": [], "results": {}, "prediction_targets": []}
     traces.write_text("".join(json.dumps({"rewards": {"z": i % 2, "a": 1}, "metrics": {"passed": i % 2}, "info": {"r": record}, "task": {"data": {"case_id": str(i), "name": str(i)}}}) + "\n" for i in range(4)))

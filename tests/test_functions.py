@@ -196,6 +196,23 @@ def test_zipped_rows(spark):
     assert got == [("order", "1", "case_id"), ("order", "1", "n"), ("order", "2", "n"), ("order", "4", "missing left")]
 
 
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    texts = {"a": "".join(f"{'' if i % 7 == 3 else f'line {i}' * (i % 5 + 1)}{'\r' * (i % 2)}\n" for i in range(4000)) + "last", "b": "x\n\ny\n", "c": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        found = lines.read_lines(spark, f"{tmp_path}/a")
+        assert found.rdd.getNumPartitions() > 3
+        got = sorted((r.line, r.value) for r in found.collect())
+        both = sorted((r.line, r.value) for r in lines.read_lines(spark, f"{tmp_path}/[bc]").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(i, x.removesuffix("\r")) for i, x in enumerate(texts["a"].split("\n"), 1) if x.strip()]
+    assert both == [(1, "x"), (3, "y")]
+
+
 def test_recovery_order(spark):
     schema = "task string, solved boolean, calls array<struct<tool:string,id:string>>, results map<string,struct<success:boolean,outcome:string>>, targets array<struct<sampled_prediction:string,actual:string,decision:string>>, n_tokens long"
     t = [("python_test", "c1"), ("python_test", "c2")]

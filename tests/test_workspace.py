@@ -129,3 +129,11 @@ def test_template_parity(spark):
     taskset.template_parity(spark, good)
     with pytest.raises(ValueError, match="renders"):
         taskset.template_parity(spark, lambda ms: good(ms).replace("<|im_end|>\n\n", "<|im_end|>\n"))
+
+
+def test_exports():
+    import trailspark
+
+    assert trailspark.load is taskset.load and all(hasattr(trailspark, n) for n in trailspark.__all__)
+    with pytest.raises(AttributeError):
+        trailspark.nothing  # noqa: B018
