@@ -199,7 +199,7 @@ def search(index: DataFrame, sizes: DataFrame, queries: DataFrame, *, vec_id: st
     spark = index.sparkSession
     rows = queries.select(F.col(vec_id).cast("long").alias("i"), quantised(embedding, scale).alias("v")).dropna()
     # equal queries have equal results: they are asked once and given back as often
-    rows = rows.groupBy("i", "v").agg(F.count("*").alias("copies")).withColumn("dims", F.size("v"))
+    rows, _ = written(rows.groupBy("i", "v").agg(F.count("*").alias("copies")).withColumn("dims", F.size("v")), "topk-queries")
     packs = rows.groupBy("dims").agg(F.ceil(F.count("*") / query_rows).cast("long").alias("packs"))
     keyed = rows.join(F.broadcast(packs), "dims").withColumn("pack", F.pmod(F.xxhash64("i", "v"), F.col("packs")))
 
@@ -237,7 +237,8 @@ def search(index: DataFrame, sizes: DataFrame, queries: DataFrame, *, vec_id: st
                 yield pd.concat(out)
 
     blocks = max(1, sizes.agg(F.sum("blocks")).first()[0] or 0)
-    lanes = max(1, -(-LANES * spark.sparkContext.defaultParallelism // blocks))
+    most = packs.agg(F.max("packs")).first()[0] or 1
+    lanes = max(1, min(most, -(-LANES * spark.sparkContext.defaultParallelism // blocks)))
     spread = spread.withColumn("lane", F.pmod("pack", F.lit(lanes)).cast("int"))
     held = index.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     # fixed numbers of tasks, with room so that few pairs share one: adaptive execution goes by bytes, but the work is in the pairs
