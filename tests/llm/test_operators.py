@@ -318,7 +318,7 @@ def test_html_articles_and_slots(spark):
     data = [(i, f"http://h{i % 3}.com/{i}", PAGE.format(tag="article", n=i)) for i in range(12)]
     data += [(20 + i, f"http://plain.com/{i}", PAGE.format(tag="div", n=i)) for i in range(10)]  # only the template tells
     data += [(40, "http://h1.com/x", None), (41, None, ""), (42, "http://one.com", "<p>lonely <b>page"), (43, "http://h2.com/", "<<<a <b"), (44, "http://h2.com/y", "<article>" + "<p>w</p>" * 5000)]
-    df = spark.createDataFrame([*data, data[0]], "page_id long, url string, html string").withColumn("slots", F.lit("clash")).withColumn("host", F.lit("clash"))
+    df = spark.createDataFrame([*data, data[0]], "page_id long, url string, html string").withColumns({n: F.lit("clash") for n in ("slots", "runs", "host", "template_key", "Template_host", "template_of", "main_text", "tokens")})
     for size in (1 << 20, 0):
         got = rows(htmltext.extract_main(df, broadcast_bytes=size), "page_id", "main_text")
         assert len(got) == len(data) + 1
@@ -328,6 +328,17 @@ def test_html_articles_and_slots(spark):
     assert htmltext.extract_main(df.limit(0)).count() == 0
 
 
+def test_helper_tables_can_be_deleted(spark):
+    from trailspark.llm import common
+
+    df = spark.createDataFrame([(1, "http://a.com/", "<article><p>x</p></article>")], "page_id long, url string, html string")
+    assert htmltext.extract_main(df).first().main_text == "x"
+    left = [p.removeprefix("file://") for p in common._made]
+    assert any("page-templates" in p for p in left) and all(os.path.exists(p) for p in left if "page-t" in p)
+    common.clean_up(spark)
+    assert not common._made and not any(os.path.exists(p) for p in left)
+
+
 def test_html_copies_of_an_article_are_kept(spark):
     df = spark.createDataFrame([(i, "http://same.com/", PAGE.format(tag="article", n=1)) for i in range(8)], "page_id long, url string, html string")
     assert {r.main_text for r in htmltext.extract_main(df).collect()} == {TEXT.format(n=1)}
