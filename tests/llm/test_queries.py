@@ -79,7 +79,7 @@ def test_pipeline_survives_nulls(spark, tmp_path):
 
 
 #: Names that stages use inside, as extra columns of strings.
-CLASHES = ("found", "language", "gone_id", "gone_hash", "stays", "own_hash", "node", "root", "template_key", "template_host", "template_of", "i", "x", "y", "t", "f", "fp", "key", "table", "size", "bucket", "start", "overlap", "language", "keep", "component_id", "target", "taken", "item_id", "quality", "times", "block")
+CLASHES = ("found", "gone_id", "gone_hash", "stays", "own_hash", "node", "root", "template_key", "template_host", "template_of", "i", "x", "y", "t", "f", "fp", "key", "table", "size", "bucket", "start", "overlap", "language", "keep", "component_id", "target", "taken", "item_id", "quality", "times", "block")
 
 
 def odd_documents(spark):

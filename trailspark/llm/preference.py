@@ -33,6 +33,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailspark.llm.common import BROADCAST_BYTES
+
 LAST = (1 << 63) - 1
 START, END = "<|im_start|>", "<|im_end|>"
 #: Turns of one row, and copies of a turn before they are dealt to rows of their own.
@@ -76,9 +78,11 @@ def pairs(turns: DataFrame, pair: Column, side: Column, *, turn: str = "turn", r
     known = met.select("pair_id", segment.alias("segment")).distinct().join(of_pair, "pair_id")
     hot = met.where(F.col("c") + F.col("r") > segment_turns).select("pair_id", "turn", F.ceil((F.col("c") + F.col("r")) / segment_turns).alias("parts"))
     keyed = rows.where("pair_id IS NOT NULL").withColumn("segment", segment).withColumn("part", F.lit(0).cast("long"))
-    if not hot.isEmpty():  # a turn repeated so often is spread by its words and its input partition
-        spread = F.pmod(F.xxhash64("role", "text", F.spark_partition_id()), F.col("parts")) + 1
-        keyed = keyed.drop("part").join(hot, ["pair_id", "turn"], "left").withColumn("part", F.coalesce(spread, F.lit(0).cast("long"))).drop("parts")
+    if n_hot := hot.count():  # a turn repeated so often is spread by its words and its input partition
+        spread = F.pmod(F.xxhash64("role", "text", "here"), F.col("parts")) + 1
+        hot = F.broadcast(hot) if 64 * n_hot <= BROADCAST_BYTES else hot  # beyond that, adaptive execution splits its keys
+        placed = keyed.drop("part").withColumn("here", F.spark_partition_id()).join(hot, ["pair_id", "turn"], "left")
+        keyed = placed.withColumn("part", F.coalesce(spread, F.lit(0).cast("long"))).drop("parts", "here")
     joined = keyed.join(known, ["pair_id", "segment"])
     shared = F.col("cut").isNull() | (F.col("turn") < F.col("cut"))
     said = F.struct("turn", "role", "text")
