@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm import decontaminate, htmltext, langid, mixing, preference, quality, simhash, topk, urlfilter, warc
+from trailspark.llm import decontaminate, htmltext, langid, mixing, preference, quality, simhash, topk, urlfilter, vectorcode, warc
 from trailspark.llm.common import table
 
 #: The URL list: (rule, date, action).  Hosts and parent domains that sell, bet or farm links, some lifted again, and two paths.
@@ -85,8 +85,13 @@ def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pair_id", "segment", "part", "prompt", "chosen", "rejected", listed("chosen_mask").alias("chosen_mask"), listed("rejected_mask").alias("rejected_mask"), "paired")
 
 
+def op11_vector_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = vectorcode.encode(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_url_filter, op4_topk, op5_html_text, op6_simhash, op7_quality, op8_warc, op9_mixing, op10_preference)
+    f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_url_filter, op4_topk, op5_html_text, op6_simhash, op7_quality, op8_warc, op9_mixing, op10_preference, op11_vector_code)
 }
 
 _OP1 = r"""
@@ -180,6 +185,29 @@ SELECT pair_id, segment, CAST(0 AS BIGINT) AS part,
 FROM o GROUP BY pair_id, segment
 """
 
+_FIT = "FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+#: A round of assignment, and one of moving the entries: the rounds are common tables one after another.
+_ASSIGN = """a{n} AS MATERIALIZED (
+  SELECT r, p, any_value(s) AS s, min(struct_pack(d := d, k := k)) AS best
+  FROM (SELECT r, x.p, s, k, coalesce(list_sum(list_transform(range(1, len(s) + 1), lambda i: (s[i] - c[i]) * (s[i] - c[i]))), 0) AS d FROM x JOIN c{n} USING (p))
+  GROUP BY r, p)"""
+_MOVE = """c{n} AS MATERIALIZED (
+  SELECT c.p, c.k, coalesce(m.c, c.c) AS c
+  FROM c{b} c LEFT JOIN (
+    SELECT p, k, list(CAST((t - ((t % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c
+    FROM (SELECT p, k, i, sum(v) AS t, count(*) AS n FROM (SELECT p, best.k AS k, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS v FROM a{b}) GROUP BY p, k, i) GROUP BY p, k
+  ) m ON m.p = c.p AND m.k = c.k)"""
+_OP11 = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q {_FIT}),
+x AS MATERIALIZED (SELECT r, p, list_slice(q, p * len(q) // 8 + 1, (p + 1) * len(q) // 8) AS s FROM v, (SELECT unnest(range(8)) AS p)),
+c0 AS MATERIALIZED (SELECT p, k, s AS c FROM x JOIN (SELECT r, row_number() OVER (ORDER BY vec_id, q) - 1 AS k FROM v QUALIFY k < 16) USING (r)),
+{", ".join(x for n in range(6) for x in (_ASSIGN.format(n=n), _MOVE.format(n=n + 1, b=n)))},
+{_ASSIGN.format(n=6)},
+code AS (SELECT r, string_agg(printf('%02x', best.k), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a6 GROUP BY r),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM c6)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN code USING (r), books
+"""
+
 ORACLE_SQL: dict[str, str] = {
-    "op1_decontaminate": _OP1, "op3_url_filter": _OP3, "op4_topk": _OP4, "op8_warc": _OP8, "op10_preference": _OP10,
+    "op1_decontaminate": _OP1, "op3_url_filter": _OP3, "op4_topk": _OP4, "op8_warc": _OP8, "op10_preference": _OP10, "op11_vector_code": _OP11,
 }
