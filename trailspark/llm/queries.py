@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm import decontaminate, htmltext, langid, mixing, preference, quality, simhash, topk, urlfilter, vectorcode, warc
+from trailspark.llm import decontaminate, htmltext, langid, mixing, negatives, preference, quality, simhash, topk, urlfilter, vectorcode, warc
 from trailspark.llm.common import table
 
 #: The URL list: (rule, date, action).  Hosts and parent domains that sell, bet or farm links, some lifted again, and two paths.
@@ -90,8 +90,14 @@ def op11_vector_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return negatives.mine(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_url_filter, op4_topk, op5_html_text, op6_simhash, op7_quality, op8_warc, op9_mixing, op10_preference, op11_vector_code)
+    f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_url_filter, op4_topk, op5_html_text, op6_simhash, op7_quality, op8_warc, op9_mixing, op10_preference, op11_vector_code, op13_hard_negatives)
 }
 
 _OP1 = r"""
@@ -208,6 +214,20 @@ books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k))
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN code USING (r), books
 """
 
+_PRODUCT = "CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT)"
+_OP13 = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+  {_FIT} AND label IS NOT NULL),
+s AS MATERIALIZED (SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, {_PRODUCT} AS score FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM (
+  SELECT p.anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.r, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.r = p.r AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+WHERE rank <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
-    "op1_decontaminate": _OP1, "op3_url_filter": _OP3, "op4_topk": _OP4, "op8_warc": _OP8, "op10_preference": _OP10, "op11_vector_code": _OP11,
+    "op1_decontaminate": _OP1, "op3_url_filter": _OP3, "op4_topk": _OP4, "op8_warc": _OP8, "op10_preference": _OP10, "op11_vector_code": _OP11, "op13_hard_negatives": _OP13,
 }
