@@ -122,6 +122,12 @@ def bounds(queries: np.ndarray, centers: np.ndarray, radius: np.ndarray) -> tupl
     return middle - room, middle + room
 
 
+def meeting(lower: np.ndarray, upper: np.ndarray, low: np.ndarray, high: np.ndarray, kth: np.ndarray) -> np.ndarray:
+    """Which lists [query, list] can have a score in the window that is not strictly below the ``k``-th; the widest window has no ends."""
+    low, high = (np.where(x == end, sign * np.inf, x)[:, None] for x, end, sign in ((low, _LEAST, -1), (high, _MOST, 1)))
+    return (np.minimum(upper, high) >= kth[:, None]) & (lower <= high) & (upper >= low)
+
+
 def _rows(vectors: DataFrame, vec_id: str, embedding: str, label: str, scale: int) -> DataFrame:
     """(i, y, v) of the rows that take part."""
     return vectors.select(F.col(vec_id).cast("long").alias("i"), F.col(label).cast("string").alias("y"), quantised(embedding, scale).alias("v")).dropna()
@@ -202,7 +208,7 @@ class Best:
     """The best (score, id) of one query so far."""
 
     k: int
-    kth: int
+    kth: float
     scores: np.ndarray
     ids: np.ndarray
 
@@ -225,12 +231,13 @@ def visit(shelf, directory: Directory, queries: np.ndarray, labels: list[str], q
     here = np.unique(lists)
     ends = np.searchsorted(lists, here, side="right")
     lower, upper = bounds(queries, directory.centers[here], directory.radius[here])
-    best = [Best(k, int(x), np.zeros(0, np.int64), np.zeros(0, np.int64)) for x in kth]
+    best = [Best(k, int(x) if x > _LEAST else -math.inf, np.zeros(0, np.int64), np.zeros(0, np.int64)) for x in kth]
     of = np.array([names.get(y, -1) for y in labels])
+    windowed = (low > _LEAST) | (high < _MOST)
     visits = 0
     for x in np.argsort(-upper.max(0), kind="stable"):
         now = np.array([b.kth for b in best], float)
-        active = np.flatnonzero((np.minimum(upper[:, x], high) >= now) & (lower[:, x] <= high) & (upper[:, x] >= low))
+        active = np.flatnonzero(meeting(lower[:, x : x + 1], upper[:, x : x + 1], low, high, now)[:, 0])
         if not len(active):
             continue
         visits += len(active)
@@ -238,10 +245,12 @@ def visit(shelf, directory: Directory, queries: np.ndarray, labels: list[str], q
         met = scores(queries[active], values[part])
         for row, q in zip(met, active, strict=True):
             mine = codes[part] == of[q]
-            ok = (mine if same else ~mine) & (row >= max(int(low[q]), best[q].kth)) & (row <= int(high[q]))
+            ok = (mine if same else ~mine) & (row >= best[q].kth)
+            if windowed[q]:
+                ok &= (row >= int(low[q])) & (row <= int(high[q]))
             if same:  # one row of the query's id, label and vector is its own
-                own = np.flatnonzero(ok & (ids[part] == q_ids[q]))
-                ok[[o for o in own if (values[part][o] == queries[q]).all()][:1]] = False
+                own = [o for o in np.flatnonzero(ok & (ids[part] == q_ids[q])) if (values[part][o] == queries[q]).all()]
+                ok[own[:1]] = False
             if ok.any():
                 best[q].add(row[ok], ids[part][ok])
     return best, visits
@@ -276,8 +285,7 @@ def search(shelves: DataFrame, directory: dict[int, Directory], queries: DataFra
             if first:
                 shelves = visited
             else:
-                lower, upper = d.bounds(held)
-                needed = ((np.minimum(upper, high[:, None]) >= kth[:, None]) & (lower <= high[:, None]) & (upper >= low[:, None])).any(0)
+                needed = meeting(*d.bounds(held), low, high, kth).any(0)
                 shelves = {s for x in np.flatnonzero(needed) for s in range(int(d.first[x]), int(d.first[x] + d.chunks[x]))} - visited
             lane = (at + int(rows["pack"].iloc[0])) % lanes
             return pd.DataFrame({"dims": [dims], "shelves": [sorted(shelves)], "lane": [lane], "qs": [rows["q"].to_numpy(np.int64).tobytes()], "q_ids": [rows["i"].to_numpy(np.int64).tobytes()], "ys": [list(rows["y"])],

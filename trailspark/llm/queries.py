@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm import decontaminate, htmltext, langid, mixing, negatives, preference, quality, simhash, topk, urlfilter, vectorcode, warc
+from trailspark.llm import decontaminate, htmltext, langid, mixing, negatives, permutation, preference, quality, simhash, topk, urlfilter, vectorcode, warc
 from trailspark.llm.common import table
 
 #: The URL list: (rule, date, action).  Hosts and parent domains that sell, bet or farm links, some lifted again, and two paths.
@@ -90,6 +90,11 @@ def op11_vector_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return permutation.search(*permutation.build_index(vectors), vectors.where("vec_id % 100 = 0"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
@@ -97,7 +102,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_url_filter, op4_topk, op5_html_text, op6_simhash, op7_quality, op8_warc, op9_mixing, op10_preference, op11_vector_code, op13_hard_negatives)
+    f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_url_filter, op4_topk, op5_html_text, op6_simhash, op7_quality, op8_warc, op9_mixing, op10_preference, op11_vector_code, op12_permutation_index, op13_hard_negatives)
 }
 
 _OP1 = r"""
