@@ -1,6 +1,7 @@
 """Operators against brute force, round trips and held-out accuracy, with their defined edge cases."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -659,6 +660,76 @@ def test_quality_of_labels_kept_out(spark):
     assert n > 100 and found[quality.ROUNDS] > 0.96 and found[quality.ROUNDS] >= found[0] - 0.01
 
 
+def test_quality_reads_the_samples_in_one_pass(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    passes, plain = [], quality._features
+    monkeypatch.setattr(quality, "_features", lambda *a: passes.append(a[0]) or plain(*a))
+    model = quality.fit(docs, labels)
+    assert len(passes) == 1 and len(model.views) == 2
+
+
+def newton(x, y, ridge):
+    """The minimum of the ridge's loss, in plain Python: gradient descent with halving steps."""
+    n, width = len(x), len(x[0])
+    mean = [sum(r[j] for r in x) / n for j in range(width)]
+    scale = [math.sqrt(sum((r[j] - mean[j]) ** 2 for r in x) / n) or 1.0 for j in range(width)]
+    z = [[(r[j] - mean[j]) / scale[j] for j in range(width)] + [1.0] for r in x]
+    cost = [ridge] * width + [1e-6]
+
+    def loss(w):
+        s = [sum(a * b for a, b in zip(r, w, strict=True)) for r in z]
+        return sum(math.log1p(math.exp(-abs(t))) + max(t, 0) - t * k for t, k in zip(s, y, strict=True)) + sum(c * v * v for c, v in zip(cost, w, strict=True)) / 2
+
+    w, rate, now = [0.0] * (width + 1), 1.0, None
+    for _ in range(4000):
+        p = [1 / (1 + math.exp(-sum(a * b for a, b in zip(r, w, strict=True)))) for r in z]
+        slope = [sum((pi - yi) * r[j] for pi, yi, r in zip(p, y, z, strict=True)) + cost[j] * w[j] for j in range(width + 1)]
+        now = loss(w) if now is None else now
+        while (new := loss(step := [a - rate * b for a, b in zip(w, slope, strict=True)])) > now - 0.25 * rate * sum(b * b for b in slope) and rate > 1e-12:
+            rate /= 2
+        w, now, rate = step, new, rate * 1.5
+        if max(map(abs, slope)) < 1e-7:
+            break
+    return lambda r: sum(v * (a - m) / s for v, a, m, s in zip(w, r, mean, scale, strict=False)) + w[-1]
+
+
+def test_fit_calibration_and_a_round_are_brute_force():
+    """Two views of two features, one round: each step again in plain Python."""
+    rng = random.Random(11)
+    make = lambda k: ([rng.gauss(k * 2 - 1, 1), rng.gauss(0, 1)], [rng.gauss(0, 1), rng.gauss(k * 2 - 1, 1)])
+    y = [rng.randrange(2) for _ in range(60)]
+    views = list(zip(*(make(k) for k in y), strict=True))
+    pool = list(zip(*(make(rng.randrange(2)) for _ in range(80)), strict=True))
+    model = quality.co_train(*map(np.array, views), np.array(y), *map(np.array, pool), rounds=1, per_round=10, confident=0.9)
+    own = [[i for i in range(60) if y[i] == c] for c in (0, 1)]
+    held = sorted(i for o in own for i in o[::10])
+    combine = sorted(i for o in own for i in o[5::10])
+    train = [i for i in range(60) if i not in held and i not in combine]
+    share = sum(y[i] for i in train) / len(train)
+    sets = [([v[i] for i in train], [y[i] for i in train]) for v in views]
+    squash = lambda t: 1 / (1 + math.exp(-t))
+    first = [newton(*s, 1.0) for s in sets]
+    scales = [newton([[f(v[i])] for i in held], [y[i] for i in held], 1e-2) for f, v in zip(first, views, strict=True)]
+    new = []
+    for teacher in (0, 1):
+        p = [squash(scales[teacher]([first[teacher](r)])) for r in pool[teacher]]
+        for label, quota in ((1, share), (0, 1 - share)):
+            sure = sorted(((label * q + (1 - label) * (1 - q), -j) for j, q in enumerate(p)), reverse=True)
+            new += [(1 - teacher, -j, label) for s, j in sure[: max(1, round(10 * quota))] if s >= 0.9]
+    for pupil, j, label in new:
+        sets[pupil][0].append(pool[pupil][j])
+        sets[pupil][1].append(label)
+    assert new
+    last = [newton(*s, 1.0) for s in sets]
+    scales = [newton([[f(v[i])] for i in held], [y[i] for i in held], 1e-2) for f, v in zip(last, views, strict=True)]
+    said = lambda a, b: [scales[0]([last[0](a)]), scales[1]([last[1](b)])]
+    both = newton([said(views[0][i], views[1][i]) for i in combine], [y[i] for i in combine], 1e-2)
+    got = model.probabilities(*map(np.array, pool))
+    for j, (a, b) in enumerate(zip(*pool, strict=True)):
+        s = said(a, b)
+        assert np.allclose([g[j] for g in got], [squash(s[0]), squash(s[1]), squash(both(s))], atol=2e-3)
+
+
 def test_co_training_uses_the_pool():
     rng = np.random.default_rng(10)
     y = np.tile([0, 1], 40)

@@ -230,111 +230,6 @@ def fit(
     return co_train(x_text[seen], x_meta[seen], y[seen].astype(int), x_text[~seen], x_meta[~seen], **options)
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
-
-
-@dataclass
-class CoTrained:
-    """Two views, their calibrations and the combination; ``views`` is empty if there was nothing to learn."""
-
-    views: tuple = ()
-    calibrations: tuple = ()
-    combination: Logistic | None = None
-
-    def probabilities(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not self.views:
-            one = np.ones(len(text))
-            return one, one, one
-        parts = [c.score(v.score(x)[:, None]) for v, c, x in zip(self.views, self.calibrations, (text, meta), strict=True)]
-        return sigmoid(parts[0]), sigmoid(parts[1]), sigmoid(self.combination.score(np.c_[parts[0], parts[1]]))
-
-
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, *, rounds: int = ROUNDS, per_round: int = PER_ROUND, confident: float = CONFIDENT) -> CoTrained:
-    """``y`` is 0 or 1 for each labelled row; of every ten rows of a class one is kept to calibrate and one to combine.
-
-    Classes too small for that are used for everything.
-    """
-    held, combine = np.zeros(len(y), bool), np.zeros(len(y), bool)
-    for c in (0, 1):
-        own = np.flatnonzero(y == c)
-        held[own[::10]] = True
-        combine[own[5::10] if len(own) > 5 else own[::10]] = True
-    kept = held | combine
-    train = ~kept if len({*y[~kept]}) == 2 else np.ones(len(y), bool)
-    if len({*y[train]}) < 2:
-        return CoTrained()
-    x, pool = (text, meta), (pool_text, pool_meta)
-    sets = [(v[train], y[train]) for v in x]
-    free = [np.ones(len(pool_text), bool) for _ in x]  # what each view has not been taught
-    share = float(y[train].mean())
-    fits = lambda: [Logistic.fit(*s) for s in sets]
-    calibrate = lambda views: [Logistic.fit(v.score(a[held])[:, None], y[held].astype(float), 1e-2) for v, a in zip(views, x, strict=True)]
-    for _ in range(rounds):
-        views = fits()
-        scales = calibrate(views)
-        new = []
-        for teacher in (0, 1):
-            pupil = 1 - teacher
-            p = sigmoid(scales[teacher].score(views[teacher].score(pool[teacher])[:, None])) if len(pool_text) else np.empty(0)
-            for label, sure, quota in ((1, p, share), (0, 1 - p, 1 - share)):
-                rows = np.flatnonzero(free[pupil] & (sure >= confident))
-                rows = rows[np.argsort(-sure[rows], kind="stable")[: max(1, round(per_round * quota))]]
-                free[pupil][rows] = False
-                new.append((pupil, rows, label))
-        for pupil, rows, label in new:
-            a, b = sets[pupil]
-            sets[pupil] = np.concatenate([a, pool[pupil][rows]]), np.concatenate([b, np.full(len(rows), label)])
-        if not any(len(rows) for _, rows, _ in new):
-            break
-    views = fits()
-    scales = calibrate(views)
-    both = np.c_[tuple(c.score(v.score(a[combine])[:, None]) for v, c, a in zip(views, scales, x, strict=True))]
-    return CoTrained(tuple(views), tuple(scales), Logistic.fit(both, y[combine].astype(float), 1e-2))
-
-
-def _features(docs: DataFrame, text: str, source: str, lang: str, n_chars: str) -> DataFrame:
-    """``docs`` with array columns ``t`` and ``m``."""
-
-    def compute(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for columns in batches:
-            rows = [(text_features(t), metadata_features(s, g, n)) for t, s, g, n in zip(*columns, strict=True)]
-            yield pd.DataFrame(rows, columns=["t", "m"])
-
-    return docs.withColumn("f", F.pandas_udf(compute, "t array<float>, m array<float>")(F.col(text), F.col(source), F.col(lang), F.col(n_chars)))
-
-
-def _matrices(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    found = rows.select("i", "y", "f.t", "f.m").toPandas().sort_values(["i"], kind="stable")  # bounded by the samples
-    wide = lambda c, n: np.stack(found[c].to_numpy()).astype(float) if len(found) else np.zeros((0, n))
-    return wide("t", _STATS + WORD_BUCKETS), wide("m", SOURCE_BUCKETS + LANG_BUCKETS + 4), found["y"].to_numpy()
-
-
-def fit(
-    docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars",
-    quality: str = "quality", labelled: int = LABELLED, pool: int = POOL, **options,
-) -> CoTrained:
-    short_batches(docs.sparkSession)
-    draw = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / float(1 << 30)
-    votes = labels.select(F.col(doc_id).alias("i"), F.col(quality).cast("double").alias("q")).dropna().groupBy("i").agg((F.avg("q") >= 0.5).cast("int").alias("y"))
-    counts = {r.y: r.n for r in votes.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if set(counts) != {0, 1}:
-        return CoTrained()
-    bound = lambda n, most: F.lit(min(1.0, most / max(1, n)))
-    rate = F.when(F.col("y") == 1, bound(counts[1], labelled / 2)).otherwise(bound(counts[0], labelled / 2))
-    sample = votes.where(draw < rate)  # about ``labelled`` rows at most, so small enough to broadcast
-    named = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("x"), F.col(source).cast("string").alias("s"), F.col(lang).cast("string").alias("g"), F.col(n_chars).cast("long").alias("n"))
-    names = ("x", "s", "g", "n")
-    n_docs = docs.count()
-    seen = named.join(F.broadcast(sample), "i")
-    rest = named.where(F.col("i").isNotNull() & (draw < bound(n_docs, pool))).join(F.broadcast(sample.select("i")), "i", "left_anti").withColumn("y", F.lit(-1))
-    x_text, x_meta, y = _matrices(_features(seen, *names))
-    if len({*y}) < 2:
-        return CoTrained()
-    pool_text, pool_meta, _ = _matrices(_features(rest, *names))
-    return co_train(x_text, x_meta, y.astype(int), pool_text, pool_meta, **options)
-
-
 def score(
     docs: DataFrame, model: CoTrained, *, text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", threshold: float = THRESHOLD, into: str = "quality_score",
 ) -> DataFrame:
