@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trailspark.functions import numeric, protocol
 from trailspark.functions import text as T
-from trailspark.operators import execution, metrics, quality, replay, routing, split, stats, transcript
+from trailspark.operators import execution, metrics, quality, replay, rollout, routing, split, stats, transcript
 from trailspark.plans import fixtures
 from trailspark.sources import lines
 
@@ -223,14 +223,9 @@ def test_recovery_order(spark):
 
 
 def test_label_masks_and_samples(spark):
-    text = "ab <PREDICTION> PASS </PREDICTION>"
-    df = spark.createDataFrame([(text,)], "t string")
-    r = df.select(routing.mask_labels(F.array_repeat(F.lit(1.0), 40), routing.code_points(F.col("t")), F.col("t"), F.lit(3)).alias("w"), routing.auxiliary_sample(F.lit("ctx"), F.lit("PASS")).alias("s")).first()
-    at = text.index("PASS") + 3
-    assert [i for i, w in enumerate(r.w) if w == 0] == list(range(at, at + 4)) and len(r.w) == 40
-    assert math.isclose(sum(r.s.ce_weights), 0.4) and sum(r.s.rl_weights) == 0 and len(r.s.token_ids) == len(r.s.mask) == len(r.s.ce_weights)
-    with pytest.raises(Exception, match="over the cap"):
-        df.select(routing.auxiliary_sample(F.col("t"), F.lit("PASS"), cap=10)).collect()
+    text = "ab <PREDICTION> PASS </PREDICTION> <PREDICTION>X</PREDICTION>"
+    found = spark.createDataFrame([(text,)], "t string").select(F.inline(rollout.labels(F.col("t")))).collect()
+    assert [(r.label, text[r.low : r.high], r.start) for r in found] == [("PASS", "PASS", 3), ("X", "X", text.rindex("<PREDICTION>"))]
     seq = spark.createDataFrame([([1, 2, 3, 2, 3], [2, 3]), ([1], [1, 2]), ([12, 3], [2]), ([1], [])], "v array<int>, t array<int>")
     assert [x.p for x in seq.select(routing.find_subsequence(F.col("v"), F.col("t")).alias("p")).collect()] == [1, None, None, None]
 

@@ -1,4 +1,4 @@
-"""Training rows: group advantages, label masks and auxiliary samples over token arrays."""
+"""Training rows: group advantages, and the pieces of label masks over token arrays."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.functions.protocol import PREDICTION
-
 
 def group_advantage(rows: DataFrame, group: list[str], reward: str) -> DataFrame:
     """Reward less the group's mean; groups without spread are dropped.
@@ -39,51 +37,10 @@ def find_subsequence(values: Column, target: Column) -> Column:
     return F.when((F.size(target) > 0) & F.contains(hay, text(target)), F.length(before) - F.length(F.replace(before, F.lit(","))) - 1)
 
 
-def label_span(content: Column) -> Column:
-    """struct<start, end>: characters of the first prediction's label."""
-    whole = F.regexp_extract(content, PREDICTION, 0)
-    label = F.regexp_extract(content, PREDICTION, 1)
-    start = F.instr(content, whole) - 1 + F.locate("<PREDICTION>", whole) + F.length(F.lit("<PREDICTION>")) - 1
-    inner = F.length(F.regexp_extract(whole, r"<PREDICTION>(\s*)", 1))
-    return F.when(whole != "", F.struct((start + inner).alias("start"), (start + inner + F.length(label)).alias("end")))
-
-
 def overlapping(offsets: Column, start: Column, end: Column) -> Column:
     """Which half-open token spans meet the label's."""
     return F.transform(offsets, lambda o: (o["end"] > start) & (o["start"] < end))
 
 
-def mask_labels(weights: Column, node_ids: Column, content: Column, offset: Column) -> Column:
-    """``weights`` with zeros at the label's tokens, by whole content, whole tag, or bare label: the first that is found.
-
-    Code-point tokens, so a character's place is its token's.
-    """
-    whole, label = F.regexp_extract(content, PREDICTION, 0), F.regexp_extract(content, PREDICTION, 1)
-    span = label_span(content)
-    tag_at = F.instr(content, whole) - 1
-    tries = [(content, span["start"]), (whole, span["start"] - tag_at), (label, F.lit(0))]
-    starts = [find_subsequence(node_ids, code_points(t)) + at for t, at in tries]
-    first = F.coalesce(*starts) + offset
-    size = F.length(label)
-    n = F.size(weights)
-    checked = F.when(first + size > n, F.raise_error(F.lit("label outside its sample")).cast("int")).otherwise(first)
-    # no lambda: what it names would be evaluated again for each token
-    masked = F.concat(F.slice(weights, F.lit(1), checked), F.array_repeat(F.lit(0.0), size), F.slice(weights, checked + size + 1, n))
-    return F.when(span.isNull() | first.isNull(), weights).otherwise(masked)
-
-
-def auxiliary_sample(context: Column, actual: Column, alpha: float = 0.1, cap: int = 4096) -> Column:
-    """Context tokens, then the tagged label, where only the label's own tokens carry weight ``alpha``."""
-    head = code_points(context)
-    tag = code_points(F.concat(F.lit("<PREDICTION>"), actual, F.lit("</PREDICTION>")))
-    size = F.size(head) + F.size(tag)
-    start = F.size(head) + len("<PREDICTION>")
-    end = start + F.length(actual)
-    ids = F.when(size > cap, F.raise_error(F.lit("auxiliary sample over the cap")).cast("array<int>")).otherwise(F.concat(head, tag))
-    flat = lambda v, n=size: F.array_repeat(F.lit(v), n)
-    ce = F.concat(flat(0.0, start), flat(alpha, F.length(actual)), flat(0.0, size - end))
-    return F.struct(ids.alias("token_ids"), flat(False).alias("mask"), flat(0.0).alias("logprobs"), flat(0.0).alias("rl_weights"), ce.alias("ce_weights"))
-
-
 def drop_truncated(rows: DataFrame, truncated: str = "truncated") -> DataFrame:
     return rows.where(~F.coalesce(F.col(truncated), F.lit(False)))

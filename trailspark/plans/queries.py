@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailspark.functions import protocol
 from trailspark.functions import text as T
-from trailspark.operators import execution, metrics, quality, replay, rollout, routing, sft, split, stats, transcript
+from trailspark.operators import branches, execution, metrics, quality, replay, rollout, routing, sft, split, stats, transcript
 from trailspark.plans import adapters as A
 from trailspark.plans import fixtures
 
@@ -411,18 +411,38 @@ def subsequence_search(spark, sf_dir):
   CASE WHEN sampled_prediction IS NOT NULL THEN CAST(17 AS INTEGER) END AS first_masked FROM predictions""")
 def label_token_mask(spark, sf_dir):
     said = F.concat(F.lit("text "), F.coalesce(F.concat(F.lit("<PREDICTION>"), "sampled_prediction", F.lit("</PREDICTION>")), F.lit("none")), F.lit(" end"))
-    rows = A.predictions(spark, sf_dir).select("event_id", said.alias("said"))
-    ids = routing.code_points(F.col("said"))
-    weights = F.array_repeat(F.lit(1.0), F.length("said"))
-    masked = rows.withColumn("w", routing.mask_labels(weights, ids, F.col("said"), F.lit(0)))
-    return masked.select("event_id", F.size(F.filter("w", lambda w: w == 0)).alias("masked"), F.nullif(F.array_position("w", F.lit(0.0)).cast("int") - 1, F.lit(-1)).alias("first_masked"))
+    rows = A.predictions(spark, sf_dir).select(F.col("event_id").alias("rollout"), F.lit(0).alias("node"), F.lit("assistant").alias("role"), said.alias("content"), F.lit(True).alias("sampled"))
+    places = rollout.hidden_places(rows.withColumn("token_ids", routing.code_points(F.col("content"))))
+    found = places.groupBy("rollout").agg(F.count("*").cast("int").alias("masked"), F.min("place").alias("first_masked"))
+    all_ = rows.select("rollout").join(found, "rollout", "left")
+    return all_.select(F.col("rollout").alias("event_id"), F.coalesce("masked", F.lit(0)).alias("masked"), "first_masked")
 
 
-@query(f"""WITH {PREDICTIONS} SELECT event_id, CAST(8 + 25 + length(actual) AS INTEGER) AS n_tokens, round(0.1 * length(actual), 6)::DOUBLE AS ce_sum, 0.0::DOUBLE AS rl_sum FROM predictions""")
+@query(f"""WITH {PREDICTIONS} SELECT event_id, CAST(length('<|im_start|>user' || chr(10) || 'context' || chr(10) || '<|im_end|>' || chr(10) || chr(10) || '<|im_start|>assistant' || chr(10)) + 25 + length(actual) AS INTEGER) AS n_tokens,
+  round(0.1 * length(actual), 6)::DOUBLE AS ce_sum, 0.0::DOUBLE AS rl_sum FROM predictions""")
 def auxiliary_ce_samples(spark, sf_dir):
-    rows = A.predictions(spark, sf_dir).select("event_id", routing.auxiliary_sample(F.lit("context\n"), F.col("actual")).alias("s"))
+    context = F.array(F.struct(F.lit("user").alias("role"), F.lit("context").alias("content")))
+    target = F.struct(context.alias("context_messages"), F.col("sampled_prediction").alias("sampled_prediction"), F.col("actual").alias("actual"))
+    rows = A.predictions(spark, sf_dir).select(F.col("event_id").alias("rollout"), F.lit("env").alias("env_name"), F.lit(None).cast(f"array<{rollout.SAMPLE}>").alias("samples"), F.array(target).alias("targets"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    return rounded(rows.select("event_id", F.size("s.token_ids").alias("n_tokens"), total("s.ce_weights").alias("ce_sum"), total("s.rl_weights").alias("rl_sum")))
+    found = rollout.verified_samples(rows)
+    return rounded(found.select(F.col("rollout").alias("event_id"), F.size("token_ids").alias("n_tokens"), total("ce_weights").alias("ce_sum"), total("rl_weights").alias("rl_sum")))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS task, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
+f AS (SELECT task, event_id, n, CASE WHEN n = 0 THEN NULL WHEN n % 5 = 4 THEN n // 2 ELSE n - 1 END AS p FROM e),
+walk AS (SELECT task, n AS leaf, n, p, event_id, 0 AS up FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.task = a.task AND b.p = a.n)
+  UNION ALL SELECT w.task, w.leaf, f.n, f.p, f.event_id, w.up + 1 FROM walk w JOIN f ON f.task = w.task AND f.n = w.p)
+SELECT task, leaf, count(*) AS n_nodes, string_agg(CAST(event_id AS VARCHAR), '>' ORDER BY up DESC) AS path FROM walk GROUP BY task, leaf""")
+def branch_paths(spark, sf_dir):
+    """Attempts of a user as a forest: each follows the one before, every fifth goes back to the middle."""
+    order = Window.partitionBy("task").orderBy("ts", "event_id")
+    rows = A.attempts(spark, sf_dir).select("task", "event_id", (F.row_number().over(order) - 1).cast("long").alias("node"))
+    parent = F.when(F.col("node") == 0, None).when(F.col("node") % 5 == 4, F.floor(F.col("node") / 2)).otherwise(F.col("node") - 1)
+    rows = rows.withColumn("parent", parent.cast("long"))
+    named = branches.branch_paths(rows, ["task"]).join(rows.select("task", "node", "event_id"), ["task", "node"])
+    placed = F.array_sort(F.collect_list(F.struct("place", "event_id")))  # as long as the tree is deep
+    return named.groupBy("task", "leaf").agg(F.count("*").alias("n_nodes"), F.array_join(F.transform(placed, lambda x: x["event_id"].cast("string")), ">").alias("path"))
 
 
 @query(f"""WITH {STEPS}, x AS (SELECT 'first' AS kind, outcome FROM steps WHERE outcome <> 'PASS' UNION ALL SELECT 'second', predicted FROM steps WHERE outcome <> 'PASS' AND predicted IS NOT NULL)
@@ -502,13 +522,13 @@ def rollout_samples(spark, sf_dir):
     """Conversations as rollouts of one branch: the assistant's turns end in a label; a third of them are not sampled, a third have a verified target."""
     c = A.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
     said = lambda m: F.when(m["role"] == "assistant", F.concat(m["text"], F.lit("<PREDICTION>PASS</PREDICTION>"))).otherwise(m["text"])
-    nodes = F.transform("m", lambda m: F.struct(m["role"].alias("role"), said(m).alias("content"), (F.col("conv_id") % 3 != 2).alias("sampled"), routing.code_points(said(m)).alias("token_ids")))
+    nodes = F.transform("m", lambda m, i: F.struct(F.when(i > 0, i - 1).alias("parent"), m["role"].alias("role"), said(m).alias("content"), (F.col("conv_id") % 3 != 2).alias("sampled"), routing.code_points(said(m)).alias("token_ids")))
     rows = c.select("conv_id", nodes.alias("nodes")).withColumn("ids", F.flatten(F.transform("nodes", lambda n: n["token_ids"])))
     n = F.size("ids")
     sample = F.struct(F.col("ids").alias("token_ids"), F.array_prepend(F.array_repeat(F.lit(True), n - 1), F.lit(False)).alias("mask"), F.array_repeat(F.lit(0.0), n).alias("logprobs"), F.array().cast("array<double>").alias("temperatures"))
     context = F.array(F.struct(F.lit("user").alias("role"), F.lit("q").alias("content")))
     target = F.struct(context.alias("context_messages"), F.lit("PASS").alias("sampled_prediction"), F.lit("RUNTIME_ERROR").alias("actual"))
-    given = rows.select("conv_id", F.lit("env").alias("env_name"), F.array("nodes").alias("branches"), F.array(sample).alias("samples"), F.when(F.col("conv_id") % 3 == 1, F.array(target)).alias("targets"))
+    given = rows.select("conv_id", F.lit("env").alias("env_name"), "nodes", F.array(sample).alias("samples"), F.when(F.col("conv_id") % 3 == 1, F.array(target)).alias("targets"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     found = rollout.score(given, rollout_id="conv_id", alpha=0.5)
     return rounded(found.select("conv_id", "sample", "kind", F.size("token_ids").cast("long").alias("n_tokens"), total("rl_weights").alias("rl_sum"), total("ce_weights").alias("ce_sum")))
