@@ -16,7 +16,8 @@ import sys
 import tempfile
 import tokenize
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import accumulate
 from pathlib import Path
 
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailspark.functions.protocol import FAILURE_TEXT, STDERR_MARKS
+from trailspark.session import cut
 
 RUN = "success boolean, outcome string, exit_code int, timed_out boolean, detail string"
 
@@ -201,27 +203,58 @@ def mutations(tasks: DataFrame, *, key: str = "case_id", code: str = "code") ->
     return tasks.select(F.col(key).alias("k"), F.col(code).alias("c")).mapInPandas(expand, schema).withColumnRenamed("key", key)
 
 
-def _run_mutations(tasks: DataFrame, key: str, timeout: float) -> DataFrame:
-    made = mutations(tasks, key=key).where("unique").join(tasks.select(key, "test_code"), key)
-    return verify(made, code="mutated", timeout=timeout).where("run.outcome <> 'PASS'").withColumn("outcome", F.col("run.outcome"))
+FIRST_WAVE = 2
 
 
-def one_step_recovery(tasks: DataFrame, *, key: str = "case_id", timeout: float = 5) -> DataFrame:
+def candidates(tasks: DataFrame, *, key: str = "case_id") -> DataFrame:
+    """The mutations that are tried, with ``turn``, their number among a task's from 1: those whose changed line occurs once."""
+    usable = mutations(tasks, key=key).where("unique").drop("unique")
+    return usable.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy("position")))  # as many as a program has tokens
+
+
+def run_until(tasks: DataFrame, answers: Callable[[DataFrame], DataFrame], *, key: str = "case_id", timeout: float = 5, first: int = FIRST_WAVE) -> DataFrame:
+    """The runs of each task's mutations, in turn, up to its answer: key, position, turn, line, original, changed, mutated, outcome.
+
+    ``answers`` gives the keys of the tasks that the runs so far settle, from all
+    runs that failed.  A wave runs the next few mutations of the tasks that are
+    still open, twice as many in all as the waves before, so a task whose answer
+    comes with its ``n``-th run has at most ``max(first, 2 n)``.  Waves meet tasks by
+    an anti-join; a wave's runs are written, so none is run again.
+    """
+    tried = cut(candidates(tasks, key=key))
+    open_ = cut(tried.select(key).distinct())
+    waves, done, size = [], 0, first
+    while not open_.isEmpty():
+        wave = tried.where(F.col("turn").between(done + 1, done + size)).join(open_, key, "left_semi").join(tasks.select(key, "test_code"), key)
+        ran = verify(wave, code="mutated", timeout=timeout).withColumn("outcome", F.col("run.outcome")).drop("run", "test_code")
+        waves.append(cut(ran))
+        done, size = done + size, done + size
+        runs = reduce(DataFrame.unionByName, waves)
+        settled = answers(runs.where(FAILED)).select(key)
+        open_ = cut(tried.where(F.col("turn") > done).select(key).distinct().join(open_, key, "left_semi").join(settled, key, "left_anti"))
+    if not waves:
+        return tried.withColumn("outcome", F.lit(None).cast("string"))
+    return reduce(DataFrame.unionByName, waves)
+
+
+FAILED = "outcome <> 'PASS'"
+
+
+def first_failures(failing: DataFrame, key: str = "case_id") -> DataFrame:
     """(key, initial_code, find, replace, outcome): the first mutation that fails, and the patch that undoes it."""
     first = F.min_by(F.struct("mutated", "changed", "original", "outcome"), "position").alias("m")
-    return _run_mutations(tasks, key, timeout).groupBy(key).agg(first).select(
+    return failing.groupBy(key).agg(first).select(
         key, F.col("m.mutated").alias("initial_code"), F.col("m.changed").alias("find"), F.col("m.original").alias("replace"), F.col("m.outcome").alias("outcome")
     )
 
 
-def two_step_recovery(tasks: DataFrame, *, key: str = "case_id", timeout: float = 5) -> DataFrame:
+def chained_failures(failing: DataFrame, key: str = "case_id") -> DataFrame:
     """First failing mutation A, then the first later failing B.
 
     The middle patch turns A's code into B's by the block of lines from one to
     the other (the line itself if both are on one), which must occur once in A's
     code and differ from B's; the final patch undoes B.
     """
-    failing = _run_mutations(tasks, key, timeout).join(tasks.select(key, "code"), key)
     rank = Window.partitionBy(key).orderBy("position")
     ranked = failing.withColumn("rank", F.row_number().over(rank))
     a = ranked.where("rank = 1").select(key, *(F.col(c).alias(f"a_{c}") for c in ("position", "line", "mutated", "outcome")))
@@ -236,3 +269,13 @@ def two_step_recovery(tasks: DataFrame, *, key: str = "case_id", timeout: float
         key, F.col("m.a_mutated").alias("initial_code"), F.col("m.a_outcome").alias("first_outcome"), "m.middle_find", "m.middle_replace",
         F.col("m.outcome").alias("second_outcome"), F.col("m.changed").alias("final_find"), F.col("m.original").alias("final_replace"),
     )
+
+
+def one_step_recovery(tasks: DataFrame, *, key: str = "case_id", timeout: float = 5) -> DataFrame:
+    """``first_failures`` of the tasks (key, code, test_code), each run up to its first failure."""
+    return first_failures(run_until(tasks, lambda failing: first_failures(failing, key), key=key, timeout=timeout).where(FAILED), key)
+
+
+def two_step_recovery(tasks: DataFrame, *, key: str = "case_id", timeout: float = 5) -> DataFrame:
+    """``chained_failures`` of the tasks (key, code, test_code), each run up to its first chain."""
+    return chained_failures(run_until(tasks, lambda failing: chained_failures(failing, key), key=key, timeout=timeout).where(FAILED), key)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailspark.session import cut
+
 
 def seeded_key(seed: int, task_id: str, prompt: str) -> Column:
     """Hash that orders tasks the same way on every machine."""
@@ -41,6 +44,38 @@ def quota_fill(tasks: DataFrame, n_deep: int, n_shallow: int, *, key: str = "key
     return placed.select(task_id, "tier", "position", F.when((F.col("position") - 1) % 2 == 0, "shadow").otherwise("visible").alias("mode"))
 
 
+def lazy_quota_fill(tasks: DataFrame, n_deep: int, n_shallow: int, attempt: Callable[[DataFrame, bool], DataFrame], *, key: str = "key", task_id: str = "task_id", least: int = 8) -> DataFrame:
+    """``quota_fill`` where it is costly to know which tasks fit: they are tried in waves, in the order of (key, task), until both quotas are full.
+
+    ``attempt(wave, deep)`` gives (task, deep_ok, shallow_ok) of the wave's tasks;
+    ``deep`` says whether deep ones are still wanted.  A wave has as many tasks as
+    places are left, ``least`` at least, so no task after the wave of the last one
+    taken is tried.  A wave is the next rows by a limit, not a sort of all tasks.
+    """
+    order, taken = [key, task_id], []
+    have = {"deep": 0, "shallow": 0}
+    after = None
+    while (wanted := n_deep + n_shallow - sum(have.values())) > 0:
+        rest = tasks if after is None else tasks.where((F.col(key) > after[0]) | (F.col(key) == after[0]) & (F.col(task_id) > after[1]))
+        wave = cut(rest.orderBy(*order).limit(max(least, wanted)))
+        last = wave.orderBy(*(F.desc(c) for c in order)).select(*order).first()
+        if last is None:
+            break
+        found = attempt(wave, have["deep"] < n_deep)
+        tried = wave.select(*order).join(found.select(task_id, "deep_ok", "shallow_ok"), task_id)
+        # what a tier has from before moves its positions on
+        moved = F.col("position") + F.create_map(*(F.lit(x) for kv in have.items() for x in kv))[F.col("tier")]
+        got = quota_fill(tried, n_deep - have["deep"], n_shallow - have["shallow"], key=key, task_id=task_id).withColumn("position", moved)
+        taken.append(cut(got.withColumn("mode", F.when((F.col("position") - 1) % 2 == 0, "shadow").otherwise("visible"))))
+        for r in taken[-1].groupBy("tier").agg(F.count("*").alias("n")).collect():
+            have[r.tier] += r.n
+        after = tuple(last)
+    if taken:
+        return reduce(DataFrame.unionByName, taken)
+    none = tasks.limit(0).select(*order, F.lit(False).alias("deep_ok"), F.lit(False).alias("shallow_ok"))
+    return quota_fill(none, 0, 0, key=key, task_id=task_id)
+
+
 def id_violations(tables: dict[str, DataFrame], column: str) -> DataFrame:
     """(a, b, shared, only_a, only_b) of each pair of id tables, in one pass over all."""
     marked = reduce(DataFrame.unionByName, [df.select(F.col(column).alias("id"), F.lit(name).alias("t")) for name, df in tables.items()])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from trailspark.functions.text import rstrip
 from trailspark.operators import execution, quality, replay, sft, split, transcript
+from trailspark.session import cut
 from trailspark.sources.lines import file_digests, publish_text, read_lines, write_jsonl, write_manifest
 
 ARMS = ("a", "b")
@@ -24,16 +25,33 @@ TASK_FIELDS = ["blueprint_root", "case_id", "source", "split", "task_id", "test_
 
 
 def recoveries(tasks: DataFrame, n_deep: int, n_shallow: int, *, seed: int, timeout: float) -> DataFrame:
-    """case_id, mode, initial_code and the failing candidates of the tasks that fill the quotas, in seeded order."""
-    deep, shallow = (f(tasks, timeout=timeout).checkpoint() for f in (execution.two_step_recovery, execution.one_step_recovery))
-    found = tasks.select("case_id", split.seeded_key(seed, "task_id", "prompt").alias("key")).join(deep.select("case_id", F.lit(True).alias("d")), "case_id", "left").join(shallow.select("case_id", F.lit(True).alias("s")), "case_id", "left")
-    marked = found.select("case_id", "key", F.coalesce("d", F.lit(False)).alias("deep_ok"), F.coalesce("s", F.lit(False)).alias("shallow_ok"))
-    chosen = split.quota_fill(marked, n_deep, n_shallow, task_id="case_id").select("case_id", "tier", "mode")
+    """case_id, mode, initial_code and the failing candidates of the tasks that fill the quotas, in seeded order.
+
+    Mutations are run only of the tasks up to the wave that fills the quotas, and
+    of each only up to its answer.  Too few tasks are an error.
+    """
+    waves: list[DataFrame] = []
+
+    def attempt(wave: DataFrame, deep: bool) -> DataFrame:
+        settled = execution.chained_failures if deep else execution.first_failures
+        failing = cut(execution.run_until(wave, settled, timeout=timeout).where(execution.FAILED))
+        waves.append(failing)
+        ok = lambda found, name: found.select("case_id", F.lit(True).alias(name))
+        chained = execution.chained_failures(failing) if deep else failing.limit(0)
+        both = wave.select("case_id").join(ok(chained, "d"), "case_id", "left").join(ok(execution.first_failures(failing), "s"), "case_id", "left")
+        return both.select("case_id", F.coalesce("d", F.lit(False)).alias("deep_ok"), F.coalesce("s", F.lit(False)).alias("shallow_ok"))
+
+    keyed = tasks.withColumn("key", split.seeded_key(seed, "task_id", "prompt"))
+    chosen = cut(split.lazy_quota_fill(keyed, n_deep, n_shallow, attempt, task_id="case_id").select("case_id", "tier", "mode"))
+    sizes = {r.tier: r.n for r in chosen.groupBy("tier").agg(F.count("*").alias("n")).collect()}
+    if (sizes.get("deep", 0), sizes.get("shallow", 0)) != (n_deep, n_shallow):
+        raise ValueError(f"{sizes.get('deep', 0)} deep and {sizes.get('shallow', 0)} shallow recoveries, not {n_deep} and {n_shallow}")
+    failing = quality.all_of(waves) if waves else execution.candidates(tasks.limit(0)).withColumn("outcome", F.lit(None).cast("string"))
     none = F.lit(None).cast("string")
-    one = chosen.where("tier = 'shallow'").join(shallow, "case_id").select(
+    one = chosen.where("tier = 'shallow'").join(execution.first_failures(failing), "case_id").select(
         "case_id", "mode", "initial_code", F.col("outcome").alias("outcome_1"), F.col("find").alias("find_1"), F.col("replace").alias("replace_1"), none.alias("outcome_2"), none.alias("find_2"), none.alias("replace_2")
     )
-    two = chosen.where("tier = 'deep'").join(deep, "case_id").select(
+    two = chosen.where("tier = 'deep'").join(execution.chained_failures(failing), "case_id").select(
         "case_id", F.concat(F.lit("deep_"), "mode").alias("mode"), "initial_code", F.col("first_outcome").alias("outcome_1"), F.col("middle_find").alias("find_1"), F.col("middle_replace").alias("replace_1"),
         F.col("second_outcome").alias("outcome_2"), F.col("final_find").alias("find_2"), F.col("final_replace").alias("replace_2"),
     )

@@ -47,6 +47,17 @@ def doubling(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(F.col(key).cast("string").alias("case_id"), code.alias("code"), tests.alias("test_code"))
 
 
+def doubling_or_not(rows: DataFrame, key: str) -> DataFrame:
+    """``doubling`` tasks by turns with tasks that no test fails and tasks whose only failure is that of one token."""
+    made = doubling(rows, key).withColumn("k", F.col("case_id").cast("int"))
+    free = F.format_string("def f(x):\n    y = x + %d\n    return y * 2\n", F.col("k"))
+    single = F.format_string("def f(x):\n    return x * %d\n", F.col("k"))
+    kind = F.col("k") % 3
+    code = F.when(kind == 0, F.col("code")).when(kind == 1, free).otherwise(single)
+    tests = F.when(kind == 0, F.col("test_code")).when(kind == 1, F.lit("assert f(0) is not None\n")).otherwise(F.format_string("assert f(0) == 0 or f(1) + 1 == %d\n", F.col("k") + 1))
+    return made.select("case_id", F.col("k").cast("long").alias("task_id"), F.concat(F.lit("task "), "case_id").alias("prompt"), code.alias("code"), tests.alias("test_code"))
+
+
 def sft_tasks(spark: SparkSession) -> DataFrame:
     """The task ``total`` in each recovery mode."""
     code, tests = _TASKS[1][1], _TASKS[1][2]

@@ -11,7 +11,7 @@ from trailspark.functions import protocol
 from trailspark.functions import text as T
 from trailspark.operators import branches, execution, metrics, quality, replay, rollout, routing, sft, split, stats, transcript
 from trailspark.plans import adapters as A
-from trailspark.plans import fixtures
+from trailspark.plans import dataset, fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -513,6 +513,17 @@ def recovery_selection(spark, sf_dir):
     return one.unionByName(two)
 
 
+@query("""WITH t AS (SELECT CAST(s_suppkey AS VARCHAR) AS case_id, s_suppkey % 3 AS kind, sha256('42' || chr(0) || s_suppkey || chr(0) || 'task ' || s_suppkey) AS key FROM supplier),
+deep AS (SELECT case_id, row_number() OVER (ORDER BY key, case_id) AS n FROM t WHERE kind = 0 QUALIFY n <= 2),
+shallow AS (SELECT case_id, row_number() OVER (ORDER BY key, case_id) AS n FROM t WHERE kind <> 1 AND case_id NOT IN (SELECT case_id FROM deep) QUALIFY n <= 3)
+SELECT case_id, CASE WHEN n % 2 = 1 THEN 'deep_shadow' ELSE 'deep_visible' END AS mode, 'ASSERTION_FAILURE' AS outcome_1, 'ASSERTION_FAILURE' AS outcome_2 FROM deep
+UNION ALL SELECT case_id, CASE WHEN n % 2 = 1 THEN 'shadow' ELSE 'visible' END, 'ASSERTION_FAILURE', NULL FROM shallow""")
+def lazy_recoveries(spark, sf_dir):
+    """Two deep and three shallow recoveries of programs made from the suppliers; only the first waves of them are run."""
+    tasks = fixtures.doubling_or_not(A.table(spark, sf_dir, "supplier"), "s_suppkey")
+    return dataset.recoveries(tasks, 2, 3, seed=42, timeout=5).select("case_id", "mode", "outcome_1", "outcome_2")
+
+
 @query(f"""WITH t AS (SELECT conv_id, turn, text, role = 'assistant' AS ours, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS node FROM conversations),
 n AS (SELECT conv_id, node, ours, conv_id % 3 AS kind, CASE WHEN ours THEN text || '<PREDICTION>PASS</PREDICTION>' ELSE text END AS said FROM t),
 c AS (SELECT conv_id, any_value(kind) AS kind, sum(length(said)) AS n_tokens, CAST(count(*) FILTER (ours) AS BIGINT) AS labels FROM n GROUP BY conv_id)
