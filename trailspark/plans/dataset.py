@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import json
 import os
 import shutil
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from trailspark.functions.text import rstrip
 from trailspark.operators import execution, quality, replay, sft, split, transcript
 from trailspark.session import cut
-from trailspark.sources.lines import file_digests, publish_text, read_lines, write_jsonl, write_manifest
+from trailspark.sources import ordered
+from trailspark.sources.lines import file_digests, publish_text, write_jsonl, write_manifest
 
 ARMS = ("a", "b")
 PARTS = {"first": "sft", "second": "rl", "rest": "test"}
@@ -125,21 +127,24 @@ def prepare(
         raise ValueError("more training tasks than the parts take")
     chosen = recoveries(placed.where("split = 'sft'"), n_deep, n_shallow, seed=seed, timeout=timeout).checkpoint()
     rows = transcript.task_rows(placed)
+    artifacts = {}
     with staged(output) as folder:
         for arm in ARMS:
             own = rows.where(F.col("arm") == arm)
             for label in LABELS[1:]:
                 if label in sizes:
-                    write_jsonl(own.where(F.col("split") == label), f"{folder}/arm_{arm}_{label}", ["case_id"])
+                    artifacts |= written(own.where(F.col("split") == label), folder, f"arm_{arm}_{label}")
             traced = placed.select("case_id", "code").join(own.where("split = 'sft'"), "case_id").join(chosen, "case_id", "left")
-            write_jsonl(sft.traces(traced, arm), f"{folder}/arm_{arm}_sft", ["case_id"])
+            artifacts |= written(sft.traces(traced, arm), folder, f"arm_{arm}_sft")
         for r in placed.select("case_id").toLocalIterator():
             project = folder / "blueprints" / r.case_id
             project.mkdir(parents=True)
             (project / "solution.py").write_text(sft.PLACEHOLDER, encoding="utf-8")
         supervised = spark.read.json(f"{folder}/arm_a_sft")
         assigned = [r.asDict() for r in assignments(supervised).orderBy("task_id").collect()]  # a row a supervised task
-        publish_text(f"{folder}/assignments.json", json.dumps(assigned, indent=2, sort_keys=True) + "\n")
+        listing = json.dumps(assigned, indent=2, sort_keys=True) + "\n"
+        publish_text(f"{folder}/assignments.json", listing)
+        artifacts["assignments.json"] = {"sha256": hashlib.sha256(listing.encode()).hexdigest(), "bytes": len(listing.encode())}
         outcomes = Counter(x for r in chosen.select("outcome_1", "outcome_2").collect() for x in r if x is not None)
         id_lists = {r.split: sorted(r.ids) for r in placed.where("split <> 'test'").groupBy("split").agg(F.collect_list("task_id").alias("ids")).collect()}
         summary = {
@@ -147,7 +152,12 @@ def prepare(
             **{f"{label}_task_ids": found for label, found in id_lists.items()}, **{f"{name}_ids": f"{low}-{high}" for name, (low, high) in (ids or {}).items()},
         }
         named = {"tasks": source, **({"validation": validation} if validation else {}), **({"test": test} if test else {})}
-        write_manifest(f"{folder}/manifest.json", digests(spark, str(folder)), {k: {"path": v, "sha256": source_digest(spark, v)} for k, v in named.items()}, summary)
+        write_manifest(f"{folder}/manifest.json", artifacts, {k: {"path": v, "sha256": source_digest(spark, v)} for k, v in named.items()}, summary)
+
+
+def written(rows: DataFrame, folder: Path, name: str) -> dict[str, dict]:
+    """The parts of an artifact by their path in the data set, as their writers reported them."""
+    return {f"{name}/{part['path']}": part for part in write_jsonl(rows, f"file://{folder}/{name}", ["case_id"])}
 
 
 def with_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -181,10 +191,10 @@ def digests(spark: SparkSession, output: str) -> DataFrame:
 
 
 def in_order(spark: SparkSession, output: str, arm: str, label: str) -> DataFrame:
-    """(line, fields as text) of an artifact of tasks, in the order of its file."""
+    """(line, fields as text) of an artifact of tasks, numbered over its parts."""
     row = F.try_parse_json("value")
     fields = [F.try_variant_get(row, f"$.{f}", "string").alias(f) for f in TASK_FIELDS]
-    return read_lines(spark, f"{output}/arm_{arm}_{label}/part-*").select("line", *fields, F.try_variant_get(row, "$.prompt[1].content", "string").alias("user"))
+    return ordered.first_lines(spark, f"{output}/arm_{arm}_{label}").select("line", *fields, F.try_variant_get(row, "$.prompt[1].content", "string").alias("user"))
 
 
 def placeholders(spark: SparkSession, output: str, ids: DataFrame) -> DataFrame:

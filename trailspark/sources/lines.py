@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trailspark.sources import ordered
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value) of the lines that are not blank, numbered from 1 in each file.
@@ -39,25 +41,22 @@ def read_jsonl(spark: SparkSession, path: str, *, require_rows: bool = False) ->
     return lines.select("line", F.when(is_object, row).otherwise(failed.cast("variant")).alias("row"))
 
 
-def read_tasks(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Task rows in line order with defaults; a row without its required fields fails."""
+def read_tasks(spark: SparkSession, path: str, limit: int | None = None, *, split_bytes: int = ordered.SPLIT_BYTES) -> DataFrame:
+    """Task rows with their place ``idx`` and defaults, the first ``limit`` of them or all; a row without its required fields fails.
+
+    Only the splits that hold the first rows are read, and each numbers its own.
+    """
     fields = "arm string, blueprint_root string, case_id string, prompt array<struct<role:string,content:string>>, source string, split string, task_id long, test_code string, trace_prefix string"
-    rows = read_lines(spark, path).withColumn("t", F.from_json("value", fields)).orderBy("line")
-    rows = rows.limit(limit) if limit is not None else rows
+    rows = ordered.first_lines(spark, path, limit, split_bytes=split_bytes).withColumn("t", F.from_json("value", fields))
     needed = F.col("t.case_id").isNotNull() & F.col("t.prompt").isNotNull() & F.col("t.blueprint_root").isNotNull() & F.col("t.test_code").isNotNull()
     failed = F.raise_error(F.concat(F.lit(f"{path}:"), F.col("line").cast("string"), F.lit(": missing fields")))
-    idx = F.row_number().over(_in_order()) - 1
     return rows.select(
-        F.when(needed, F.col("t.case_id")).otherwise(failed.cast("string")).alias("case_id"), idx.alias("idx"), F.coalesce("t.arm", F.lit("a")).alias("arm"),
-        F.coalesce("t.source", F.lit("mbpp")).alias("source"), F.coalesce("t.task_id", idx.cast("long")).alias("source_task_id"), "t.prompt", "t.blueprint_root",
+        F.when(needed, F.col("t.case_id")).otherwise(failed.cast("string")).alias("case_id"), F.col("idx").cast("int").alias("idx"), F.coalesce("t.arm", F.lit("a")).alias("arm"),
+        F.coalesce("t.source", F.lit("mbpp")).alias("source"), F.coalesce("t.task_id", "idx").alias("source_task_id"), "t.prompt", "t.blueprint_root",
         F.coalesce(F.nullif("t.trace_prefix", F.lit("")), "t.blueprint_root").alias("trace_prefix"), "t.test_code", "t.split",
     )
 
 
-def _in_order():
-    return Window.orderBy("line")  # over one numbered file
-
-
 def present(row: Column, path: str) -> Column:
     """Whether a field is there, even if null."""
     return F.try_variant_get(row, path, "variant").isNotNull()
@@ -122,12 +121,15 @@ def load_outcomes(spark: SparkSession, path: str) -> DataFrame:
 
     A variant sorts its keys, so rewards are read from the line itself.
     """
-    checked = read_jsonl(spark, path).select("line", F.try_variant_get("row", "$.task.data.name", "string").alias("name"))
-    said = read_lines(spark, path).select(F.col("line").alias("at"), F.from_json("value", "rewards map<string,string>")["rewards"].alias("r"))
-    first = F.get(F.map_values("r"), F.lit(0))
+    rows = read_lines(spark, path)
+    row = F.try_parse_json("value")
+    failed = F.raise_error(F.concat(F.lit(f"{path}:"), F.col("line").cast("string"), F.lit(": expected a JSON object"))).cast("string")
+    name = F.when(F.coalesce(F.schema_of_variant(row).startswith("OBJECT"), F.lit(False)), F.try_variant_get(row, "$.task.data.name", "string")).otherwise(failed)
+    first = F.get(F.map_values(F.from_json("value", "rewards map<string,string>")["rewards"]), F.lit(0))
+    read = rows.select("line", name.alias("name"), first.alias("first"))
+    first = F.col("first")
     passed = F.when(first == "true", 1.0).when(first == "false", 0.0).otherwise(first.try_cast("double")) > 0
-    rows = checked.join(said, F.col("line") == F.col("at"))
-    return rows.groupBy("name").agg(F.max_by(F.coalesce(passed.cast("int"), F.lit(0)), "line").alias("outcome"))
+    return read.groupBy("name").agg(F.max_by(F.coalesce(passed.cast("int"), F.lit(0)), "line").alias("outcome"))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -135,14 +137,20 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
-def write_jsonl(df: DataFrame, path: str, order: list[str]) -> None:
-    """One JSON object a line with sorted keys, in order: one output file, for artifacts of a data set."""
-    df.orderBy(*order).select(*sorted(df.columns)).coalesce(1).write.mode("overwrite").json(path)
+def write_jsonl(df: DataFrame, path: str, order: list[str]) -> list[dict]:
+    """One JSON object a line with sorted keys, in order, in as many parts as the rows need; returns the reports of the parts.
+
+    Rows are dealt by ranges of ``order``, which adaptive execution sizes.  Nulls
+    are left out.
+    """
+    line = F.to_json(F.struct(*sorted(df.columns)))
+    ordered.write_lines(df.repartitionByRange(*order).sortWithinPartitions(*order).select(line.alias("value")), path)
+    return ordered.parts_of(path)
 
 
-def write_manifest(path: str, artifacts: DataFrame, sources: dict, split: dict) -> None:
-    """The manifest document, published by an atomic rename; ``artifacts`` has a row per file."""
-    found = {r.path: {"sha256": r.sha256, "bytes": r.bytes} for r in artifacts.collect()}
+def write_manifest(path: str, artifacts: dict[str, dict], sources: dict, split: dict) -> None:
+    """The manifest document, published by an atomic rename; ``artifacts`` has the digest and size of each file."""
+    found = {name: {"sha256": a["sha256"], "bytes": a["bytes"]} for name, a in artifacts.items()}
     publish_text(path, json.dumps({"artifacts": found, "sources": sources, "split": split}, indent=2, sort_keys=True) + "\n")
 
 
