@@ -346,7 +346,7 @@ def test_html_copies_of_an_article_are_kept(spark):
 
 
 def brute_templates(pages):
-    """Occurrence vectors as dictionaries of pages, without hashes of them or partial sums: host -> (slots, runs)."""
+    """Occurrence vectors as dictionaries of pages, without hashes of them or partial sums: host -> (slots, runs, links)."""
     by_host = defaultdict(list)
     for at, (_, url, html) in enumerate(pages):
         m = re.match(r"[A-Za-z][\w+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", url or "")
@@ -357,9 +357,10 @@ def brute_templates(pages):
     for host, ps in by_host.items():
         if len(ps) < htmltext.MIN_PAGES and host != htmltext.ALL:
             continue
-        vector, chars, up, tag, kind, seen = defaultdict(dict), Counter(), {}, {}, {}, defaultdict(set)
+        vector, chars, linked, up, tag, kind, seen = defaultdict(dict), Counter(), Counter(), {}, {}, {}, defaultdict(set)
         for at, rows_, longest in ps:
-            for token, parent, k, t, n, c in rows_:
+            for token, parent, k, t, n, c, x in rows_:
+                linked[token] += x
                 vector[token][at] = n
                 chars[token] += c
                 up[token], tag[token], kind[token] = parent if token else None, t, k
@@ -379,7 +380,7 @@ def brute_templates(pages):
         if not slots:
             named = [t for t in elements if tag[t] in ("article", "main")]
             slots = sorted(t for t in named if up[t] not in named)
-        out[host] = slots, sorted(runs)
+        out[host] = slots, sorted(runs), sorted(t for t in elements if tag[t] in htmltext._HOLDS_BLOCKS and linked[t] > chars[t] and t not in slots)
     return out
 
 
@@ -414,13 +415,59 @@ def test_html_template_deduction_is_brute_force(spark):
         part = "<div class='share'><p>Share this story</p></div>" if i % 3 else ""
         pages.append((900 + i, f"http://odd.org/{i}", f"<body><main><h2>{prose(rng, 3)}</h2>{part}<p>{prose(rng, 30)}</p>{'<p>often</p>' * (i % 2)}</main><div>{prose(rng, 2)}</div></body>"))
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    got = {r.host: (r.slots, r.runs) for r in htmltext.templates(df.repartition(7)).collect()}
+    got = {r.host: (r.slots, r.runs, r.links) for r in htmltext.templates(df.repartition(7)).collect()}
     want = brute_templates(pages)
     assert got == want and len(want) > 3 and want["odd.org"][1] and want["bugle.com"][1]
     texts = {r.page_id: r.main_text for r in htmltext.extract_main(df).where("url LIKE 'http://odd.org/%'").collect()}
     assert not any("Share this" in t for t in texts.values())
 
 
+def test_html_template_decides_without_names(spark, monkeypatch):
+    """The given pages with their articles renamed and all lists of names empty: the slot is still the article, and only by its template."""
+    given = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()]
+    want = [htmltext.extract(h) for _, _, h in given]
+    never = re.compile(r"(?!)")
+    for name, empty in (("_FURNITURE", frozenset()), ("_ROLES", frozenset()), ("_HEADERS", frozenset()), ("_MAIN", frozenset()), ("_NAMES", never), ("_ODD_NAMES", never)):
+        monkeypatch.setattr(htmltext, name, empty)
+    renamed = [(i, u, re.sub(r"(</?)article\b", r"\1div", h)) for i, u, h in given]
+    found = brute_templates(renamed)
+    got, alone = [], []
+    for _, url, h in renamed:
+        host = re.match(r"\w+://(?:[^/?#@]*@)?([^/?#:]+)", url)[1].lower()
+        got.append(htmltext.extract(h, *found.get(host, found[htmltext.ALL])))
+        alone.append(htmltext.extract(h))
+    assert got == want
+    assert sum(a != w for a, w in zip(alone, want, strict=True)) > 0.9 * len(want)
+
+
+def test_html_extraction_is_brute_force(spark):
+    """The texts of 250 given pages against blocks cut out by patterns alone."""
+    import html as html_lib
+
+    sf = "/root/testdata/sf0.01"
+    got = {r.page_id: r.text for r in queries.op5_html_text(spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        body = re.search(r"<article>(.*)</article>", r.html or "", re.S)[1]
+        body = re.sub(r"<br\s*/?>", "\n", re.sub(r"<!--.*?-->", "", body, flags=re.S))
+        blocks = [" ".join(html_lib.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:h1|h2|p|ul|ol|li|div|blockquote|pre|table|tr|td)\b[^>]*>", body)]
+        assert got[r.page_id] == "\n\n".join(b for b in blocks if b), r.page_id
+
+
+def test_html_formulas_labels_and_slots_of_any_name(spark):
+    """Text of formulas, labels and code stays; a slot inside an element that names would drop is still the slot; lists of links in it go."""
+    page = (
+        "<body><form id='aspnet'><div class='menu'><a href='/a'>A</a></div><div class='box'><h1>T{n}</h1><p>Let {n} <math><mi>x{n}</mi><mo>={n}</mo></math> be {n} <code>a&lt;b{n}</code>.{n}</p>"
+        "<p><label>Note {n}</label> and {n} <object>fallback {n}</object></p><div class='more'><a href='/1'>See also one {n}</a> <a href='/2'>and two</a></div><p>{said}</p></div><div class='low'>Legal {n}</div></form></body>"
+    )
+    rng = random.Random(5)
+    data = [(i, "http://any.com/", page.format(n=i, said=prose(rng, 30))) for i in range(12)]
+    got = dict(rows(htmltext.extract_main(spark.createDataFrame(data, "page_id long, url string, html string")), "page_id", "main_text"))
+    said = {i: re.search(r"<p>([^<]*)</p></div><div class='low'>", h)[1] for i, _, h in data}
+    assert got == {i: f"T{i}\n\nLet {i} x{i}={i} be {i} a<b{i}.{i}\n\nNote {i} and {i} fallback {i}\n\n{said[i]}" for i in range(12)}
+    own = htmltext.extract("<article><p>Let <math><mi>x</mi></math> be.</p><p><label>L</label> m</p></article>")
+    assert own == "Let x be.\n\nL m"
+
+
 def test_html_article_parts_under_doubtful_names_stay(spark):
     page = "<body><article><h1>T{n}</h1><div class='search'><p>How binary search works {n}</p></div><div class='related'><a href='/x'>More like this</a> <a href='/y'>and this</a></div><p>End.</p></article></body>"
     df = spark.createDataFrame([(i, "http://s.com/", page.format(n=i)) for i in range(3)], "page_id long, url string, html string")

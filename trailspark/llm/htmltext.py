@@ -21,12 +21,18 @@ slots, links aside.  An ``article`` or ``main`` breaks ties: the slot is not
 sought below it, and it is taken where no other element stands out.  Hosts of
 fewer than ``MIN_PAGES`` pages use the template of all pages taken together.
 
+All elements have tokens and classes, menus, adverts and footers too, so what the
+main slot leaves out is decided by the template, whatever it is called.  Template
+elements inside the slot whose text is mostly links on the host's pages are
+furniture as well.
+
 *Extraction.*  A page's text is what its main slot holds, without the template's
-words and without what the slot holds besides an article: elements that are
-furniture by tag or role, or by a class or id that says so (``_NAMES``); names
-that an article may use as well (``_ODD_NAMES``) count only where most of the
-element's text is links.  A page without the main slot goes by its own
-``article`` or ``main``, or else by its blocks that are not mostly links.
+words and furniture.  Inside the slot, where a page has parts of its own, names
+break ties: elements that are furniture by tag or role, or by a class or id that
+says so (``_NAMES``), go; names that an article may use as well (``_ODD_NAMES``)
+count only where most of the element's text is links.  A page without the main
+slot goes by its own ``article`` or ``main``, or else by its blocks that are not
+mostly links, both without furniture by tag and name.
 
 Templates are broadcast under ``broadcast_bytes``, else joined by host.  Parsing
 takes time in proportion to the page, however it is malformed or nested.
@@ -61,7 +67,7 @@ MIN_PAGES = 8
 DIFFERING = 5
 ALL = "*"
 
-_RAW = "script|style|noscript|template|svg|iframe|textarea|select|math|object|canvas|title"
+_RAW = "script|style|noscript|template|svg|iframe|textarea|select|canvas|title"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*+>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z!?][^>]*+(?:>|\Z)",
@@ -75,11 +81,11 @@ _BLOCK = frozenset(
 )
 #: Elements that can be a main slot.
 _HOLDS_BLOCKS = frozenset("article aside blockquote body center dd div dl figure html main ol section table tbody td tr ul".split())
-_FURNITURE = frozenset("aside button dialog fieldset footer form head label menu nav".split())
+_FURNITURE = frozenset("aside button dialog fieldset footer form head menu nav".split())
 _SUFFIX = r"(?:[-_](?:box|bar|list|wrapper|container|section|area|block|links?|form|slot|unit|banner|notice|menu|top|bottom|left|right|thread|item|body|text))*"
 _NAMES = re.compile(
     r"(?:ads?|adverts?|advertis\w*|sponsor\w*|nav|navbar|navigation|menu|sidebar|breadcrumbs?|footer|masthead|cookies?|consent|notices?"
-    rf"|notifications?|popup|modal|newsletter|comments?|respond|disqus\w*|pagination|pager|toolbar){_SUFFIX}"
+    rf"|notifications?|popup|modal|newsletter|comments?|respond|responses|reader[-_]\w+|disqus\w*|pagination|pager|toolbar){_SUFFIX}"
     r"|(?:site|page|main|top|left|right|side|bottom|user|reader|primary|secondary|global)[-_](?:ads?|header|footer|nav|navigation|menu|sidebar|banner|comments?|bar)",
     re.I,
 )
@@ -99,10 +105,10 @@ def _digest(text: str, under: int) -> int:
 class _Open:
     """An element: its token, and what holds for all inside it."""
 
-    __slots__ = ("drop", "link", "main", "odd", "parent", "tag", "token")
+    __slots__ = ("drop", "link", "main", "named", "odd", "parent", "tag", "token")
 
-    def __init__(self, tag, token, parent, drop, main, link, odd):
-        self.tag, self.token, self.parent, self.drop, self.main, self.link, self.odd = tag, token, parent, drop, main, link, odd
+    def __init__(self, tag, token, parent, named, drop, main, link, odd):
+        self.tag, self.token, self.parent, self.named, self.drop, self.main, self.link, self.odd = tag, token, parent, named, drop, main, link, odd
 
 
 def _element(tag: str, attributes: str, parent: _Open) -> _Open:
@@ -110,19 +116,18 @@ def _element(tag: str, attributes: str, parent: _Open) -> _Open:
     classes = found.get("class", "").split()
     role = found.get("role", "").lower()
     main = tag in _MAIN or role in _MAIN or found.get("itemprop", "").lower() == "articlebody"
-    drop, odd = parent.drop, parent.odd
-    if not drop and tag not in ("html", "body"):
+    named, head, odd = False, False, parent.odd
+    if tag not in ("html", "body"):
         if main:
-            drop = any(_NAMES.fullmatch(c) for c in classes) and not parent.main and tag != "main" or parent.main and any(re.match("(?i)comment", c) for c in classes)
+            named = any(_NAMES.fullmatch(c) for c in classes) and not parent.main and tag != "main" or parent.main and any(re.match("(?i)comment", c) for c in classes)
         else:
             names = [*classes, *found.get("id", "").split()]
-            drop = tag in _FURNITURE or role in _ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or any(_NAMES.fullmatch(c) for c in names)
-            head = tag == "header" or any(c.lower() in _HEADERS for c in names)
-            drop = drop or head and not parent.main
-            if odd is None and not drop and any(_ODD_NAMES.fullmatch(c) for c in names):
+            named = tag in _FURNITURE or role in _ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or any(_NAMES.fullmatch(c) for c in names)
+            head = (tag == "header" or any(c.lower() in _HEADERS for c in names)) and not parent.main
+            if odd is None and not named and any(_ODD_NAMES.fullmatch(c) for c in names):
                 odd = [0, 0]  # characters inside, and those in links
     token = _digest(tag + "".join(f".{c}" for c in sorted(set(classes))), parent.token)
-    return _Open(tag, token, parent, drop, main or parent.main, parent.link or tag == "a", odd)
+    return _Open(tag, token, parent, named, parent.drop or named or head, main or parent.main, parent.link or tag == "a", odd)
 
 
 class _Stack:
@@ -167,7 +172,7 @@ class _Stack:
 
 def segments(text: str) -> Iterator[tuple[str, _Open, bool]]:
     """(raw text, element, starts a block); each element opened is also given with empty text."""
-    stack, at, fresh = _Stack(_Open("", 0, None, False, False, False, None)), 0, True
+    stack, at, fresh = _Stack(_Open("", 0, None, False, False, False, False, None)), 0, True
     for m in _TOKEN.finditer(text):
         if m.start() > at:
             yield text[at : m.start()], stack.items[-1], fresh
@@ -201,36 +206,39 @@ PAGE, ELEMENT, RUN = 0, 1, 2
 
 
 def tokens(text: str | None) -> tuple[list[tuple], int]:
-    """(token, parent, kind, tag, count, characters of text outside links inside) of a page, and a hash of its longest text run."""
-    found: dict[int, list] = {0: [0, None, PAGE, "", 1, 0]}
+    """(token, parent, kind, tag, count, characters of text outside links inside, and of links) of a page, and a hash of its longest text run."""
+    found: dict[int, list] = {0: [0, None, PAGE, "", 1, 0, 0]}
     longest = ""
     for raw, element, _ in segments(text or ""):
-        if element.drop:
-            continue
         if not raw:
             if (row := found.get(element.token)) is not None:
                 row[4] += 1
             else:
-                found[element.token] = [element.token, element.parent.token, ELEMENT, "article" if element.main and not element.parent.main else element.tag, 1, 0]
-        elif not element.link and (said := _plain(raw)):
+                found[element.token] = [element.token, element.parent.token, ELEMENT, "article" if element.main and not element.parent.main else element.tag, 1, 0, 0]
+        elif not (said := _plain(raw)):
+            continue
+        elif element.link:
+            found[element.token][6] += len(said)
+        else:
             token = _digest(f" {said}", element.token)
-            row = found.setdefault(token, [token, element.token, RUN, "", 0, 0])
+            row = found.setdefault(token, [token, element.token, RUN, "", 0, 0, 0])
             row[4] += 1
             row[5] += len(said)
             longest = max(longest, said, key=len)
     for row in reversed(found.values()):  # parents come before what they hold
         if row[1] is not None:
             found[row[1]][5] += row[5]
+            found[row[1]][6] += row[6]
     found[0][1] = 0  # a null would make numbers of all parents inexact
     return [tuple(r) for r in found.values()], _digest(longest, 1)
 
 
-def deduce(rows: list) -> tuple[list[int], list[int]]:
-    """Main slots and text runs of the template of one host; ``rows``: token, parent, kind, tag, pages, n, signature, chars, differing."""
+def deduce(rows: list) -> tuple[list[int], list[int], list[int]]:
+    """Main slots, text runs, and furniture inside the slots, of the template of one host; ``rows``: token, parent, kind, tag, pages, n, signature, chars, linked, differing."""
     known = {r["token"]: r for r in rows}
     whole = known.get(0)
     if whole is None:
-        return [], []
+        return [], [], []
     above = {r["token"]: r["parent"] if r["token"] else None for r in rows}
     classes: dict[tuple, list] = defaultdict(list)
     for r in rows:
@@ -279,39 +287,50 @@ def deduce(rows: list) -> tuple[list[int], list[int]]:
     if not slots:
         named = {r["token"] for r in elements if r["tag"] in _MAIN}
         slots = sorted(t for t in named if above[t] not in named)
-    return slots, sorted(r["token"] for r in runs)
+    links = sorted(r["token"] for r in elements if r["tag"] in _HOLDS_BLOCKS and r["linked"] > r["chars"] and r["token"] not in slots)
+    return slots, sorted(r["token"] for r in runs), links
 
 
-def extract(text: str | None, slots: list[int] = (), runs: list[int] = ()) -> str:
-    """The blocks of the main slots, or of the page's own article if it has none of them, without the template's text runs."""
-    slots, runs = set(slots), set(runs)
-    held: dict[int, bool] = {}
+#: Where an element is: outside the main slots, inside, or inside something that goes.
+OUTSIDE, INSIDE, GONE = 0, 1, 2
+
+
+def extract(text: str | None, slots: list[int] = (), runs: list[int] = (), links: list[int] = ()) -> str:
+    """The blocks of the main slots, or of the page's own article if it has none of them, without the template's text runs and lists of links."""
+    slots, runs, links = set(slots), set(runs), set(links)
+    held: dict[int, int] = {}
     blocks: list[list[tuple]] = []
     in_slot = in_main = False
 
-    def inside(element: _Open) -> bool:
+    def inside(element: _Open) -> int:
         chain = []
         while element is not None and id(element) not in held:
             chain.append(element)
             element = element.parent
-        under = element is not None and held[id(element)]
+        where = OUTSIDE if element is None else held[id(element)]
         for e in reversed(chain):
-            under = under or e.token in slots
-            held[id(e)] = under
+            if where == OUTSIDE and e.token in slots:
+                where = INSIDE  # whatever the slot or what holds it is called
+            elif where == INSIDE and (e.named or e.token in links):
+                where = GONE
+            held[id(e)] = where
             kept.append(e)
-        return under
+        return where
 
     kept: list[_Open] = []  # so that an id stays that of its element
     for raw, element, fresh in segments(text or ""):
         if fresh and (not blocks or blocks[-1]) or not blocks:
             blocks.append([])
-        if not raw or element.drop or runs and _digest(f" {_plain(raw)}", element.token) in runs:
+        if not raw:
+            continue
+        where = inside(element) if slots else OUTSIDE
+        if where == GONE or where == OUTSIDE and element.drop or runs and _digest(f" {_plain(raw)}", element.token) in runs:
             continue
         size = len(raw.strip())
         if element.odd is not None:
             element.odd[0] += size
             element.odd[1] += size if element.link else 0
-        slot = bool(slots) and inside(element)
+        slot = where == INSIDE
         in_slot, in_main = in_slot or slot and size > 0, in_main or element.main and size > 0
         blocks[-1].append((raw, slot, element.main, element.link, element.odd))
     out = []
@@ -327,14 +346,14 @@ def extract(text: str | None, slots: list[int] = (), runs: list[int] = ()) -> st
     return "\n\n".join(out)
 
 
-_TOKENS = "struct<differing:long,tokens:array<struct<token:long,parent:long,kind:int,tag:string,n:int,chars:long>>>"
-_TEMPLATE = "slots array<long>, runs array<long>"
+_TOKENS = "struct<differing:long,tokens:array<struct<token:long,parent:long,kind:int,tag:string,n:int,chars:long,linked:long>>>"
+_TEMPLATE = "slots array<long>, runs array<long>, links array<long>"
 
 
 def templates(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(host, slots, runs) of each host with pages enough, and of all pages under ``ALL``: a written table."""
+    """(host, slots, runs, links) of each host with pages enough, and of all pages under ``ALL``: a written table."""
     short_batches(pages.sparkSession)
-    names = ("token", "parent", "kind", "tag", "n", "chars")
+    names = ("token", "parent", "kind", "tag", "n", "chars", "linked")
 
     def tokenise(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -347,7 +366,7 @@ def templates(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", h
     rows = rows.select("host", "page", "t.differing", F.explode("t.tokens").alias("t")).select("host", "page", "differing", "t.*")
     # partial sums add up in any order: a page contributes hash(page, count) to a token's vector
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("signature")
-    total = [F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.bit_or("differing").alias("differing")]
+    total = [F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.bit_or("differing").alias("differing")]
     of_host = rows.groupBy("host", "token", "parent", "kind", "tag").agg(F.count("*").alias("pages"), vector, *total)
     # a text run on fewer pages is no template
     of_host, _ = written(of_host.where((F.col("kind") != RUN) | (F.col("pages") >= MIN_PAGES)), "page-tokens")
@@ -356,12 +375,12 @@ def templates(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", h
     known = of_host.select(*every.columns).unionByName(every)
     whole = known.where(F.col("kind") == PAGE).select("host", F.col("pages").alias("of")).where((F.col("of") >= MIN_PAGES) | (F.col("host") == ALL))
     frequent = known.join(whole, "host").where(F.col("pages") >= MIN_SUPPORT * F.col("of"))
-    row = F.struct("token", "parent", "kind", "tag", "pages", "n", F.col("signature").cast("string").alias("signature"), "chars", "differing")
+    row = F.struct("token", "parent", "kind", "tag", "pages", "n", F.col("signature").cast("string").alias("signature"), "chars", "linked", "differing")
     lists = frequent.groupBy("host").agg(F.collect_list(row).alias("rows"))  # at most twice the tokens of a mean page
 
     def choose(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for lists in batches:
-            yield pd.DataFrame([deduce(list(rows)) for rows in lists], columns=["slots", "runs"])
+            yield pd.DataFrame([deduce(list(rows)) for rows in lists], columns=["slots", "runs", "links"])
 
     return written(lists.select("host", F.pandas_udf(choose, _TEMPLATE)("rows").alias("t")).select("host", "t.*"), "page-templates")[0]
 
@@ -370,15 +389,15 @@ def extract_main(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
     """``pages`` with the column ``into``."""
     found = templates(pages, page_id=page_id, url=url, html=html)
     general = found.where(F.col("host") == ALL).first()
-    common = (general.slots, general.runs) if general else ((), ())
+    common = (general.slots, general.runs, general.links) if general else ((), (), ())
     key, host, template = (spare_name(pages, f"template_{x}") for x in ("key", "host", "of"))
-    found = found.where(F.col("host") != ALL).select(F.col("host").alias(host), F.struct("slots", "runs").alias(template))
-    size = found.agg(F.sum(F.octet_length(host) + 8 * (F.size(f"{template}.slots") + F.size(f"{template}.runs")) + 64)).first()[0] or 0
+    found = found.where(F.col("host") != ALL).select(F.col("host").alias(host), F.struct("slots", "runs", "links").alias(template))
+    size = found.agg(F.sum(F.octet_length(host) + 8 * (F.size(f"{template}.slots") + F.size(f"{template}.runs") + F.size(f"{template}.links")) + 64)).first()[0] or 0
     found = F.broadcast(found) if size <= broadcast_bytes else found
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, slots, runs in batches:
-            yield pd.Series([extract(t, *(common if s is None else (list(s), list(r)))) for t, s, r in zip(texts, slots, runs, strict=True)])
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for texts, *parts in batches:
+            yield pd.Series([extract(t, *(common if own[0] is None else map(list, own))) for t, own in zip(texts, zip(*parts, strict=True), strict=True)], dtype=object)
 
     joined = pages.withColumn(key, F.coalesce(host_of(F.col(url)), F.lit(""))).join(found, F.col(key) == F.col(host), "left")
-    return joined.withColumn(into, F.pandas_udf(run, "string")(F.col(html), F.col(f"{template}.slots"), F.col(f"{template}.runs"))).drop(key, host, template)
+    return joined.withColumn(into, F.pandas_udf(run, "string")(F.col(html), *(F.col(f"{template}.{c}") for c in ("slots", "runs", "links")))).drop(key, host, template)
