@@ -112,6 +112,18 @@ def test_contamination_of_small_alphabet(spark):
         assert (len(words), sum(b - a for a, b in spans), len(found)) == (n, n_hit, n_items)
 
 
+@pytest.mark.parametrize("window", [200, 259, 300, 700])
+def test_contamination_by_long_windows(spark, window):
+    """Shifts of a long window take more than a byte."""
+    rng = random.Random(window)
+    items = [(1, prose(rng, 800)), (2, prose(rng, 150)), (3, prose(rng, window))]
+    words = items[0][1].split()
+    texts = [" ".join(words[20 : 20 + window]), " ".join(words[20 : 19 + window]), "x " + items[1][1], prose(rng, 900) + " " + items[2][1] + " y", prose(rng, 1000)]
+    got = decontaminate.contamination(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string"), window=window)
+    found = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()}
+    assert found == {i: brute_overlap(t, items, window) for i, t in enumerate(texts)}
+
+
 def test_contamination_empty_and_repeated(spark):
     docs = documents(spark, ["a b", "a b"]).withColumn("doc_id", F.lit(7))
     empty = spark.createDataFrame([], "item_id long, text string")
@@ -977,18 +989,21 @@ def brute_pairs(turns, size=preference.SEGMENT_TURNS):
         text = f"<|im_start|>{r or ''}\n{x or ''}<|im_end|>\n"
         if c is None:
             span = [(len(text) - len(f"{x or ''}<|im_end|>\n"), len(text) - 1)] if r == "assistant" else []
-            out.append((None, t // size, "", text, "", span, [], False))
+            out.append((None, 0, "", text, "", span, [], False))
         else:
             found[c // 2]["rejected" if c % 2 else "chosen"][t].append((r, x))
     for p, sides in found.items():
         a, b = sides["chosen"], sides["rejected"]
         cut = min((t for t in {*a, *b} if not (len(a[t]) == len(b[t]) == 1 and a[t] == b[t])), default=None)
         a, b = ({t: ms for t, ms in x.items() if ms} for x in (a, b))
-        for segment in {t // size for t in {*a, *b}}:
+        numbers = {*a, *b}
+        top = max(numbers - {preference.LAST}, default=0)
+        of = lambda t: min(t, top) // size if len(numbers) > size else 0  # noqa: B023, E731
+        for segment in {of(t) for t in numbers}:
             said = {"prompt": "", "chosen": "", "rejected": ""}
             masks = {"prompt": [], "chosen": [], "rejected": []}
             for side, ts in (("chosen", a), ("rejected", b)):
-                for t in sorted(t for t in ts if t // size == segment):
+                for t in sorted(t for t in ts if of(t) == segment):
                     place = "prompt" if cut is None or t < cut else side
                     for r, x in sorted(ts[t], key=lambda m: tuple((v is not None, v or "") for v in m)) if (place, side) != ("prompt", "rejected") else ():
                         head = f"<|im_start|>{r or ''}\n"
@@ -1011,12 +1026,13 @@ def test_preferences_are_brute_force(spark):
     turns += [(4, 0, "user", "alone"), (6, 0, None, None), (7, 0, None, None), (6, 1, "assistant", ""), (7, 1, "assistant", None), (-2, -1, "assistant", "below"), (-1, -1, "assistant", "zero")]
     turns += [(8, 0, "user", "p"), (9, 0, "user", "p"), (9, 1, "assistant", "longer"), (10, 0, "u", "r"), (10, 0, "u", "r"), (11, 0, "u", "r"), (12, None, "user", "end"), (None, 0, "user", "nobody"), (None, 0, "user", "nobody")]
     turns += [(14 + k, t, "assistant" if t % 2 else "user", f"{t}{'!' * k if t > 700 else ''}") for k in (0, 1) for t in range(900)]  # long
+    turns += [(14, None, "user", "unnumbered"), (18, 1_700_000_000, "user", "s"), (19, 1_700_000_000, "user", "s"), (18, 1_700_000_900, "assistant", "t"), (19, 1_700_090_000, "assistant", "t"), (18, None, "user", "n"), (19, -5_000_000, "user", "z")]
     turns += [(16, 3, "assistant", "é漢😀"), (17, 3, "assistant", prose(random.Random(3), 20_000)), (None, None, "assistant", None)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash")).withColumn("cut", F.lit(1)).withColumn("segment", F.lit("clash"))
     out = preference.pairs(df, *preference.by_parity())
     assert pair_rows(out) == brute_pairs(turns)
-    assert all(r.part == 0 for r in out.collect()) and out.where("pair_id = 0").count() == 1
-    assert pair_rows(preference.pairs(df, *preference.by_parity(), segment_turns=4)) != brute_pairs(turns)
+    assert all(r.part == 0 for r in out.collect()) and out.where("pair_id = 0").count() == 1 and out.where("pair_id = 9").count() == 1 and out.where("pair_id = 7").count() == 4
+    assert pair_rows(preference.pairs(df, *preference.by_parity(), segment_turns=2)) == brute_pairs(turns, 2)
     assert preference.pairs(df.limit(0), *preference.by_parity()).count() == 0
 
 

@@ -78,13 +78,14 @@ def _build(items: Iterable[tuple[str | None, str | None]], window: int) -> dict[
     for length, found in by_length.items():
         block = min(2, length)
         digest = xxhash.xxh64_intdigest
+        kind = np.uint8 if length - block + 1 < 256 else np.uint32  # of a shift
         text, at, starts, owners, blocks, shifts, keys = bytearray(), [], [], [], [], [], []
         base = 0
         for owner, (_, words) in enumerate(found):
             patterns = len(words) - length + 1
             own = np.fromiter((digest(b" ".join(words[i : i + block])) for i in range(len(words) - block + 1)), np.uint64, len(words) - block + 1)
             blocks.append(own)
-            shifts.append(np.maximum(0, length - block - np.arange(len(own))).astype(np.uint8))  # only a pattern's first blocks are far from an end
+            shifts.append(np.maximum(0, length - block - np.arange(len(own))).astype(kind))  # only a pattern's first blocks are far from an end
             with np.errstate(over="ignore"):
                 keys.append((own[length - block :] * np.uint64(_ODD)) ^ own[:patterns])
             starts.append(base + np.arange(patterns, dtype=np.int64))
@@ -96,7 +97,7 @@ def _build(items: Iterable[tuple[str | None, str | None]], window: int) -> dict[
         at.append(len(text))
         blocks, shifts, keys, starts, owners = map(np.concatenate, (blocks, shifts, keys, starts, owners))
         size = 1 << max(10, (4 * len(blocks) - 1).bit_length())
-        table = np.full(size, length - block + 1, np.uint8)
+        table = np.full(size, length - block + 1, kind)
         np.minimum.at(table, (blocks & np.uint64(size - 1)).astype(np.int64), shifts)
         order = np.argsort(keys, kind="stable")
         keys, starts, owners = keys[order], starts[order], owners[order]
@@ -214,7 +215,7 @@ def build(benchmark: DataFrame, *, item_id: str = "item_id", item_text: str = "t
         rows = rows.sort_values(["i", "t"], kind="stable", na_position="last")
         path = f"{folder}/{int(rows['part'].iloc[0])}"
         _store(path, _build(zip(rows["i"].where(rows["i"].notna(), None), rows["t"], strict=True), window), str(TaskContext.get().taskAttemptId()))
-        return pd.DataFrame({"path": [path], "bytes": [int(rows["t"].str.len().sum())]})
+        return pd.DataFrame({"path": [path], "bytes": [sum(len(t.encode("utf-8", "surrogatepass")) for t in rows["t"])]})
 
     dealt = items.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(parts)).cast("int"))
     return sorted(tuple(r) for r in dealt.groupBy("part").applyInPandas(make, "path string, bytes long").collect())  # a row a part

@@ -10,9 +10,9 @@ where the pair diverges.  Both steps are partial aggregations over narrow rows,
 so neither a long conversation nor a popular first turn is gathered for it.
 
 *Pairs.*  A row holds a pair's prompt and both completions with their masks.
-Conversations longer than ``SEGMENT_TURNS`` turns, by turn number, take a row for
-every so many turns, in the order of ``segment``, so that no task gathers a whole
-long conversation; texts are shuffled once, by (pair, segment).  Turns repeated
+A pair of up to ``SEGMENT_TURNS`` turns is one row, however its turns are numbered.
+A longer one takes a row for every so many turn numbers, in the order of
+``segment``, so that no task gathers a whole long conversation; texts are shuffled once, by (pair, segment).  Turns repeated
 more than ``SEGMENT_TURNS`` times are dealt to segments of their own.
 
 Rendering is ``<|im_start|>role`` newline text ``<|im_end|>`` newline.  A mask lists
@@ -20,7 +20,7 @@ the characters ``[start, end)`` of its completion that carry loss: the text and
 end marker of each assistant turn.
 
 Defined cases: a null role renders as nothing but takes part in comparison, as
-does a null text; a null turn sorts last; a conversation without its partner
+does a null text; a null turn sorts last, in the last segment; a conversation without its partner
 has no prompt and is not ``paired``; two equal conversations are all prompt;
 repeated turns end the prompt and are all rendered, by role and text; an empty
 table gives no rows; texts of any length are rendered whole.  Rows with a null
@@ -73,11 +73,23 @@ def pairs(turns: DataFrame, pair: Column, side: Column, *, turn: str = "turn", r
     """
     rows = _turns(turns, pair, side, turn, role, text)
     met = _met(rows)
-    of_pair = met.groupBy("pair_id").agg(F.min(F.when(~F.col("same"), F.col("turn"))).alias("cut"), ((F.sum("c") > 0) & (F.sum("r") > 0)).alias("paired"))
-    segment = F.expr(f"(turn - pmod(turn, {segment_turns})) div {segment_turns}")  # whole numbers throughout
-    known = met.select("pair_id", segment.alias("segment")).distinct().join(of_pair, "pair_id")
+    numbered = F.when(F.col("turn") < LAST, F.col("turn"))
+    of_pair = met.groupBy("pair_id").agg(
+        F.min(F.when(~F.col("same"), F.col("turn"))).alias("cut"), ((F.sum("c") > 0) & (F.sum("r") > 0)).alias("paired"), F.count("*").alias("n_turns"), F.max(numbered).alias("highest")
+    )
+    # a pair of few turns is one segment, however they are numbered; turns without a number go with the last
+    long = of_pair.where(F.col("n_turns") > segment_turns).select("pair_id", "highest")
+    rows_of, turns_of = rows.where("pair_id IS NOT NULL"), met.select("pair_id", "turn")
+    segment = F.lit(0).cast("long")
+    if n_long := long.count():
+        long = F.broadcast(long) if 32 * n_long <= BROADCAST_BYTES else long
+        rows_of, turns_of = (x.join(long, "pair_id", "left") for x in (rows_of, turns_of))
+        low = "least(turn, highest)"
+        whole = F.expr(f"({low} - pmod({low}, {segment_turns})) div {segment_turns}")  # without fractions, which lose digits
+        segment = F.when(F.col("highest").isNotNull(), whole).otherwise(segment)
+    known = turns_of.select("pair_id", segment.alias("segment")).distinct().join(of_pair.select("pair_id", "cut", "paired"), "pair_id")
     hot = met.where(F.col("c") + F.col("r") > segment_turns).select("pair_id", "turn", F.ceil((F.col("c") + F.col("r")) / segment_turns).alias("parts"))
-    keyed = rows.where("pair_id IS NOT NULL").withColumn("segment", segment).withColumn("part", F.lit(0).cast("long"))
+    keyed = rows_of.withColumn("segment", segment).drop("highest").withColumn("part", F.lit(0).cast("long"))
     if n_hot := hot.count():  # a turn repeated so often is spread by its words and its input partition
         spread = F.pmod(F.xxhash64("role", "text", "here"), F.col("parts")) + 1
         hot = F.broadcast(hot) if 64 * n_hot <= BROADCAST_BYTES else hot  # beyond that, adaptive execution splits its keys
@@ -93,10 +105,10 @@ def pairs(turns: DataFrame, pair: Column, side: Column, *, turn: str = "turn", r
         F.array_sort(F.collect_list(F.when(~shared & (F.col("side") == "rejected"), said))).alias("r"),
     )
     nobody = rows.where("pair_id IS NULL").select(
-        "pair_id", segment.alias("segment"), F.lit(0).cast("long").alias("part"), F.lit(False).alias("paired"), F.array().cast("array<struct<turn:bigint,role:string,text:string>>").alias("p"),
+        "pair_id", F.lit(0).cast("long").alias("segment"), F.lit(0).cast("long").alias("part"), F.lit(False).alias("paired"), F.array().cast("array<struct<turn:bigint,role:string,text:string>>").alias("p"),
         F.array(said).alias("c"), F.array().cast("array<struct<turn:bigint,role:string,text:string>>").alias("r"),
     )
-    whole = lambda c: F.array_join(F.transform(c, lambda m: _rendered(m["role"], m["text"])[1]), "")
+    text_of = lambda c: F.array_join(F.transform(c, lambda m: _rendered(m["role"], m["text"])[1]), "")
 
     def mask(c: str) -> Column:
         spans = F.array().cast("array<struct<start:int,end:int>>")
@@ -110,5 +122,5 @@ def pairs(turns: DataFrame, pair: Column, side: Column, *, turn: str = "turn", r
         return F.aggregate(c, F.struct(F.lit(0).alias("at"), spans.alias("spans")), add)["spans"]
 
     return lists.unionByName(nobody).select(
-        "pair_id", "segment", "part", whole("p").alias("prompt"), whole("c").alias("chosen"), whole("r").alias("rejected"), mask("c").alias("chosen_mask"), mask("r").alias("rejected_mask"), "paired"
+        "pair_id", "segment", "part", text_of("p").alias("prompt"), text_of("c").alias("chosen"), text_of("r").alias("rejected"), mask("c").alias("chosen_mask"), mask("r").alias("rejected_mask"), "paired"
     )

@@ -178,9 +178,9 @@ WITH t AS (
 m AS (
   SELECT pair_id, turn, count(*) FILTER (side = 'chosen') AS c, count(*) FILTER (side = 'rejected') AS r, count(DISTINCT struct_pack(a := role, b := text)) AS d
   FROM t GROUP BY pair_id, turn),
-p AS (SELECT pair_id, min(turn) FILTER (NOT (c = 1 AND r = 1 AND d = 1)) AS cut, sum(c) > 0 AND sum(r) > 0 AS paired FROM m GROUP BY pair_id),
+p AS (SELECT pair_id, min(turn) FILTER (NOT (c = 1 AND r = 1 AND d = 1)) AS cut, sum(c) > 0 AND sum(r) > 0 AS paired, count(*) AS n_turns, max(turn) FILTER (turn < 9223372036854775807) AS highest FROM m GROUP BY pair_id),
 k AS (
-  SELECT t.*, paired, CAST((turn - ((turn % 256) + 256) % 256) // 256 AS BIGINT) AS segment, CASE WHEN cut IS NULL OR turn < cut THEN 'prompt' ELSE side END AS place,
+  SELECT t.*, paired, CAST(CASE WHEN n_turns > 256 THEN floor(least(turn, highest) / 256.0) ELSE 0 END AS BIGINT) AS segment, CASE WHEN cut IS NULL OR turn < cut THEN 'prompt' ELSE side END AS place,
          '<|im_start|>' || coalesce(role, '') || chr(10) AS header, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered
   FROM t JOIN p USING (pair_id)),
 o AS (
