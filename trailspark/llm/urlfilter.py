@@ -8,9 +8,12 @@ parent domain of a host, or host plus leading path) has ``action``: ``block``,
 next entry; ``remove`` only ends its predecessor.  Of several entries of a rule
 at one time the strictest holds (block, then allow, then remove).
 
-*As-of join.*  A capture looks up all parent domains of its host and all
+*As-of join.*  A capture looks up the parent domains of its host and the
 leading paths of its URL, and takes of each rule the entry active when it was
-fetched.  Intervals are cut at multiples of ``period`` days, so that the lookup
+fetched.  Only domains of as many labels and paths of as many steps as some rule
+of the list has are built, so a URL costs its length times these depths; as a
+rule with ``k`` steps has at least ``k`` characters, a list of ``n`` bytes has at
+most about the root of ``2 n`` of them.  Intervals are cut at multiples of ``period`` days, so that the lookup
 is an equi-join on (rule, period) with a residual range check and rules with
 many entries do not multiply the captures.  Only periods in which something was
 fetched count, so a capture with a freak date adds one period.  The most specific (longest) active
@@ -46,15 +49,15 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.lower(F.rtrim(host, F.lit("."))), F.lit(""))
 
 
-def rules_of(url: Column) -> Column:
-    """All rules that may hold for a URL: parent domains, and host with each leading path."""
+def rules_of(url: Column, labels: list[int], depths: list[int]) -> Column:
+    """The rules that may hold for a URL: its parent domains of as many ``labels``, and its host with paths of as many steps as ``depths``."""
     host = host_of(url)
-    labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    names = F.split(host, r"\.")
+    domains = F.transform(F.filter(F.lit(labels).cast("array<int>"), lambda i: i <= F.size(names)), lambda i: F.array_join(F.slice(names, -i, i), "."))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^?#]*)", 1)
     steps = F.filter(F.split(path, "/"), lambda x: x != "")
     paths = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(steps)), lambda i: i > 0), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, i), "/"))
+        F.filter(F.lit(depths).cast("array<int>"), lambda i: i <= F.size(steps)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, i), "/"))
     )
     return F.when(host.isNotNull(), F.array_distinct(F.concat(domains, paths)))
 
@@ -93,11 +96,15 @@ def evaluate(
     from_, to = period_of(F.col("valid_from"), period_days), period_of(F.col("valid_to"), period_days)
     held = F.filter(F.lit(present).cast("array<bigint>"), lambda x: (x >= from_) & (F.col("valid_to").isNull() | (x <= to)))
     list_ = validity(entries).select("rule", "action", "valid_from", "valid_to", F.explode(held).alias("period"))
-    size = list_.agg(F.coalesce(F.sum(F.octet_length("rule") + 64), F.lit(0))).first()[0]
+    depth, n_labels = F.regexp_count("rule", F.lit("/")), F.size(F.split("rule", r"\."))
+    size, depths, labels = list_.agg(
+        F.coalesce(F.sum(F.octet_length("rule") + 64), F.lit(0)), F.sort_array(F.collect_set(F.when(depth > 0, depth))), F.sort_array(F.collect_set(F.when(depth == 0, n_labels)))
+    ).first()
     if size <= broadcast_bytes:
         list_ = F.broadcast(list_)
-    keys = F.coalesce(F.when(F.col("at").isNotNull(), rules_of(F.col("u"))), F.array(F.lit(None).cast("string")))
-    asked = rows.withColumn("keys", keys).select("c", "u", "at", F.size("keys").alias("n_keys"), F.explode("keys").alias("k"))
+    nothing = F.array(F.lit(None).cast("string"))
+    keys = F.when(F.col("at").isNotNull(), rules_of(F.col("u"), labels, depths))
+    asked = rows.withColumn("keys", keys).withColumn("keys", F.when(F.size("keys") > 0, F.col("keys")).otherwise(nothing)).select("c", "u", "at", F.size("keys").alias("n_keys"), F.explode("keys").alias("k"))
     hit = (F.col("k") == F.col("rule")) & (period_of(F.col("at"), period_days) == F.col("period")) & (F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
     joined = asked.join(list_, hit, "left")
     best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", "action", "valid_from"))).alias("best")
