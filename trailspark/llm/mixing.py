@@ -6,7 +6,7 @@ source's size; the excess is shared again by weight until none is above.
 
 *Blocks.*  A source's words, document by document, are one stream cut every
 ``block_words`` words.  Streams are laid out by distributed prefix sums: rows are
-dealt by a hash of the document id to about the square root of their number of
+dealt by a hash of the document id (without one, of the text) to about the square root of their number of
 buckets, running sums are taken within a bucket and bucket totals are added, so
 no task sees a whole source.
 
@@ -140,11 +140,12 @@ def size_of(text):
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", block_words: int = BLOCK_WORDS, most: int = MOST, weights=WEIGHTS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, with_text: bool = False) -> Mix:
     spark = docs.sparkSession
-    columns = [F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size")]
+    salt = F.when(F.col(doc_id).isNull(), F.xxhash64(text))  # null, which a hash passes over, for rows with an id
+    columns = [F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), salt.alias("salt")]
     n_rows = docs.count()  # reads no column
     buckets = max(1, int(np.sqrt(n_rows)))
     dealt = docs.select(*columns, *([F.col(text).alias("text")] if with_text else []))
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)).cast("int"))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed), "salt"), F.lit(buckets)).cast("int")).drop("salt")
     within = Window.partitionBy("source", "bucket").orderBy("doc_id", "size")
     before = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1))
     placed, _ = written(dealt.withColumn("rn", F.row_number().over(within)).withColumn("start", F.coalesce(before, F.lit(0))), "places")
