@@ -5,10 +5,12 @@ import math
 import os
 import random
 import re
+import time
 import shutil
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -1043,3 +1045,51 @@ def test_preferences_spread_a_turn_repeated_often(spark):
     assert len(found) > 7 and max(r.chosen.count("<|im_start|>") for r in found) < 200
     assert sorted("".join(r.chosen for r in found).split("<|im_end|>\n")) == sorted("".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for c, t, r, x in turns[2:]).split("<|im_end|>\n"))
     assert all(r.chosen[s.start : s.end].endswith("<|im_end|>") for r in found for s in r.chosen_mask)
+
+
+# --- bounds of hot keys and long rows
+
+
+def test_url_list_long_urls_and_depths(spark):
+    """A URL of a megabyte is looked up whole, in seconds; rules of depths between those of the list are found."""
+    deep = "http://www.a.com/" + "/".join(f"s{i}" for i in range(200_000)) + "?q"
+    dots = "http://" + "x." * 20_000 + "b.org/"
+    steps = "/".join(f"s{i}" for i in range(300))
+    entries = [(f"www.a.com/{steps}", "2024-01-01", "block"), ("a.com", "2024-01-01", "allow"), ("b.org", "2024-01-01", "block"), ("c.org/x/y", "2024-01-01", "block")]
+    data = [(1, deep), (2, dots), (3, "http://c.org/x/y/z"), (4, "http://c.org/x"), (5, "http://org/"), (6, "http://a.com/s0"), (7, "http://d.www.a.com/s0/s1")]
+    caps = spark.createDataFrame([(i, u, "2024-02-02") for i, u in data], "page_id long, url string, fetched_at string")
+    list_ = spark.createDataFrame(entries, "rule string, listed_at string, action string")
+    begun = time.monotonic()
+    got = {r.page_id: (r.verdict, r.rule) for r in urlfilter.evaluate(caps, list_).collect()}
+    assert time.monotonic() - begun < 30
+    assert got == {1: ("block", f"www.a.com/{steps}"), 2: ("block", "b.org"), 3: ("block", "c.org/x/y"), 4: ("unlisted", None), 5: ("unlisted", None), 6: ("allow", "a.com"), 7: ("allow", "a.com")}
+
+
+def test_mixing_of_null_ids_over_many_buckets(spark):
+    df = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.concat_ws(" ", F.lit("w"), F.col("id")).alias("text"))
+    mixed = mixing.mix(df)
+    dealt = [r["count"] for r in mixed.rows.groupBy("bucket").count().collect()]
+    assert len(dealt) > 100 and max(dealt) < 400 and sum(dealt) == 20_000
+    got = mixing.taken(mixed).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).first()
+    assert got.size == 40_000 and abs(got.taken - 40_000) <= mixing.BLOCK_WORDS
+
+
+@pytest.mark.parametrize("batch", [1, 2, 7, 40, 10_000])
+def test_shingle_candidates_hold_no_bucket(batch):
+    """However the rows are cut into batches, the pairs are those of whole buckets."""
+    rng = np.random.default_rng(5)
+    sizes = [1, 2, 3, shingles.SMALL - 1, shingles.SMALL, shingles.SMALL + 1, 60, 1, 200, 4, shingles.SMALL]
+    data = pd.DataFrame({"bucket": np.repeat(np.arange(len(sizes)), sizes)})
+    data["n"] = rng.integers(40, 60, len(data))
+    data["node"] = rng.permutation(len(data))
+    data["part"] = rng.integers(0, 50, len(data))
+    data = data.sort_values(["bucket", "n", "node"], ignore_index=True)
+    want = set()
+    for _, rows_ in data.groupby("bucket"):
+        found = list(rows_.itertuples(index=False))
+        for i, x in enumerate(found):
+            for y in found[i + 1 : None if len(found) <= shingles.SMALL else i + 1 + shingles.SHIFTS]:
+                if x.part != y.part and x.n / y.n >= 0.8:
+                    want.add((min(x.node, y.node), max(x.node, y.node)))
+    cut = (data.iloc[at : at + batch] for at in range(0, len(data), batch))
+    assert {(a, b) for f in shingles._pairs_in(cut, 0.8) for a, b in zip(f["a"], f["b"], strict=True)} == want

@@ -103,13 +103,15 @@ def buckets(marked: DataFrame, *, into: str = "banded") -> DataFrame:
     return once.select(F.explode(f"{into}.bands").alias("bucket"), "node", F.col("fp").alias("part"), F.col(f"{into}.n").alias("n"))
 
 
-def _neighbours(bucket, node, part, n, similarity: float) -> Iterator[pd.DataFrame]:
-    """Pairs of whole buckets: all of small ones, the nearest rows of large ones."""
+def _neighbours(bucket, node, part, n, similarity: float, large: bool) -> Iterator[pd.DataFrame]:
+    """Pairs of buckets: all of small ones, the nearest rows of large ones; ``large``: the first one is, whatever is here of it."""
     starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     sizes = np.diff(np.append(starts, len(bucket)))
-    ends, sizes = np.repeat(starts + sizes, sizes), np.repeat(sizes, sizes)
-    live, step = np.flatnonzero(sizes > 1), 1
-    while len(live := live[(live + step < ends[live]) & ((sizes[live] <= SMALL) | (step <= SHIFTS))]):
+    ends, some = np.repeat(starts + sizes, sizes), sizes <= SMALL
+    some[0] &= not large
+    some = np.repeat(some, sizes)
+    live, step = np.arange(len(bucket)), 1
+    while len(live := live[(live + step < ends[live]) & (some[live] | (step <= SHIFTS))]):
         for at in range(0, len(live), PAIRS):
             i = live[at : at + PAIRS]
             j = i + step
@@ -122,13 +124,15 @@ def _neighbours(bucket, node, part, n, similarity: float) -> Iterator[pd.DataFra
 def _pairs_in(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
     """Candidates (a, b) of each bucket; the rows come sorted by bucket and n, and a bucket may go over the end of a batch.
 
-    Rows of one ``part`` are linked already.
+    Rows of one ``part`` are linked already.  Between batches at most ``SMALL``
+    rows are held: of a bucket found larger only the last ``SHIFTS``, whose pairs
+    may come twice.
     """
-    held: list[pd.DataFrame] = []
+    held, large = None, False
 
-    def solve(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def solve(rows: pd.DataFrame, large: bool) -> Iterator[pd.DataFrame]:
         out, count = [], 0
-        for found in _neighbours(*(rows[c].to_numpy(np.int64) for c in ("bucket", "node", "part", "n")), similarity):
+        for found in _neighbours(*(rows[c].to_numpy(np.int64) for c in ("bucket", "node", "part", "n")), similarity, large):
             out.append(found)
             count += len(found)
             if count >= PAIRS:
@@ -140,16 +144,19 @@ def _pairs_in(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd
     for rows in batches:
         if not len(rows):
             continue
-        open_ = (rows["bucket"] == rows["bucket"].iloc[-1]).to_numpy()
-        if not open_.all():
-            yield from solve(pd.concat([*held, rows[~open_]]))
-            held = []
-        elif held and held[-1]["bucket"].iloc[-1] != rows["bucket"].iloc[-1]:
-            yield from solve(pd.concat(held))
-            held = []
-        held.append(rows[open_])
-    if held:
-        yield from solve(pd.concat(held))
+        rows = rows if held is None else pd.concat([held, rows])
+        bucket = rows["bucket"].to_numpy(np.int64)
+        start = int(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[-1])  # of the bucket that is still open
+        if start:
+            yield from solve(rows.iloc[:start], large)
+            large = False
+        held = rows.iloc[start:]
+        if large or len(held) > SMALL:
+            large = True
+            yield from solve(held, large)
+            held = held.iloc[-SHIFTS:]
+    if held is not None:
+        yield from solve(held, large)
 
 
 def candidates(rows: DataFrame, *, similarity: float) -> DataFrame:
