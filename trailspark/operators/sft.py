@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from trailspark.functions.canonical import object_of
 from trailspark.functions.protocol import failed_block
 from trailspark.functions.text import compact_call
 
@@ -57,9 +59,10 @@ def messages(arm: str, mode: str | None, prompt: Column, prefix: Column, first_c
     return F.concat(prompt, F.array(*s.messages, _message("assistant", F.lit(FINAL))))
 
 
-def matched_key(task_id: Column, initial: Column, outcome: Column, final: Column) -> Column:
-    """What both arms of a task share, hashed field by field."""
-    return F.sha2(F.concat_ws("\0", task_id.cast("string"), F.sha2(initial, 256), outcome, F.sha2(final, 256), F.lit("PASS")), 256)
+def matched_key(task_id: Column, id_type: T.DataType, initial: Column, outcome: Column, final: Column) -> Column:
+    """What both arms of a task share: the digest of a canonical JSON object."""
+    text = {"initial_code": initial, "initial_outcome": outcome, "final_code": final, "final_outcome": F.lit("PASS")}
+    return F.sha2(object_of({"task_id": (task_id, id_type), **{k: (c, T.StringType()) for k, c in text.items()}}), 256)
 
 
 def traces(tasks: DataFrame, arm: str) -> DataFrame:
@@ -81,6 +84,6 @@ def traces(tasks: DataFrame, arm: str) -> DataFrame:
     outcome = F.coalesce("outcome_1", F.lit("PASS"))
     return tasks.select(
         F.lit(arm).alias("arm"), "case_id", F.sha2(first, 256).alias("candidate_code_sha256"), outcome.alias("candidate_outcome"), F.col("outcome_2").alias("second_candidate_outcome"),
-        F.sha2("code", 256).alias("final_code_sha256"), F.lit("PASS").alias("final_outcome"), matched_key(F.col("task_id"), first, outcome, F.col("code")).alias("matched_key"),
+        F.sha2("code", 256).alias("final_code_sha256"), F.lit("PASS").alias("final_outcome"), matched_key(F.col("task_id"), tasks.schema["task_id"].dataType, first, outcome, F.col("code")).alias("matched_key"),
         built.alias("messages"), F.col("mode").alias("recovery_mode"), "task_id", "test_code", F.when(mode.isNull(), "direct").otherwise("recovery").alias("trace_type"),
     )

@@ -58,19 +58,21 @@ def doubling_or_not(rows: DataFrame, key: str) -> DataFrame:
     return made.select("case_id", F.col("k").cast("long").alias("task_id"), F.concat(F.lit("task "), "case_id").alias("prompt"), code.alias("code"), tests.alias("test_code"))
 
 
-def sft_tasks(spark: SparkSession) -> DataFrame:
-    """The task ``total`` in each recovery mode."""
-    code, tests = _TASKS[1][1], _TASKS[1][2]
-    wrong_sum, wrong_start = "        out = out - x\n", "    out = 1\n"
-    right_sum, right_start = "        out = out + x\n", "    out = 0\n"
-    one = code.replace(right_sum, wrong_sum)
-    two = one.replace(right_start, wrong_start)
-    fail = "ASSERTION_FAILURE"
-    rows = [
-        (1, "direct", None, None, None, None, None, None, None, None), (2, "shadow", "shadow", one, fail, wrong_sum, right_sum, None, None, None), (3, "visible", "visible", one, fail, wrong_sum, right_sum, None, None, None),
-        (4, "deep_shadow", "deep_shadow", two, fail, wrong_sum, right_sum, fail, wrong_start, right_start), (5, "deep_visible", "deep_visible", two, fail, wrong_sum, right_sum, fail, wrong_start, right_start),
-    ]
-    names = "task_id long, case_id string, mode string, initial_code string, outcome_1 string, find_1 string, replace_1 string, outcome_2 string, find_2 string, replace_2 string"
+def sft_tasks(rows: DataFrame, key: str) -> DataFrame:
+    """Tasks that add up numbers from the key on, in each recovery mode by turns."""
+    k = F.col(key).cast("long")
+    source = lambda start, sum_: F.concat(F.lit("def total(xs):\n"), start, F.lit("    for x in xs:\n"), F.lit(sum_), F.lit("    return out\n"))
+    start = lambda n: F.concat(F.lit("    out = "), n.cast("string"), F.lit("\n"))
+    wrong_sum, right_sum = "        out = out - x\n", "        out = out + x\n"
+    mode = F.element_at(F.array(F.lit(None).cast("string"), *(F.lit(m) for m in ("shadow", "visible", "deep_shadow", "deep_visible"))), (k % 5).cast("int") + 1)
+    some, deep = k % 5 > 0, k % 5 > 2
     message = lambda role, text: F.struct(F.lit(role).alias("role"), F.lit(text).alias("content"))
-    made = spark.createDataFrame(rows, names)
-    return made.select("*", F.lit(code).alias("code"), F.lit(tests).alias("test_code"), F.lit("data/blueprints/total").alias("trace_prefix"), F.array(message("system", "s"), message("user", "u")).alias("prompt"))
+    fail = F.lit("ASSERTION_FAILURE")
+    return rows.select(
+        k.alias("task_id"), F.concat_ws("_", F.coalesce(mode, F.lit("direct")), k.cast("string")).alias("case_id"), mode.alias("mode"), source(start(k), right_sum).alias("code"),
+        F.when(deep, source(start(k + 1), wrong_sum)).when(some, source(start(k), wrong_sum)).alias("initial_code"),
+        F.when(some, fail).alias("outcome_1"), F.when(some, F.lit(wrong_sum)).alias("find_1"), F.when(some, F.lit(right_sum)).alias("replace_1"),
+        F.when(deep, fail).alias("outcome_2"), F.when(deep, start(k + 1)).alias("find_2"), F.when(deep, start(k)).alias("replace_2"),
+        F.format_string("assert total([1, 2]) == %s\nassert total([]) == %s\n", (k + 3).cast("string"), k.cast("string")).alias("test_code"),
+        F.lit("data/blueprints/total").alias("trace_prefix"), F.array(message("system", "s"), message("user", "u")).alias("prompt"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailspark.functions import protocol
+from trailspark.functions import canonical, protocol
 from trailspark.functions import text as T
 from trailspark.operators import branches, execution, metrics, quality, replay, rollout, routing, sft, split, stats, transcript
 from trailspark.plans import adapters as A
@@ -545,20 +545,31 @@ def rollout_samples(spark, sf_dir):
     return rounded(found.select("conv_id", "sample", "kind", F.size("token_ids").cast("long").alias("n_tokens"), total("rl_weights").alias("rl_sum"), total("ce_weights").alias("ce_sum")))
 
 
-@query("""SELECT arm, mode, CAST(CASE WHEN arm = 'b' AND mode LIKE '%shadow' THEN 9 + 2 * d ELSE 9 + 4 * d END AS INTEGER) AS n_messages, CAST(CASE WHEN arm = 'b' THEN CASE WHEN mode IS NULL THEN 1 ELSE d + 1 END ELSE 0 END AS INTEGER) AS n_predictions
-  FROM (VALUES ('a'), ('b')) AS x(arm), (VALUES (NULL, 0), ('shadow', 1), ('visible', 1), ('deep_shadow', 2), ('deep_visible', 2)) AS m(mode, d)""")
+_CODE = r"""'def total(xs):\n    out = ' || {start} || '\n    for x in xs:\n        out = out {sign} x\n    return out\n'"""
+_MODES = "(VALUES (NULL, 0, 0), ('shadow', 1, 1), ('visible', 1, 2), ('deep_shadow', 2, 3), ('deep_visible', 2, 4)) AS m(mode, d, r)"
+
+
+@query(f"""WITH t AS (SELECT arm, mode, d, p_partkey AS k, {_CODE.format(start="p_partkey", sign="+")} AS final,
+    CASE d WHEN 0 THEN {_CODE.format(start="p_partkey", sign="+")} WHEN 1 THEN {_CODE.format(start="p_partkey", sign="-")} ELSE {_CODE.format(start="(p_partkey + 1)", sign="-")} END AS initial
+  FROM part JOIN {_MODES} ON r = p_partkey % 5, (VALUES ('a'), ('b')) AS x(arm))
+SELECT arm, CAST(k AS BIGINT) AS task_id, mode, CAST(CASE WHEN arm = 'b' AND mode LIKE '%shadow' THEN 9 + 2 * d ELSE 9 + 4 * d END AS INTEGER) AS n_messages,
+  CAST(CASE WHEN arm = 'b' THEN CASE WHEN mode IS NULL THEN 1 ELSE d + 1 END ELSE 0 END AS INTEGER) AS n_predictions,
+  sha256('{{"final_code": "' || final || '", "final_outcome": "PASS", "initial_code": "' || initial || '", "initial_outcome": "' || CASE d WHEN 0 THEN 'PASS' ELSE 'ASSERTION_FAILURE' END || '", "task_id": ' || k || '}}') AS matched_key FROM t""")
 def sft_message_templates(spark, sf_dir):
-    rows = sft.traces(fixtures.sft_tasks(spark), "a").unionByName(sft.traces(fixtures.sft_tasks(spark), "b"))
+    """Both arms of a task for every part, in each recovery mode by turns, with the key that the arms share."""
+    tasks = fixtures.sft_tasks(A.table(spark, sf_dir, "part"), "p_partkey")
+    rows = sft.traces(tasks, "a").unionByName(sft.traces(tasks, "b"))
     tagged = F.size(F.filter("messages", lambda m: F.contains(m["content"], F.lit("<PREDICTION>"))))
-    return rows.select("arm", F.col("recovery_mode").alias("mode"), F.size("messages").alias("n_messages"), tagged.alias("n_predictions"))
+    return rows.select("arm", "task_id", F.col("recovery_mode").alias("mode"), F.size("messages").alias("n_messages"), tagged.alias("n_predictions"), "matched_key")
 
 
-@query("""SELECT arm || '/' || coalesce(mode, 'direct') AS trace, CAST(3 + CASE WHEN arm = 'b' AND mode LIKE '%shadow' THEN d ELSE 2 * d END AS INTEGER) AS n_calls,
+@query(f"""SELECT arm || '/' || coalesce(mode, 'direct') || '_' || s_suppkey AS trace, CAST(3 + CASE WHEN arm = 'b' AND mode LIKE '%shadow' THEN d ELSE 2 * d END AS INTEGER) AS n_calls,
   CASE WHEN arm = 'b' THEN repeat('ASSERTION_FAILURE,', d) || 'PASS' ELSE '' END AS actual, true AS final_success, CAST(0 AS BIGINT) AS violations, CAST(0 AS BIGINT) AS told_otherwise
-  FROM (VALUES ('a'), ('b')) AS x(arm), (VALUES (NULL, 0), ('shadow', 1), ('visible', 1), ('deep_shadow', 2), ('deep_visible', 2)) AS m(mode, d)""")
+  FROM supplier JOIN {_MODES} ON r = s_suppkey % 5, (VALUES ('a'), ('b')) AS x(arm)""")
 def trace_replay(spark, sf_dir):
-    """Every template replayed by the protocol; no row may break its mode's shape."""
-    rows = sft.traces(fixtures.sft_tasks(spark), "a").unionByName(sft.traces(fixtures.sft_tasks(spark), "b")).withColumn("trace", F.concat_ws("/", "arm", "case_id"))
+    """Both arms of a task for every supplier, replayed by the protocol; no row may break its mode's shape."""
+    tasks = fixtures.sft_tasks(A.table(spark, sf_dir, "supplier"), "s_suppkey")
+    rows = sft.traces(tasks, "a").unionByName(sft.traces(tasks, "b")).withColumn("trace", F.concat_ws("/", "arm", "case_id"))
     turns = rows.select("trace", "arm", "test_code", F.lit(sft.PLACEHOLDER).alias("workspace"), F.posexplode("messages").alias("turn", "m")).select("*", "m.role", "m.content").drop("m")
     done = replay.replay(turns.withColumn("trace_prefix", F.lit("data/blueprints/total")), timeout=5)
     plan = rows.select("trace", "arm", F.col("recovery_mode").alias("mode"), F.col("candidate_outcome").alias("first_outcome"), F.col("second_candidate_outcome").alias("second_outcome"))
@@ -568,6 +579,24 @@ def trace_replay(spark, sf_dir):
     return counts.select("trace", F.size("calls").alias("n_calls"), F.array_join("actual", ",").alias("actual"), "final_success", F.coalesce("violations", F.lit(0)).alias("violations"), F.coalesce("told", F.lit(0)).alias("told_otherwise"))
 
 
+def _quoted_sql(text: str) -> str:
+    """DuckDB SQL of a JSON string in ASCII, character by character."""
+    unit = lambda n: f"printf('\\u%04x', {n})"
+    pair = f"{unit('55296 + ((ord(c) - 65536) >> 10)')} || {unit('56320 + ((ord(c) - 65536) & 1023)')}"
+    short = " ".join(f"WHEN {n} THEN '\\{x}'" for n, x in ((8, "b"), (9, "t"), (10, "n"), (12, "f"), (13, "r"), (34, '"'), (92, "\\")))
+    one = f"CASE ord(c) {short} ELSE CASE WHEN ord(c) BETWEEN 32 AND 126 THEN c WHEN ord(c) < 65536 THEN {unit('ord(c)')} ELSE {pair} END END"
+    whole = f"CASE WHEN regexp_full_match({text}, '[ !#-\\[\\]-~]*') THEN {text} ELSE array_to_string(list_transform(regexp_extract_all({text}, '(?s).'), lambda c: {one}), '') END"
+    return f"""coalesce('"' || {whole} || '"', 'null')"""
+
+
+@query(f"""SELECT doc_id, sha256('{{"doc_id": ' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ', "lang": ' || {_quoted_sql("lang")} || ', "mean": ' || coalesce(CAST(CAST(n_chars AS DOUBLE) / 7 AS VARCHAR), 'null')
+  || ', "source": ' || {_quoted_sql("source")} || ', "text": ' || {_quoted_sql("text")} || '}}') AS sha256 FROM documents""")
+def canonical_digest(spark, sf_dir):
+    """The digest of every document's canonical JSON, with an integer, a double and whole texts."""
+    rows = docs(spark, sf_dir).select("doc_id", "lang", "source", "text", (F.col("n_chars").cast("double") / 7).alias("mean"))
+    return rows.select("doc_id", F.sha2(canonical.object_of({f.name: (F.col(f.name), f.dataType) for f in rows.schema.fields}), 256).alias("sha256"))
+
+
 @query("""SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS DOUBLE) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n
   FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus""")
 def pricing_summary(spark, sf_dir):
