@@ -1,9 +1,11 @@
-"""Canonical JSON of typed columns, byte for byte what ``json.dumps(value, sort_keys=True)`` writes, as Catalyst expressions.
+"""Canonical JSON of typed columns, byte for byte (but for some floats) what ``json.dumps(value, sort_keys=True)`` writes, as Catalyst expressions.
 
 Keys are sorted by code point, separators are ``", "`` and ``": "``, and all but
 printable ASCII is escaped: short escapes where there are some, else lower-case
 ``\\uXXXX``, beyond the basic plane as surrogate pairs.  A float has the fewest
 digits that read back as itself, with an exponent below 1e-4 and from 1e16 on.
+Of several such forms it may not be the nearest, which Python writes: of 200,000
+doubles of random bits 11 differ in the last digit, none of 100,000 below one.
 
 Structs and maps are objects, arrays are lists, null is ``null`` at any depth;
 maps may have string or integer keys, the latter sorted as numbers.  Types that
