@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import tarfile
 
 import pytest
@@ -137,3 +138,24 @@ def test_exports():
     assert trailspark.load is taskset.load and all(hasattr(trailspark, n) for n in trailspark.__all__)
     with pytest.raises(AttributeError):
         trailspark.nothing  # noqa: B018
+
+
+def test_equal_programs_of_all_traces_run_once(spark, tmp_path):
+    log = tmp_path / "runs"
+    said = [("assistant", call("python_test", "c1")), ("assistant", call("apply_patch", "c2", file_path="solution.py", find="2", replace="1")), ("assistant", call("python_test", "c3"))]
+    rows = turns(spark, "t/1", "a", said).unionByName(turns(spark, "t/2", "a", said)).unionByName(turns(spark, None, "a", said[1:]))
+    tests = f"with open({str(log)!r}, 'a') as f:\n    print(x, file=f)\nassert x == 1\n"
+    got = {r.trace: r for r in replay.replay(rows.withColumn("test_code", F.lit(tests))).collect()}
+    assert [(got[t].visible, got[t].final_success) for t in ("t/1", "t/2", None)] == [(["ASSERTION_FAILURE", "PASS"], True)] * 2 + [(["PASS"], True)]
+    assert [r.stderr for r in got["t/2"].results] == ["tests failed", "", ""] and got[None].final_verification.stdout == "tests passed"
+    assert sorted(log.read_text().split()) == ["1", "2"]
+
+
+def test_runs_share_an_interpreter_and_nothing_else(tmp_path):
+    log = tmp_path / "parents"
+    code = f"import json, os\nassert json.dumps(1) == '1' and 'x' not in globals()\njson.dumps, x = None, 1\nwith open({str(log)!r}, 'a') as f:\n    print(os.getppid(), os.getsid(0) == os.getpid(), file=f)\n"
+    ends = ["", "raise ValueError\n", "class Last:\n    def __del__(self):\n        os._exit(5)\nlast = Last()\n", "import atexit\natexit.register(os._exit, 6)\n", "import threading, time\nthreading.Thread(target=lambda: (time.sleep(0.3), os._exit(7))).start()\n"]
+    got = [execution.run_tests(code + end, "") for end in ends]
+    assert [(r["outcome"], r["exit_code"]) for r in got] == [("PASS", 0), ("RUNTIME_ERROR", 1), ("OTHER", 5), ("OTHER", 6), ("OTHER", 7)]
+    (parent, led), = {tuple(x.split()) for x in log.read_text().splitlines()}
+    assert led == "True" and int(parent) != os.getpid()

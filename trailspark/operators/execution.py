@@ -6,11 +6,9 @@ time limit and a group kill.  This is isolation from accidents, not a sandbox.
 
 from __future__ import annotations
 
-import contextlib
 import io
 import os
 import secrets
-import signal
 import subprocess
 import sys
 import tempfile
@@ -42,70 +40,146 @@ def classify(stderr: str) -> str:
     return next((outcome for outcome, marks in STDERR_MARKS if any(m in stderr for m in marks)), "OTHER")
 
 
-#: Runs in a fresh interpreter: executes the files named, in one namespace, and sends the receipt that came on standard
-#: input down its own pipe only if all of them came to their end.
-_RUNNER = """
-import os, sys
-receipt = sys.stdin.readline()
-pipe, *files = sys.argv[1:]
-sys.argv[1:] = []
-space = {"__name__": "__main__"}
-for program in [compile(open(f, "rb").read(), os.path.basename(f), "exec") for f in files]:
-    exec(program, space)
-os.write(int(pipe), receipt.encode())
+#: A fresh interpreter that forks a process for each request on its standard input: no candidate waits for an interpreter
+#: to start, and none meets what another left.  The process has a session, folder and environment of its own, executes the
+#: files in one namespace, and sends the receipt down its own pipe only if all of them came to their end; its exit is the
+#: interpreter's, whose taking apart is spared where the program leaves no thread or exit function.  The server ends its
+#: group when it is done or late, and replies with its exit code and what it said.
+_SERVER = """
+import atexit, gc, os, select, signal, sys, time, traceback  # what tells of an exception, loaded once
+
+def child(home, ends):
+    os.setsid()
+    null = os.open(os.devnull, os.O_RDWR)
+    for old, new in ((null, 0), (null, 1), (ends[1], 2)):
+        os.dup2(old, new)
+    for end in (null, *ends[:3]):
+        os.close(end)
+    os.chdir(home)
+    os.environ["HOME"] = home
+
+def watch(pid, timeout, said):
+    # standard error to its end and the exit, or None if one of them is late
+    until, text, open_ = time.monotonic() + timeout, [], {said, os.pidfd_open(pid)}
+    exited = max(open_ - {said})
+    poll = select.poll()
+    for end in open_:
+        poll.register(end, select.POLLIN)
+    while open_ and (left := until - time.monotonic()) > 0:
+        for end, _ in poll.poll(left * 1000):
+            if end == said and (more := os.read(said, 1 << 16)):
+                text.append(more)
+            else:
+                poll.unregister(end)
+                open_.discard(end)
+    os.close(exited)
+    try:
+        os.killpg(pid, signal.SIGKILL)  # not waited for yet, so the number is still its own
+    except OSError:
+        pass
+    code = os.waitstatus_to_exitcode(os.waitpid(pid, 0)[1])
+    return None if open_ else code, b"" if open_ else b"".join(text)
+
+def serve():
+    # only a forked process comes back
+    rest = b""
+    while True:
+        while b"\\n" not in rest:
+            more = os.read(0, 1 << 16)
+            if not more:
+                os._exit(0)
+            rest += more
+        line, _, rest = rest.partition(b"\\n")
+        receipt, timeout, home, *files = line.decode().split("\\t")
+        said, theirs = os.pipe()
+        back, pipe = os.pipe()
+        pid = os.fork()
+        if not pid:
+            child(home, (said, theirs, back))
+            return receipt, pipe, files
+        os.close(theirs)
+        os.close(pipe)
+        code, text = watch(pid, float(timeout), said)
+        os.set_blocking(back, False)  # a process that got away may hold the other end
+        try:
+            got = os.read(back, 100) == receipt.encode()
+        except BlockingIOError:
+            got = False
+        os.close(said)
+        os.close(back)
+        reply = f"{'late' if code is None else code} {int(got)} {len(text)}\\n".encode() + text
+        while reply:
+            reply = reply[os.write(1, reply):]
+
+gc.collect()
+gc.freeze()
+known = atexit._ncallbacks()
+receipt, pipe, files = serve()
+space, code = {"__name__": "__main__"}, 0
+try:
+    for program in [compile(open(f, "rb").read(), os.path.basename(f), "exec") for f in files]:
+        exec(program, space)
+    os.write(pipe, receipt.encode())
+except Exception:
+    code = 1
+    sys.excepthook(*sys.exc_info())
+if len(sys._current_frames()) == 1 and atexit._ncallbacks() == known:
+    del space  # its objects end while they still see their names
+    gc.collect()
+    for stream in (sys.stdout, sys.stderr):
+        if stream is not None and not stream.closed:
+            stream.flush()
+    os._exit(code)
+sys.exit(code)
 """
 
 
-class _Sandbox:
-    """One interpreter in a session, folder and environment of its own; all that it started ends with it."""
-
-    def __init__(self, files: dict[str, str]):
-        self.folder = tempfile.TemporaryDirectory()
-        self.paths = [Path(self.folder.name, name) for name in files]
-        for path, text in zip(self.paths, files.values(), strict=True):
-            path.write_text(text, encoding="utf-8", errors="surrogatepass")
+class _Server:
+    """The server of one process; it ends when that process does."""
 
-    def __enter__(self) -> _Sandbox:
-        return self
+    def __init__(self):
+        self.owner = os.getpid()
+        env = {"PATH": os.environ.get("PATH", "/usr/bin:/bin"), "LANG": "C.UTF-8", "HOME": "/", "PYTHONDONTWRITEBYTECODE": "1"}
+        self.process = subprocess.Popen([sys.executable, "-c", _SERVER], cwd="/", env=env, start_new_session=True, stdin=subprocess.PIPE, stdout=subprocess.PIPE)
 
-    def __exit__(self, *_) -> None:
-        self.folder.cleanup()
-
-    def run(self, timeout: float) -> tuple[int | None, str, bool]:
+    def run(self, timeout: float, home: str, files: list[str]) -> tuple[int | None, str, bool]:
         """(exit code or None if it was late, standard error, whether the receipt came back)."""
-        ours, theirs = os.pipe()
-        home = self.folder.name
-        env = {"PATH": os.environ.get("PATH", "/usr/bin:/bin"), "LANG": "C.UTF-8", "HOME": home, "PYTHONDONTWRITEBYTECODE": "1"}
-        receipt = secrets.token_hex(16)
+        self.process.stdin.write("\t".join([secrets.token_hex(16), str(timeout), home, *files]).encode() + b"\n")
+        self.process.stdin.flush()
+        head = self.process.stdout.readline().split()
+        if len(head) != 3:
+            raise RuntimeError("a candidate ended the process that runs candidates")
+        said = self.process.stdout.read(int(head[2]))
+        return None if head[0] == b"late" else int(head[0]), said.decode("utf-8", "replace"), head[1] == b"1"
+
+    def end(self) -> None:
+        self.process.kill()
+        self.process.communicate()
+
+
+_server: _Server | None = None
+
+
+def _execute(files: dict[str, str], timeout: float) -> tuple[int | None, str, bool]:
+    """Run the files as one program by this process's server, in a folder of their own."""
+    global _server
+    if _server is None or _server.owner != os.getpid():  # a forked worker has its own
+        _server = _Server()
+    with tempfile.TemporaryDirectory() as home:
+        paths = [Path(home, name) for name in files]
+        for path, text in zip(paths, files.values(), strict=True):
+            path.write_text(text, encoding="utf-8", errors="surrogatepass")
         try:
-            child = subprocess.Popen([sys.executable, "-c", _RUNNER, str(theirs), *map(str, self.paths)], cwd=home, env=env, pass_fds=[theirs], start_new_session=True, stdin=subprocess.PIPE, stdout=subprocess.DEVNULL, stderr=subprocess.PIPE)
-            os.close(theirs)
-            try:
-                _, said = child.communicate(f"{receipt}\n".encode(), timeout)
-                code = child.returncode
-            except subprocess.TimeoutExpired:
-                code, said = None, b""
-            self.end(child)
-            os.set_blocking(ours, False)  # a process that got away may hold the other end
-            try:
-                back = os.read(ours, 100).decode()
-            except BlockingIOError:
-                back = ""
-        finally:
-            os.close(ours)
-        return code, said.decode("utf-8", "replace"), back.strip() == receipt
-
-    @staticmethod
-    def end(child: subprocess.Popen) -> None:
-        with contextlib.suppress(ProcessLookupError):
-            os.killpg(child.pid, signal.SIGKILL)
-        child.communicate()
+            return _server.run(timeout, home, [str(p) for p in paths])
+        except BaseException:
+            _server.end()
+            _server = None
+            raise
 
 
 def run_tests(code: str | None, tests: str | None, timeout: float = 5) -> dict:
     """Run code, then tests, as one program: a pass needs exit code 0 and the receipt."""
-    with _Sandbox({"solution.py": code or "", "tests.py": tests or ""}) as box:
-        exit_code, said, receipt = box.run(timeout)
+    exit_code, said, receipt = _execute({"solution.py": code or "", "tests.py": tests or ""}, timeout)
     outcome = "TIMEOUT" if exit_code is None else "PASS" if exit_code == 0 and receipt else classify(said)
     return {
         "success": outcome == "PASS", "outcome": outcome, "exit_code": -1 if exit_code is None else exit_code, "timed_out": exit_code is None,
@@ -124,7 +198,8 @@ def verify(candidates: DataFrame, *, code: str = "code", tests: str = "test_code
             yield pd.concat([rows[["__hash"]].reset_index(drop=True), runs], axis=1)
 
     width = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    done = distinct.repartition(width, "__hash").mapInPandas(execute, f"__hash string, {RUN}")
+    # by another key than the duplicates meet by: else that exchange does for both, and adaptive execution makes one task of these small rows
+    done = distinct.repartition(width, F.substring("__hash", 1, 16)).mapInPandas(execute, f"__hash string, {RUN}")
     return keyed.join(done.select("__hash", F.struct("success", "outcome", "exit_code", "timed_out", "detail").alias("run")), "__hash").drop("__hash")
 
 

@@ -1,7 +1,10 @@
 """Offline replay of the agent protocol over stored turns.
 
 The state of a trace is small (workspace text, pending candidate, ids, budget),
-so a trace is replayed by one ordered fold; traces are dealt by key.
+so a trace is replayed by one ordered fold; traces are dealt by key.  No test's
+outcome changes what follows in a trace: the fold notes the programs to be tested,
+each pair of program and tests that any trace has is run once, and the outcomes
+are joined to the traces.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -17,15 +21,23 @@ from pyspark.sql import functions as F
 
 from trailspark.functions.protocol import DECISION, PREDICTION
 from trailspark.functions.text import strip
+from trailspark.operators import execution
 from trailspark.operators.workspace import RESULT, Result, Workspace
 from trailspark.schema import DECISIONS, OUTCOMES
+from trailspark.session import cut
 
+_TARGETS = "array<struct<candidate_call_id:string,context_messages:array<struct<role:string,content:string>>,sampled_prediction:string,actual:string,decision:string,shadow:boolean,candidate_sha256:string>>"
 REPLAYED = (
     "trace string, calls array<string>, tools array<string>, outcomes array<string>, visible array<string>, predicted array<string>, actual array<string>, "
     "decisions array<string>, shadow array<boolean>, context_turns array<int>, errors array<string>, final_success boolean, final_sha256 string, "
-    f"results array<{RESULT}>, targets array<struct<candidate_call_id:string,context_messages:array<struct<role:string,content:string>>,sampled_prediction:string,actual:string,decision:string,shadow:boolean,candidate_sha256:string>>, "
-    f"params array<map<string,string>>, final_verification {RESULT}"
+    f"results array<{RESULT}>, targets {_TARGETS}, params array<map<string,string>>, final_verification {RESULT}"
 )
+#: What the fold knows of a trace: outcomes of tests are places in ``programs`` (``PENDING``).
+FOLDED = (
+    "trace string, calls array<string>, tools array<string>, predicted array<string>, decisions array<string>, shadow array<boolean>, context_turns array<int>, errors array<string>, final_sha256 string, "
+    f"results array<{RESULT}>, targets {_TARGETS}, params array<map<string,string>>, final_verification {RESULT}, programs array<string>, test_code string"
+)
+PENDING = "#"
 _CALL = re.compile(r"CALL\s+(\S+)\s+(.*)", re.S)
 
 
@@ -149,34 +161,100 @@ class Replay:
         return True
 
 
+def _noted(programs: list[str]):
+    """Stands in for ``run_tests``: notes each program once, and gives its place as the outcome."""
+
+    def note(code: str, tests: str, timeout: float) -> dict:
+        if code not in programs:  # no more than a trace has calls
+            programs.append(code)
+        return {"success": False, "outcome": f"{PENDING}{programs.index(code)}", "exit_code": 0, "timed_out": False, "detail": ""}
+
+    return note
+
+
+class _Trace:
+    """A trace that is being folded."""
+
+    def __init__(self, first, budget: int):
+        held, prefix = first.workspace, getattr(first, "trace_prefix", None)
+        self.trace, self.tests, self.programs, self.number, self.ended = first.trace, first.test_code or "", [], 0, False
+        files = {"solution.py": held} if isinstance(held, str) else dict(held or {})
+        self.replay = Replay(first.arm, Workspace(self.tests, files, run=_noted(self.programs), **({"prefix": prefix} if prefix else {})), budget)
+
+    def add(self, role: str | None, content: str | None) -> None:
+        if self.ended:
+            return
+        if role == "assistant" and not self.replay.turn(self.number, content or ""):
+            self.ended = True
+            return
+        self.number += 1
+        self.replay.said.append({"role": role, "content": content})
+
+    def row(self) -> tuple:
+        r = self.replay
+        final = r.space.test()
+        return (
+            self.trace, [c[0] for c in r.calls], [c[1] for c in r.calls], *([t[k] for t in r.targets] for k in ("sampled_prediction", "decision", "shadow")), r.turns, r.errors, r.sha256(),
+            [{"id": c[0], **vars(x)} for c, x in zip(r.calls, r.results, strict=True)], r.targets, [c[2] for c in r.calls], {"id": None, **vars(final)}, self.programs, self.tests,
+        )
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in re.split(r", (?=\w+ )", schema)]
+
+
+def _folded(turns: DataFrame, budget: int) -> DataFrame:
+    """One row of ``FOLDED`` per trace: turns come in order, and a task holds one trace at a time."""
+    names = _names(FOLDED)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for rows in batches:
+            done = []
+            for row in rows.itertuples(index=False):
+                if held is None or row.trace != held.trace:
+                    if held is not None:
+                        done.append(held.row())
+                    held = _Trace(row, budget)
+                held.add(row.role, row.content)
+            yield pd.DataFrame(done, columns=names)
+        if held is not None:
+            yield pd.DataFrame([held.row()], columns=names)
+
+    width = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return turns.repartition(width, "trace").sortWithinPartitions("trace", F.asc_nulls_last("turn")).mapInPandas(fold, FOLDED)
+
+
 def replay(turns: DataFrame, *, budget: int = 8, timeout: float = 5) -> DataFrame:
     """One row per trace; ``turns``: trace, turn, role, content, arm, test_code, workspace (the last three the same in a trace).
 
     ``workspace`` is the text of ``solution.py``, or a map of paths to texts; it is at
     ``trace_prefix`` if there is such a column.
     """
-    names = [x.split()[0] for x in re.split(r", (?=\w+ )", REPLAYED)]
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("turn", kind="stable")
-        first = rows.iloc[0]
-        held = first["workspace"]
-        prefix = {"prefix": first["trace_prefix"]} if "trace_prefix" in rows and first["trace_prefix"] else {}
-        r = Replay(first["arm"], Workspace(first["test_code"] or "", {"solution.py": held} if isinstance(held, str) else dict(held or {}), timeout=timeout, **prefix), budget)
-        for number, (role, content) in enumerate(zip(rows["role"], rows["content"], strict=True)):
-            if role == "assistant" and not r.turn(number, content or ""):
-                break
-            r.said.append({"role": role, "content": content})
-        final = r.space.test()
-        row = {
-            "trace": first["trace"], "calls": [c[0] for c in r.calls], "tools": [c[1] for c in r.calls], "params": [c[2] for c in r.calls], "outcomes": [x.outcome for x in r.results],
-            "visible": [x.outcome for c, x in zip(r.calls, r.results, strict=True) if c[1] == "python_test"], "predicted": [t["sampled_prediction"] for t in r.targets],
-            **{name: [t[key] for t in r.targets] for name, key in (("actual", "actual"), ("decisions", "decision"), ("shadow", "shadow"))}, "context_turns": r.turns, "errors": r.errors,
-            "final_success": final.success, "final_sha256": r.sha256(), "results": [{"id": c[0], **vars(x)} for c, x in zip(r.calls, r.results, strict=True)], "targets": r.targets, "final_verification": {"id": None, **vars(final)},
-        }
-        return pd.DataFrame([[row[n] for n in names]], columns=names)
-
-    return turns.groupBy("trace").applyInPandas(fold, REPLAYED)
+    folded = cut(_folded(turns, budget))
+    ran = execution.verify(folded.select("trace", "test_code", F.posexplode("programs").alias("at", "code")), timeout=timeout)
+    runs = ran.groupBy(F.col("trace").alias("t")).agg(F.array_sort(F.collect_list(F.struct("at", "run"))).alias("runs"))  # a trace's programs, a few
+    both = folded.join(runs, F.col("trace").eqNullSafe(F.col("t")), "left")
+    run = lambda outcome: F.get("runs", F.substring(outcome, len(PENDING) + 1, 9).cast("int"))["run"]
+    pending = lambda outcome: F.coalesce(F.startswith(outcome, F.lit(PENDING)), F.lit(False))
+    late = F.lit(f"tests timed out after {timeout:g}s")
+
+    def tested(id_: Column, x: Column) -> Column:
+        told = F.when(x["timed_out"], late).otherwise(x["detail"])
+        return F.struct(
+            id_.alias("id"), x["success"].alias("success"), F.when(x["success"], told).otherwise("").alias("stdout"), F.when(x["success"], "").otherwise(told).alias("stderr"),
+            x["exit_code"].alias("exit_code"), x["timed_out"].alias("timed_out"), x["outcome"].alias("outcome"),
+        )
+
+    settled = lambda r: F.when(pending(r["outcome"]), tested(r["id"], run(r["outcome"]))).otherwise(r)
+    actual = lambda t: F.when(pending(t["actual"]), run(t["actual"])["outcome"]).otherwise(t["actual"])
+    found = both.withColumns({
+        "results": F.transform("results", settled), "targets": F.transform("targets", lambda t: t.withField("actual", actual(t))), "final_verification": settled(F.col("final_verification")),
+    })
+    seen = F.filter(F.arrays_zip("tools", "results"), lambda z: z["tools"] == "python_test")
+    return found.withColumns({
+        "outcomes": F.transform("results", lambda r: r["outcome"]), "visible": F.transform(seen, lambda z: z["results"]["outcome"]), "actual": F.transform("targets", lambda t: t["actual"]), "final_success": F.col("final_verification.success"),
+    }).select(*_names(REPLAYED))
 
 
 def records(replayed: DataFrame, arms: DataFrame) -> DataFrame:

@@ -572,8 +572,7 @@ def trace_replay(spark, sf_dir):
     tasks = fixtures.sft_tasks(A.table(spark, sf_dir, "supplier"), "s_suppkey")
     rows = sft.traces(tasks, "a").unionByName(sft.traces(tasks, "b")).withColumn("trace", F.concat_ws("/", "arm", "case_id"))
     turns = rows.select("trace", "arm", "test_code", F.lit(sft.PLACEHOLDER).alias("workspace"), F.posexplode("messages").alias("turn", "m")).select("*", "m.role", "m.content").drop("m")
-    dealt = turns.withColumn("trace_prefix", F.lit("data/blueprints/total")).repartition(4 * spark.sparkContext.defaultParallelism, "trace")  # small rows that take long
-    done = cut(replay.replay(dealt, timeout=5))
+    done = cut(replay.replay(turns.withColumn("trace_prefix", F.lit("data/blueprints/total")), timeout=5))
     plan = rows.select("trace", "arm", F.col("recovery_mode").alias("mode"), F.col("candidate_outcome").alias("first_outcome"), F.col("second_candidate_outcome").alias("second_outcome"))
     broken = replay.shape_violations(done, plan).groupBy("trace").agg(F.count("*").alias("violations"))
     lied = replay.told_otherwise(turns, done).groupBy("trace").agg(F.count("*").alias("told"))
