@@ -161,3 +161,28 @@ def test_places_are_brute_force(spark):
     got = spark.createDataFrame(data, "xs array<int>, part array<int>").select("xs", "part", routing.find_subsequence(F.col("xs"), F.col("part")).alias("at")).collect()
     for r in got:
         assert r.at == (next((i for i in range(len(r.xs) - len(r.part) + 1) if r.xs[i : i + len(r.part)] == r.part), None) if r.part else None)
+
+
+def test_labels_are_a_list_a_node_and_query_joins_nothing(spark):
+    said = "a <PREDICTION>PASS</PREDICTION> b <PREDICTION> OTHER </PREDICTION>"
+    rows = [(1, 0, "assistant", said, True, [7, *ids(said)]), (1, 1, "assistant", said, False, ids(said)), (1, 2, "user", said, True, ids(said)), (None, 0, "assistant", "none", True, ids("none")), (2, 0, "assistant", None, True, None), (2, 1, "assistant", said, True, [1, 2])]
+    df = spark.createDataFrame(rows, "rollout long, node int, role string, content string, sampled boolean, token_ids array<int>").repartition(3)
+    got = {(r.rollout, r.node): r.places for r in rollout.hidden_places(df).collect()}
+    hidden = [1 + said.index(x) + i for x in ("PASS", "OTHER") for i in range(len(x))]
+    assert got == {(1, 0): hidden, (1, 1): [], (1, 2): [], (None, 0): [], (2, 0): [], (2, 1): []}
+    from trailspark.plans import queries
+
+    plan = queries.QUERIES["label_token_mask"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_weights_are_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(200):
+        n = rng.randint(1, 12)
+        rows.append(([rng.random() < 0.7 for _ in range(n)], [rng.randrange(n) for _ in range(rng.randint(0, n))]))
+    df = spark.createDataFrame(rows, "mask array<boolean>, hidden array<int>")
+    got = df.select("mask", "hidden", rollout.weights(F.col("mask"), F.col("hidden")).alias("w")).collect()
+    for r in got:
+        assert r.w == ([float(keep and i not in r.hidden) for i, keep in enumerate(r["mask"])] if r.hidden else None)

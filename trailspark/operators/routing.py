@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,16 +26,21 @@ def code_points(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)``, with ``value`` computed once however often ``f`` names it, also inside of lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def find_subsequence(values: Column, target: Column) -> Column:
     """0-based place of the first match; null if there is none or nothing to find.
 
-    Arrays as delimited text: one linear search, and the delimiters before the
-    match count the place.
+    Equal arrays need no search.  Others are searched as delimited text: one linear
+    search, and the delimiters before the match count the place.
     """
     text = lambda xs: F.concat(F.lit(","), F.array_join(xs.cast("array<string>"), ","), F.lit(","))
-    hay = text(values)
-    before = F.left(hay, F.instr(hay, text(target)))
-    return F.when((F.size(target) > 0) & F.contains(hay, text(target)), F.length(before) - F.length(F.replace(before, F.lit(","))) - 1)
+    commas = lambda before: F.length(before) - F.length(F.replace(before, F.lit(","))) - 1
+    placed = lambda hay: let(F.instr(hay, text(target)), lambda at: F.when(at > 0, let(F.left(hay, at), commas)))
+    return F.when(F.size(target) > 0, F.when(values == target, 0).otherwise(let(text(values), placed)))
 
 
 def overlapping(offsets: Column, start: Column, end: Column) -> Column:

@@ -413,10 +413,8 @@ def subsequence_search(spark, sf_dir):
 def label_token_mask(spark, sf_dir):
     said = F.concat(F.lit("text "), F.coalesce(F.concat(F.lit("<PREDICTION>"), "sampled_prediction", F.lit("</PREDICTION>")), F.lit("none")), F.lit(" end"))
     rows = A.predictions(spark, sf_dir).select(F.col("event_id").alias("rollout"), F.lit(0).alias("node"), F.lit("assistant").alias("role"), said.alias("content"), F.lit(True).alias("sampled"))
-    places = rollout.hidden_places(rows.withColumn("token_ids", routing.code_points(F.col("content"))))
-    found = places.groupBy("rollout").agg(F.count("*").cast("int").alias("masked"), F.min("place").alias("first_masked"))
-    all_ = rows.select("rollout").join(found, "rollout", "left")
-    return all_.select(F.col("rollout").alias("event_id"), F.coalesce("masked", F.lit(0)).alias("masked"), "first_masked")
+    found = rollout.hidden_places(rows.withColumn("token_ids", routing.code_points(F.col("content"))))
+    return found.select(F.col("rollout").alias("event_id"), F.size("places").alias("masked"), F.array_min("places").alias("first_masked"))
 
 
 @query(f"""WITH {PREDICTIONS} SELECT event_id, CAST(length('<|im_start|>user' || chr(10) || 'context' || chr(10) || '<|im_end|>' || chr(10) || chr(10) || '<|im_start|>assistant' || chr(10)) + 25 + length(actual) AS INTEGER) AS n_tokens,
