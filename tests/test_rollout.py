@@ -186,3 +186,19 @@ def test_weights_are_brute_force(spark):
     got = df.select("mask", "hidden", rollout.weights(F.col("mask"), F.col("hidden")).alias("w")).collect()
     for r in got:
         assert r.w == ([float(keep and i not in r.hidden) for i, keep in enumerate(r["mask"])] if r.hidden else None)
+
+
+def test_no_tree_is_broadcast(spark, monkeypatch):
+    plans, plain = [], branches.cut
+    monkeypatch.setattr(branches, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    nodes = [("t", i, None if i == 0 else i // 2, i % 3 == 0) for i in range(40)]
+    df = spark.createDataFrame(nodes, "tree string, node long, parent long, sampled boolean")
+    found = branches.trainable(branches.branch_paths(df, ["tree"]), df, ["tree"])
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("Join" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)
+    up = {n: p for _, n, p, _ in nodes}
+    leaf = max(up)
+    path = [leaf]
+    while up[path[-1]] is not None:
+        path.append(up[path[-1]])
+    assert [r.node for r in sorted(found.where(F.col("leaf") == leaf).collect(), key=lambda r: r.place)] == path[::-1]

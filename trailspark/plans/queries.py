@@ -439,7 +439,7 @@ def branch_paths(spark, sf_dir):
     rows = A.attempts(spark, sf_dir).select("task", "event_id", (F.row_number().over(order) - 1).cast("long").alias("node"))
     parent = F.when(F.col("node") == 0, None).when(F.col("node") % 5 == 4, F.floor(F.col("node") / 2)).otherwise(F.col("node") - 1)
     rows = rows.withColumn("parent", parent.cast("long"))
-    named = branches.branch_paths(rows, ["task"]).join(rows.select("task", "node", "event_id"), ["task", "node"])
+    named = branches.branch_paths(rows, ["task"]).join(rows.select("task", "node", "event_id").hint("shuffle_hash"), ["task", "node"])
     placed = F.array_sort(F.collect_list(F.struct("place", "event_id")))  # as long as the tree is deep
     return named.groupBy("task", "leaf").agg(F.count("*").alias("n_nodes"), F.array_join(F.transform(placed, lambda x: x["event_id"].cast("string")), ">").alias("path"))
 
